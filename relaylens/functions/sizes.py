@@ -1,0 +1,17 @@
+"""Broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint when it has at most ``max_rows`` narrow rows, else as it is.
+
+    The check counts at most ``max_rows + 1`` rows. Without the hint the planner shuffles both sides
+    of the join (and splits skewed partitions), so a larger side is handled too.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
