@@ -82,6 +82,17 @@ def ticks(samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts",
     )
 
 
+def flagged_samples(
+    samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", chunk: Column | None = None
+) -> DataFrame:
+    """Samples with their tick and the five incident flags as columns."""
+    numbered = ticks(samples, order=order, ts=ts, chunk=chunk)
+    flags = incident_flags(
+        F.col("tick"), F.col("current_lag"), F.col("messages_consumed"), F.col("messages_replicated"), F.col("error_count")
+    )
+    return numbered.select(*samples.columns, "tick", *[flag.alias(name) for name, flag in flags.items()])
+
+
 def incidents(
     samples: DataFrame,
     *,
