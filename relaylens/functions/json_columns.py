@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 INT_ARRAY = "array<int>"
 LONG_MAP = "map<string,bigint>"
-OFFSET_MAP = "map<string,map<int,bigint>>"
+OFFSET_MAP = "map<string,map<string,bigint>>"  # JSON keys are text
 
 
 def int_array(column: str) -> Column:
@@ -22,7 +22,10 @@ def long_map(column: str) -> Column:
 
 def offset_map(column: str) -> Column:
     """Offsets by topic and partition such as ``{"orders":{"0":10}}``."""
-    return F.from_json(F.col(column), OFFSET_MAP)
+    return F.transform_values(
+        F.from_json(F.col(column), OFFSET_MAP),
+        lambda _, offsets: F.transform_keys(offsets, lambda partition, _: partition.cast("int")),
+    )
 
 
 def sorted_map_json(entries: Column) -> Column:

@@ -73,36 +73,44 @@ def incident_flags(
     }
 
 
-def ticks(samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", chunk: Column | None = None) -> DataFrame:
-    """Samples numbered per job from 1 (``tick``), with the previous sample's values as ``prev_*``."""
+def ticks(
+    samples: DataFrame,
+    *,
+    order: Sequence[str] = ("ts",),
+    ts: str = "ts",
+    chunk: Column | None = None,
+    weight: Column | None = None,
+) -> DataFrame:
+    """Samples numbered per job (``tick``), with the previous sample's values as ``prev_*``.
+
+    ``weight`` is how far a sample moves the tick; by default 1.
+    """
     values = ("current_lag", "messages_consumed", "messages_replicated", "error_count")
     return along(
         samples, ["job_id"], order, minute_of(ts) if chunk is None else chunk,
-        running={"tick": F.lit(1)}, previous={f"prev_{v}": F.col(v) for v in values},
+        running={"tick": F.lit(1) if weight is None else weight}, previous={f"prev_{v}": F.col(v) for v in values},
     )
 
 
-def flagged_samples(
-    samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", chunk: Column | None = None
-) -> DataFrame:
-    """Samples with their tick and the five incident flags as columns."""
-    numbered = ticks(samples, order=order, ts=ts, chunk=chunk)
+def with_flags(numbered: DataFrame) -> DataFrame:
+    """Numbered samples with the five incident flags as columns."""
     flags = incident_flags(
         F.col("tick"), F.col("current_lag"), F.col("messages_consumed"), F.col("messages_replicated"), F.col("error_count")
     )
-    return numbered.select(*samples.columns, "tick", *[flag.alias(name) for name, flag in flags.items()])
+    return numbered.select(*numbered.columns, *[flag.alias(name) for name, flag in flags.items()])
 
 
-def incidents(
-    samples: DataFrame,
-    *,
-    rearm_every: int | None = None,
-    order: Sequence[str] = ("ts",),
-    ts: str = "ts",
-    chunk: Column | None = None,
+def flagged_samples(
+    samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", chunk: Column | None = None
 ) -> DataFrame:
-    """Edges of the incident flags per job: ``raised`` when one starts, ``resolved`` when a stall ends."""
-    numbered = ticks(samples, order=order, ts=ts, chunk=chunk)
+    """Samples with their tick and incident flags."""
+    return with_flags(ticks(samples, order=order, ts=ts, chunk=chunk).select(*samples.columns, "tick"))
+
+
+def incident_edges(
+    numbered: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", rearm_every: int | None = None
+) -> DataFrame:
+    """Edges of the incident flags of numbered samples: ``raised`` at a start, ``resolved`` at the end of a stall."""
     now = incident_flags(
         F.col("tick"), F.col("current_lag"), F.col("messages_consumed"), F.col("messages_replicated"),
         F.col("error_count"), rearm_every=rearm_every,
@@ -124,6 +132,18 @@ def incidents(
     return numbered.select(*kept, "tick", F.explode(edges).alias("e")).select(*kept, "tick", "e.incident", "e.transition")
 
 
+def incidents(
+    samples: DataFrame,
+    *,
+    rearm_every: int | None = None,
+    order: Sequence[str] = ("ts",),
+    ts: str = "ts",
+    chunk: Column | None = None,
+) -> DataFrame:
+    """Incident edges of every job's samples."""
+    return incident_edges(ticks(samples, order=order, ts=ts, chunk=chunk), order=order, ts=ts, rearm_every=rearm_every)
+
+
 def milestones(samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", chunk: Column | None = None) -> DataFrame:
     """First record within two ticks, and totals that are a multiple of 100, for both directions."""
     numbered = ticks(samples, order=order, ts=ts, chunk=chunk)
@@ -169,6 +189,23 @@ def metric_changes(points: DataFrame, *, order: Sequence[str] = ("ts",), ts: str
     return stepped.filter(~same).drop(*[f"prev_{w}" for w in watched])
 
 
+def analysis_gate(points: DataFrame, *, every_seconds: int = 300, order: Sequence[str] = ("ts",), ts: str = "ts") -> DataFrame:
+    """Ticks at which a job is due for a new analysis: its newest point differs from that of the tick before.
+
+    Ticks are as far apart as two analyses must be, so the last analysed point and that of the tick before
+    are the same whenever nothing changed. Only the newest point of a tick takes part, one row per job and tick.
+    """
+    watched = ("messages_replicated_delta", "avg_lag", "error_count_delta")
+    seconds = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(every_seconds * 1_000_000)).cast("long")
+    newest = F.max_by(F.struct(*watched), F.struct(*order) if len(order) > 1 else F.col(order[0]))
+    per_tick = points.groupBy("job_id", seconds.alias("slot")).agg(newest.alias("v"))
+    by_job = Window.partitionBy("job_id").orderBy("slot")
+    stepped = per_tick.withColumn("before", F.lag("v").over(by_job))
+    return stepped.filter(~F.col("v").eqNullSafe(F.col("before"))).select(
+        "job_id", F.timestamp_seconds((F.col("slot") + 1) * every_seconds).cast("timestamp_ntz").alias("tick_at"), "v.*"
+    )
+
+
 def series_statistics(
     points: DataFrame,
     *,

@@ -526,11 +526,11 @@ def _(v):
 
 
 @query("duplicate_cluster_ids", """
-SELECT provider, cluster_id, count(*) AS copies FROM clusters WHERE provider = 'confluent' AND cluster_id <> ''
-GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT cluster_id, count(*) AS copies FROM clusters WHERE provider IN ('confluent', 'redpanda') AND cluster_id <> ''
+GROUP BY 1 HAVING count(*) > 1""")
 def _(v):
-    scope = (F.col("provider") == "confluent") & (F.col("cluster_id") != "")
-    return quality.duplicate_keys(v.clusters, ["provider", "cluster_id"], scope=scope)
+    hosted = F.col("provider").isin("confluent", "redpanda") & (F.col("cluster_id") != "")
+    return quality.duplicate_keys(v.clusters, ["cluster_id"], scope=hosted)
 
 
 @query("replayed_records", """

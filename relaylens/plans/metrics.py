@@ -244,6 +244,17 @@ def _(v):
     return detect.metric_changes(v.metric_points, order=ORDER)
 
 
+@query("analysis_gate", """
+SELECT job_id, to_timestamp((slot + 1) * 300)::TIMESTAMP AS tick_at, m AS messages_replicated_delta, l AS avg_lag, e AS error_count_delta
+FROM (SELECT *, lag((m, l, e)) OVER (PARTITION BY job_id ORDER BY slot) AS before FROM (
+  SELECT job_id, CAST(floor(epoch_us(ts) / 300000000) AS BIGINT) AS slot, arg_max(messages_replicated_delta, event_id) AS m,
+    arg_max(avg_lag, event_id) AS l, arg_max(error_count_delta, event_id) AS e FROM metric_points GROUP BY 1, 2))
+WHERE (m, l, e) IS DISTINCT FROM before
+""")
+def _(v):
+    return detect.analysis_gate(v.metric_points, order=ORDER)
+
+
 @query("series_statistics", f"""
 SELECT job_id, points, avg_throughput, min_throughput, max_throughput, avg_lag, min_lag, max_lag, total_errors,
   CASE WHEN s2 > 1.2::DOUBLE * (s1::DOUBLE * n2 / nullif(n1, 0)) THEN 'increasing'

@@ -314,16 +314,17 @@ def _(v):
     return progress.newest_by_key(rows, ["job_id"], ["analyzed_at"])
 
 
-# as_of is Wednesday 31 January 2024, 00:00.
+# Read on Tuesday 30 January 2024, at noon.
 for _period, _bounds in {
-    "today": ">= DATE '2024-01-31'",
-    "yesterday": "= DATE '2024-01-30'",
+    "today": ">= DATE '2024-01-30'",
+    "yesterday": "= DATE '2024-01-29'",
     "this-week": ">= DATE '2024-01-29'",
     "last-week": "BETWEEN DATE '2024-01-22' AND DATE '2024-01-28'",
 }.items():
     @query(f"progress_{_period.replace('-', '_')}", f"SELECT * FROM progress WHERE last_updated {_bounds}")
     def _(v, period=_period):
-        return progress.in_calendar_period(v.progress, "last_updated", period, as_of=as_of())
+        noon = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
+        return progress.in_calendar_period(v.progress, "last_updated", period, as_of=noon)
 
 
 @query("unresolved_gaps", "SELECT * FROM gaps WHERE resolution_status = 'unresolved'")

@@ -72,7 +72,7 @@ def main() -> int:
     import __spark_entry__ as entry
     from relaylens.session import local_session
 
-    sf_dir, wanted = sys.argv[1], sys.argv[2:]
+    sf_dir, wanted = sys.argv[1], [a for a in sys.argv[2:] if a != "-v"]
     spark, con = local_session(8), connect(sf_dir)
     queries, oracles, bad = entry.queries(), entry.oracle_sql(), 0
     for name, run in queries.items():
