@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.session import checkpoint_root
+
 BROADCAST_ROWS = 100_000
 
 
@@ -15,3 +17,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     of the join (and splits skewed partitions), so a larger side is handled too.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small derived table (a topic map, partition counts) computed once and kept in the checkpoint folder.
+
+    Several joins of a plan, and the size check before them, then read it instead of deriving it again. On a
+    cluster without a checkpoint folder it stays as it is.
+    """
+    return df.checkpoint() if checkpoint_root(df.sparkSession) else df

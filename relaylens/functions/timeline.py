@@ -14,17 +14,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "__chunk"
+_KEY, _CHUNK = "__key", "__chunk"
+_FIRST = -(1 << 63)  # chunk of rows without a position: nulls sort first
 
 
 def minute_of(ts: str) -> Column:
     """Chunk of a timestamp column: its minute since the epoch (any timestamp type)."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60_000_000)).cast("long")
+    return F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) DIV 60000000")
 
 
 def block_of(position: str, rows: int = 1 << 18) -> Column:
     """Chunk of a dense integer position (an offset, a row id): blocks of ``rows`` positions."""
-    return F.floor(F.col(position) / F.lit(rows)).cast("long")
+    return F.expr(f"CAST({position} AS BIGINT) DIV {int(rows)}")
 
 
 def along(
@@ -42,35 +43,31 @@ def along(
     ``running``: name -> expression, summed from the key's first row up to this row.
     ``previous``: name -> expression, its value on the row just before (null on the first row).
     ``whole``: name -> expression, summed over all rows of the key.
-    ``chunk`` must never decrease along ``order``; ``order`` must be unique within a key.
+    ``chunk`` must never decrease along ``order``; rows that tie in ``order`` come in any order.
+
+    Rows of one key and chunk meet in a task, and so do the chunks of one key. Blocks of offsets are bounded
+    by their size. Minutes are bounded by how densely a job is sampled, and their number by the time covered:
+    half a million a year. Pass a finer ``chunk`` for a series with millions of rows a minute.
     """
     running, previous, whole = dict(running or {}), dict(previous or {}), dict(whole or {})
-    rows = df.withColumn(_CHUNK, chunk)
-    by_key = Window.partitionBy(*keys).orderBy(_CHUNK)
+    # The keys travel as one struct: unlike plain columns, structs with null fields compare as equal, and the
+    # join and the row-level window share one shuffle. The chunk comes first because a number sorts fastest.
+    rows = df.withColumns({_KEY: F.struct(*keys), _CHUNK: F.coalesce(chunk, F.lit(_FIRST))})
+    by_key = Window.partitionBy(_KEY).orderBy(_CHUNK)
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    in_chunk = Window.partitionBy(_CHUNK, _KEY).orderBy(*order)
     up_to_row = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     sums = [F.sum(e).alias(f"__sum_{n}") for n, e in {**running, **whole}.items()]
-    last = (
-        [F.max_by(F.struct(*[e.alias(n) for n, e in previous.items()]), position).alias("__last")]
-        if previous
-        else []
-    )
-    summary = rows.groupBy(*keys, _CHUNK).agg(*sums, *last)
-    carried = summary.select(
-        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
-        F.col(_CHUNK).alias("__at"),
+    lasts = [F.max_by(e, position).alias(f"__last_{n}") for n, e in previous.items()]
+    carried = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts).select(
+        _KEY, _CHUNK,
         *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in running],
-        *[F.sum(f"__sum_{n}").over(Window.partitionBy(*keys)).alias(f"__whole_{n}") for n in whole],
-        *([F.lag("__last").over(by_key).alias("__carry")] if previous else []),
+        *[F.sum(f"__sum_{n}").over(Window.partitionBy(_KEY)).alias(f"__whole_{n}") for n in whole],
+        *[F.lag(f"__last_{n}").over(by_key).alias(f"__carry_{n}") for n in previous],
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
-    condition = F.col(_CHUNK) == F.col("__at")
-    for part in same:
-        condition = condition & part
-    joined = rows.join(carried, condition)
+    joined = rows.join(carried, [_CHUNK, _KEY])
     first_in_chunk = F.row_number().over(in_chunk) == 1
     return joined.select(
         *df.columns,
@@ -79,7 +76,7 @@ def along(
             for n, e in running.items()
         ],
         *[
-            F.when(first_in_chunk, F.col(f"__carry.{n}")).otherwise(F.lag(e).over(in_chunk)).alias(n)
+            F.when(first_in_chunk, F.col(f"__carry_{n}")).otherwise(F.lag(e).over(in_chunk)).alias(n)
             for n, e in previous.items()
         ],
         *[F.col(f"__whole_{n}").alias(n) for n in whole],

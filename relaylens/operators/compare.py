@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.functions.sizes import broadcast_if_small, settled
 from relaylens.functions.timeline import along, block_of
 
 # Advice texts of the analysis and of the migration verdict.
@@ -181,9 +182,12 @@ def with_target_topic(resume: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def offset_holes(records: DataFrame, *, block: Column | None = None) -> DataFrame:
-    """Runs of missing offsets inside each partition: half-open ranges between neighbouring records."""
+    """Runs of missing offsets inside each partition: half-open ranges between neighbouring records.
+
+    Replayed records tie and are 0 apart, so they need no removal first.
+    """
     stepped = along(
-        records.select("topic", "partition_id", "rec_offset").distinct(), ["topic", "partition_id"], ["rec_offset"],
+        records.select("topic", "partition_id", "rec_offset"), ["topic", "partition_id"], ["rec_offset"],
         block_of("rec_offset") if block is None else block, previous={"before": F.col("rec_offset")},
     )
     return stepped.filter(F.col("rec_offset") - F.col("before") > 1).select(
@@ -195,23 +199,27 @@ def offset_holes(records: DataFrame, *, block: Column | None = None) -> DataFram
 
 def missing_at_target(source: DataFrame, target: DataFrame, mapping: DataFrame) -> DataFrame:
     """Source records of an offset-preserving mirror that the target lacks."""
-    routes = mapping.select("topic", "target_topic")
-    keyed = source.join(routes, "topic").select("topic", "target_topic", "partition_id", "rec_offset")
+    routes = settled(mapping.select("topic", "target_topic").distinct())
+    keyed = source.join(broadcast_if_small(routes), "topic").select("topic", "target_topic", "partition_id", "rec_offset")
     present = target.select(F.col("topic").alias("target_topic"), "partition_id", "rec_offset")
     return keyed.join(present, ["target_topic", "partition_id", "rec_offset"], "left_anti").select(
         "topic", "target_topic", "partition_id", "rec_offset"
     )
 
 
-def checkpoint_snapshot(offsets: DataFrame) -> DataFrame:
-    """Committed offsets and high-water marks as JSON maps from partition to offset, one row per topic."""
+def checkpoint_snapshot(offsets: DataFrame, *, page_size: int = 1000) -> DataFrame:
+    """Committed offsets and high-water marks as JSON maps from partition to offset, by topic.
+
+    A topic's partitions come in pages of ``page_size`` ids, so a row stays bounded.
+    """
 
     def as_map(value: Column) -> Column:
         entries = F.sort_array(F.collect_list(F.struct(F.col("partition_id"), value.alias("v"))))
         return F.to_json(F.map_from_entries(entries))
 
     committed = F.coalesce("last_offset", F.lit(-1)) + 1
-    return offsets.groupBy("topic").agg(
+    page = F.expr(f"CAST(partition_id DIV {int(page_size)} AS BIGINT)").alias("page")
+    return offsets.groupBy("topic", page).agg(
         as_map(committed).alias("source_consumer_group_offsets"),
         as_map(F.col("high_water_mark")).alias("target_high_water_marks"),
         F.count(F.lit(1)).alias("partitions"),

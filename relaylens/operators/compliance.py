@@ -118,12 +118,16 @@ def metric_sections(points: DataFrame, *, as_of: Column) -> DataFrame:
     )
 
 
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    """Active jobs now, under every period."""
+    periods = F.explode(F.array(*[F.lit(p) for p in PERIODS])).alias("period")
+    return jobs.filter(F.col("status") == "active").select(periods).groupBy("period").agg(F.count(F.lit(1)).alias("active_jobs"))
+
+
 def data_processing(points: DataFrame, jobs: DataFrame, *, as_of: Column) -> DataFrame:
     """Messages, bytes and average lag per period, with the number of active jobs."""
-    active = jobs.agg(F.count_if(F.col("status") == "active").alias("active_jobs"))
-    return metric_sections(points, as_of=as_of).select("period", "total_messages", "total_bytes", "average_lag").join(
-        F.broadcast(active)  # one row
-    )
+    sections = metric_sections(points, as_of=as_of).select("period", "total_messages", "total_bytes", "average_lag")
+    return sections.join(active_jobs(jobs), "period", "left").na.fill(0, ["active_jobs"])
 
 
 def performance(points: DataFrame, *, as_of: Column) -> DataFrame:
@@ -189,13 +193,13 @@ def compliance_reports(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct("insight_type", "insights"))))
         ).alias("insights_by_type"),
     )
-    active = jobs.agg(F.count_if(F.col("status") == "active").alias("active_jobs"))
     joined = (
         all_periods(events, as_of=as_of)
         .join(event_sections(events, as_of=as_of), "period")
         .join(metric_sections(points, as_of=as_of), "period")
         .join(usage, "period", "left")
-        .join(F.broadcast(active))  # one row
+        .join(active_jobs(jobs), "period", "left")
+        .na.fill(0, ["active_jobs"])
     )
     return health_columns(joined).withColumn(
         "total_insights_generated", F.coalesce("total_insights_generated", F.lit(0))

@@ -22,27 +22,31 @@ _SEPARATOR = "\u0001"
 
 
 def _fields(lines: DataFrame, line: str) -> DataFrame:
-    """One regular expression per line puts all fields next to each other; a line that does not match stays whole."""
+    """All fields of a line from one regular expression; a line that does not match is a single field.
+
+    The one-element explode makes Spark compute the fields once; as a plain column the expression would be
+    repeated in every filter and column that uses it.
+    """
     rewritten = F.regexp_replace(F.col(line), LINE, _SEPARATOR.join(f"${i}" for i in range(1, len(FIELDS) + 1)))
-    parts = F.split(rewritten, _SEPARATOR)
-    named = lines.withColumn("__parts", F.when(F.col(line).startswith("["), parts))
+    return lines.select("*", F.explode(F.array(F.split(rewritten, _SEPARATOR))).alias("__parts"))
+
+
+def _time() -> Column:
     matched = F.size("__parts") == len(FIELDS)
-    return named.withColumn(
-        "__at", F.when(matched, F.try_to_timestamp(F.col("__parts")[0], F.lit(TIME_FORMAT))).cast("timestamp_ntz")
-    )
+    return F.when(matched, F.try_to_timestamp(F.col("__parts")[0], F.lit(TIME_FORMAT))).cast("timestamp_ntz")
 
 
 def parse_log_lines(lines: DataFrame, *, line: str = "line") -> DataFrame:
     """Well-formed lines as ``ts, level, caller, category, subcategory, job_id, component, message``."""
-    parsed = _fields(lines, line).filter(F.col("__at").isNotNull())
+    parsed = _fields(lines, line).withColumn("ts", _time()).filter(F.col("ts").isNotNull())
     values: list[Column] = [F.col("__parts")[i].alias(name) for i, name in enumerate(FIELDS) if name not in ("time", "message")]
     kept = [c for c in lines.columns if c != line]
-    return parsed.select(*kept, F.col("__at").alias("ts"), *values, F.trim(F.col("__parts")[7]).alias("message"))
+    return parsed.select(*kept, "ts", *values, F.trim(F.col("__parts")[7]).alias("message"))
 
 
 def malformed_log_lines(lines: DataFrame, *, line: str = "line") -> DataFrame:
     """Lines that are not log entries."""
-    return _fields(lines, line).filter(F.col("__at").isNull()).select(*lines.columns)
+    return _fields(lines, line).filter(_time().isNull()).select(*lines.columns)
 
 
 def job_log_entries(parsed: DataFrame, *, since: Column, job_id: str | None = None) -> DataFrame:

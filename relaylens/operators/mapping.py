@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylens.functions.sizes import broadcast_if_small
+from relaylens.functions.sizes import broadcast_if_small, settled
 from relaylens.functions.templates import is_pattern, java_pattern, java_replacement
 
 
@@ -112,16 +112,21 @@ def kept_partition(partition: Column, target_partitions: Column) -> Column:
     return F.when(partition < target_partitions, partition)
 
 
+def route_keys(records: DataFrame) -> list[str]:
+    return ["job_id", "topic"] if "job_id" in records.columns else ["topic"]
+
+
 def mirror(
     records: DataFrame, mapping: DataFrame, target_partitions: DataFrame, *, preserve_partitions: bool = True
 ) -> DataFrame:
     """Records under their target topics. Key, value and headers stay; unmapped records are left out.
 
-    ``mapping`` is a :func:`topic_map`, ``target_partitions`` has ``(target_topic, partitions)``. The map is
-    broadcast only when a count proves it small, so the records are normally not shuffled.
+    ``mapping`` is a :func:`topic_map`, ``target_partitions`` has ``(target_topic, partitions)``. Records with a
+    ``job_id`` follow the rules of their job, others those of every job. The map is broadcast only when a count
+    proves it small, so the records are normally not shuffled.
     """
-    routes = mapping.join(target_partitions, "target_topic", "left")
-    out = records.join(broadcast_if_small(routes), ["job_id", "topic"])
+    routes = settled(mapping.join(target_partitions, "target_topic", "left"))
+    out = records.join(broadcast_if_small(routes), route_keys(records))
     partition = kept_partition(F.col("partition_id"), F.col("partitions")) if preserve_partitions else F.lit(None).cast("int")
     payload = [c for c in ("rec_key", "rec_value", "headers") if c in records.columns]
     return out.select(
@@ -133,7 +138,8 @@ def mirror(
 
 def rejected(records: DataFrame, mapping: DataFrame) -> DataFrame:
     """Records without a mapping for their job and topic."""
-    return records.join(broadcast_if_small(mapping.select("job_id", "topic")), ["job_id", "topic"], "left_anti")
+    mapped = settled(mapping.select(*route_keys(records)).distinct())
+    return records.join(broadcast_if_small(mapped), route_keys(records), "left_anti").select(*records.columns)
 
 
 def size_tiers(records: DataFrame, *, large: int = 5120, medium: int = 2048, sample_every: int = 100) -> DataFrame:

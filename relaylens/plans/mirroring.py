@@ -267,7 +267,7 @@ def _(v):
 SELECT topic, '{' || string_agg('"' || partition_id || '":' || (coalesce(last_offset, -1) + 1), ',' ORDER BY partition_id) || '}'
     AS source_consumer_group_offsets,
   '{' || string_agg('"' || partition_id || '":' || high_water_mark, ',' ORDER BY partition_id) || '}' AS target_high_water_marks,
-  count(*) AS partitions FROM offsets GROUP BY topic""")
+  CAST(partition_id // 1000 AS BIGINT) AS page, count(*) AS partitions FROM offsets GROUP BY topic, page""")
 def _(v):
     return compare.checkpoint_snapshot(v.offsets)
 

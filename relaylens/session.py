@@ -32,13 +32,13 @@ def local_session(cores: int | str = 8, app: str = "relaylens", **extra: str) ->
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, else (tests) a new local one."""
+def checkpoint_root(spark: SparkSession) -> str | None:
+    """The shared folder for checkpoints: the cluster's own setting; in local mode a new folder; else none."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured:
-        return configured
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="relaylens-checkpoints-"))
-    return context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if configured:
+            context.setCheckpointDir(configured)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="relaylens-checkpoints-"))
+    return configured or context.getCheckpointDir()

@@ -52,7 +52,10 @@ class DatedTable:
         edge = self.read().filter(F.col("event_date") == F.lit(cutoff.date()))
         kept = edge.filter(F.col(self.ts) >= F.lit(cutoff).cast(edge.schema[self.ts].dataType))
         # The rows are read from the table that is overwritten, so they go through a staged copy first.
-        staged = f"{checkpoint_root(self.spark)}/staged-{uuid.uuid4().hex}"
+        root = checkpoint_root(self.spark)
+        if root is None:
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        staged = f"{root}/staged-{uuid.uuid4().hex}"
         kept.write.parquet(staged)
         survivors = self.spark.read.schema(kept.schema).parquet(staged)
         if survivors.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from relaylens.functions.sizes import broadcast_if_small
+from relaylens.functions.sizes import settled
 from relaylens.operators import mapping
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -23,11 +23,9 @@ def mirror_batch(
     records: DataFrame, rules: DataFrame, target_partitions: DataFrame, *, preserve_partitions: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Mirrored and rejected records of a micro-batch, for every job whose rules name their topic."""
-    routes = mapping.topic_map(mapping.resolve_mappings(records.select("topic"), rules))
-    routed = records.join(broadcast_if_small(routes.select("job_id", "topic")), "topic")
-    mirrored = mapping.mirror(routed, routes, target_partitions, preserve_partitions=preserve_partitions)
-    rejects = records.join(broadcast_if_small(routes.select("topic").distinct()), "topic", "left_anti")
-    return mirrored, rejects
+    routes = settled(mapping.topic_map(mapping.resolve_mappings(records.select("topic"), rules)))
+    mirrored = mapping.mirror(records, routes, target_partitions, preserve_partitions=preserve_partitions)
+    return mirrored, mapping.rejected(records, routes)
 
 
 def start_mirror(
