@@ -11,6 +11,9 @@ from relaylens.functions.ratios import error_rate_over, error_rate_under
 from relaylens.functions.timeline import along, minute_of
 from relaylens.operators.metrics import newest_per_job, within
 
+# Fixed value: advice for a job without throughput.
+ZERO_THROUGHPUT_ADVICE = "Zero throughput detected. Consider using 'jobs restart-force' to recover the job."
+
 STALL_KINDS = ("source_stalled", "target_stalled")
 
 
@@ -59,6 +62,14 @@ def anomalies(
     return halves.withColumn("anomaly_kind", kind)
 
 
+def zero_throughput_advice(found: DataFrame) -> DataFrame:
+    """An insight for each job of :func:`anomalies` that shows an anomaly and moved no message at all."""
+    return found.filter((F.col("anomaly_kind") != "none") & (F.col("messages") == 0)).select(
+        "job_id", F.lit("recommendation").alias("insight_type"), F.lit("high").alias("severity_level"),
+        F.lit("system-rule").alias("ai_model"), F.lit(ZERO_THROUGHPUT_ADVICE).alias("recommendation"),
+    )
+
+
 def incident_flags(
     tick: Column, lag: Column, consumed: Column, produced: Column, errors: Column, *, rearm_every: int | None = None
 ) -> dict[str, Column]:

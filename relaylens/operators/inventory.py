@@ -148,3 +148,21 @@ def snapshots_of_job(snapshots: DataFrame, *, job_id: str | None = None) -> Data
     """Snapshots newest first, of one job or of all."""
     rows = snapshots if job_id is None else snapshots.filter(F.col("job_id") == job_id)
     return rows.orderBy("job_id", F.col("created_at").desc())
+
+
+def group_offsets(groups: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Committed offsets of every snapshot's consumer groups, with the lag of each partition."""
+    current = F.coalesce("current_offset", F.lit(-1))
+    return groups.join(offsets, "group_inventory_id").select(
+        "snapshot_id", "group_id", "topic_name", "partition_id", current.alias("current_offset"), "high_water_mark",
+        F.greatest(F.col("high_water_mark") - current - 1, F.lit(0)).alias("lag"),
+    )
+
+
+def group_lag(groups: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Partitions and total lag per snapshot and consumer group; groups without offsets have none."""
+    behind = F.greatest(F.col("high_water_mark") - F.coalesce("current_offset", F.lit(-1)) - 1, F.lit(0))
+    per_group = offsets.groupBy("group_inventory_id").agg(F.count(F.lit(1)).alias("partitions"), F.sum(behind).alias("lag"))
+    return groups.join(per_group, "group_inventory_id", "left").select(
+        "snapshot_id", "group_id", F.coalesce("partitions", F.lit(0)).alias("partitions"), F.coalesce("lag", F.lit(0)).alias("lag")
+    )

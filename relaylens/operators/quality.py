@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.schemas import COLUMN_DOMAINS, DOMAINS
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], *, scope: Column | None = None) -> DataFrame:
     """Keys that occur more than once among the rows in scope, with how often."""
@@ -23,6 +26,14 @@ def domain_violations(df: DataFrame, column: str, allowed: Sequence[str]) -> Dat
     )
 
 
+def table_violations(df: DataFrame, table: str) -> DataFrame:
+    """Violations of all enumerated columns of a mirroring table that ``df`` has."""
+    checks = [
+        domain_violations(df, column, DOMAINS[domain]) for column, domain in COLUMN_DOMAINS[table].items() if column in df.columns
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Child values without a parent row, with their number of rows; nulls refer to nothing and pass."""
     used = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows_found"))

@@ -305,12 +305,12 @@ def _(v):
 
 
 @query("analysis_context", PARSED + """,
-m AS (SELECT job_id, to_timestamp((epoch(ts)::BIGINT // 1800 + 1) * 1800)::TIMESTAMP AS window_end, count(*) AS points,
+m AS (SELECT job_id, make_timestamp((epoch_us(ts) // 1800000000 + 1) * 1800000000) AS window_end, count(*) AS points,
     CAST(sum(messages_replicated_delta) AS BIGINT) AS messages, max(avg_lag) AS max_lag, CAST(sum(error_count_delta) AS BIGINT) AS errors
-  FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM metric_points) GROUP BY 1, 2),
-l AS (SELECT job_id, to_timestamp((epoch(ts)::BIGINT // 1800 + 1) * 1800)::TIMESTAMP AS window_end, count(*) AS log_lines,
+  FROM metric_points GROUP BY 1, 2),
+l AS (SELECT job_id, make_timestamp((epoch_us(ts) // 1800000000 + 1) * 1800000000) AS window_end, count(*) AS log_lines,
     count(*) FILTER (WHERE level = 'ERROR') AS error_lines, count(*) FILTER (WHERE level = 'WARN') AS warn_lines
-  FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM entries) WHERE job_id <> '' GROUP BY 1, 2)
+  FROM entries WHERE job_id <> '' GROUP BY 1, 2)
 SELECT job_id, window_end, points, messages, max_lag, errors, coalesce(log_lines, 0) AS log_lines,
   coalesce(error_lines, 0) AS error_lines, coalesce(warn_lines, 0) AS warn_lines
 FROM m LEFT JOIN l USING (job_id, window_end)""")
@@ -522,6 +522,44 @@ def _(v):
     return inventory.snapshots_of_job(_tree(v)[0])
 
 
+GROUPS = """
+WITH inv_groups AS (SELECT s_suppkey AS group_inventory_id, s_nationkey % 5 AS snapshot_id, s_name AS group_id FROM supplier),
+group_rows AS (SELECT l_suppkey AS group_inventory_id, 't' || l_partkey % 10 AS topic_name, l_linenumber AS partition_id,
+    max(CASE WHEN l_returnflag = 'N' THEN l_orderkey END) AS current_offset, max(l_orderkey) + 1 AS high_water_mark
+  FROM lineitem GROUP BY 1, 2, 3)
+"""
+
+
+def _groups(v: Views):
+    groups = v.table("supplier").selectExpr(
+        "s_suppkey AS group_inventory_id", "s_nationkey % 5 AS snapshot_id", "s_name AS group_id"
+    )
+    offsets = v.table("lineitem").selectExpr(
+        "l_suppkey AS group_inventory_id", "concat('t', l_partkey % 10) AS topic_name", "l_linenumber AS partition_id",
+        "l_orderkey", "l_returnflag",
+    ).groupBy("group_inventory_id", "topic_name", "partition_id").agg(
+        F.max(F.when(F.col("l_returnflag") == "N", F.col("l_orderkey"))).alias("current_offset"),
+        (F.max("l_orderkey") + 1).alias("high_water_mark"),
+    )
+    return groups, offsets
+
+
+@query("consumer_group_offsets", GROUPS + """
+SELECT snapshot_id, group_id, topic_name, partition_id, coalesce(current_offset, -1) AS current_offset, high_water_mark,
+  greatest(high_water_mark - coalesce(current_offset, -1) - 1, 0) AS lag
+FROM inv_groups JOIN group_rows USING (group_inventory_id)""")
+def _(v):
+    return inventory.group_offsets(*_groups(v))
+
+
+@query("consumer_group_lag", GROUPS + """
+SELECT snapshot_id, group_id, count(partition_id) AS partitions,
+  CAST(coalesce(sum(greatest(high_water_mark - coalesce(current_offset, -1) - 1, 0)), 0) AS BIGINT) AS lag
+FROM inv_groups LEFT JOIN group_rows USING (group_inventory_id) GROUP BY 1, 2""")
+def _(v):
+    return inventory.group_lag(*_groups(v))
+
+
 # --- data quality -----------------------------------------------------------------------------------
 
 
@@ -542,6 +580,23 @@ def _(v):
     return quality.duplicate_keys(replay, ["topic", "partition_id", "rec_offset"])
 
 
+@query("duplicate_names", """
+SELECT p_name, count(*) AS copies FROM part GROUP BY 1 HAVING count(*) > 1""")
+def _(v):
+    return quality.duplicate_keys(v.table("part"), ["p_name"])
+
+
+@query("table_domain_violations", """
+SELECT 'insight_type' AS column_name, insight_type AS value, count(*) AS rows_found FROM insights
+WHERE insight_type NOT IN ('anomaly', 'optimization', 'prediction', 'incident_report', 'recommendation', 'enhanced_analysis',
+  'log_analysis', 'incident_analysis', 'historical_trend', 'fallback_analysis', 'throttling_adjustment') GROUP BY 2
+UNION ALL SELECT 'resolution_status', validation_status, count(*) FROM resume
+  WHERE validation_status NOT IN ('unresolved', 'in_progress', 'resolved', 'ignored') GROUP BY 2""")
+def _(v):
+    pending = v.resume.withColumnRenamed("validation_status", "resolution_status")
+    return quality.table_violations(v.insights, "ai_insights").unionByName(quality.table_violations(pending, "mirror_gaps"))
+
+
 @query("domain_violations", """
 SELECT 'status' AS column_name, status AS value, count(*) AS rows_found FROM clusters
   WHERE status NOT IN ('active', 'inactive', 'unknown') GROUP BY 2

@@ -117,7 +117,7 @@ def _(v):
     return metrics.recent_summary(v.metric_points, as_of=as_of(), minutes=4320, order=ORDER)
 
 
-for _span, _interval in (("2h", "2 HOURS"), ("7d", "7 DAYS")):
+for _span, _interval in (("2h", "2 HOURS"), ("24h", "24 HOURS"), ("7d", "7 DAYS"), ("30d", "30 DAYS")):
     @query(f"metric_history_{_span}", f"""
     SELECT {POINT_COLUMNS} FROM metric_points
     WHERE ts BETWEEN {NOW} - INTERVAL {_interval} AND {NOW} ORDER BY ts
@@ -183,6 +183,22 @@ def _(v):
     return detect.anomalies(v.metric_points, as_of=as_of(), span="INTERVAL 7 DAYS", order=ORDER)
 
 
+@query("zero_throughput_advice", f"""
+SELECT job_id, 'recommendation' AS insight_type, 'high' AS severity_level, 'system-rule' AS ai_model,
+  'Zero throughput detected. Consider using ''jobs restart-force'' to recover the job.' AS recommendation
+FROM (SELECT job_id, sum(m) AS m, sum(e) AS e, count(*) AS n, avg(lag) FILTER (WHERE rn <= c // 2) AS new_lag,
+    avg(lag) FILTER (WHERE rn > c // 2) AS old_lag
+  FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS c FROM (
+    SELECT job_id, messages_replicated_delta AS m, avg_lag AS lag, error_count_delta AS e,
+      row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn
+    FROM metric_points WHERE ts > {NOW} - INTERVAL 7 DAYS AND ts <= {NOW}) WHERE rn <= 10) GROUP BY job_id)
+WHERE n >= 3 AND m = 0 AND (e > 0 OR new_lag > 1000 OR (old_lag > 0 AND new_lag > 2 * old_lag))
+""")
+def _(v):
+    found = detect.anomalies(v.metric_points, as_of=as_of(), span="INTERVAL 7 DAYS", order=ORDER)
+    return detect.zero_throughput_advice(found)
+
+
 INCIDENTS = """
 WITH f AS (
   SELECT *, current_lag > 200 AS critical_lag,
@@ -245,9 +261,9 @@ def _(v):
 
 
 @query("analysis_gate", """
-SELECT job_id, to_timestamp((slot + 1) * 300)::TIMESTAMP AS tick_at, m AS messages_replicated_delta, l AS avg_lag, e AS error_count_delta
+SELECT job_id, make_timestamp((slot + 1) * 300000000) AS tick_at, m AS messages_replicated_delta, l AS avg_lag, e AS error_count_delta
 FROM (SELECT *, lag((m, l, e)) OVER (PARTITION BY job_id ORDER BY slot) AS before FROM (
-  SELECT job_id, CAST(floor(epoch_us(ts) / 300000000) AS BIGINT) AS slot, arg_max(messages_replicated_delta, event_id) AS m,
+  SELECT job_id, epoch_us(ts) // 300000000 AS slot, arg_max(messages_replicated_delta, event_id) AS m,
     arg_max(avg_lag, event_id) AS l, arg_max(error_count_delta, event_id) AS e FROM metric_points GROUP BY 1, 2))
 WHERE (m, l, e) IS DISTINCT FROM before
 """)

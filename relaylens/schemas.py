@@ -23,6 +23,22 @@ DOMAINS: dict[str, tuple[str, ...]] = {
     "resolution_status": ("unresolved", "in_progress", "resolved", "ignored"),
 }
 
+# Which domain a table's column has.
+COLUMN_DOMAINS: dict[str, dict[str, str]] = {
+    "replication_jobs": {"status": "job_status"},
+    "ai_insights": {"insight_type": "insight_type"},
+    "compliance_reports": {"period": "report_period"},
+    "job_inventory_snapshots": {"snapshot_type": "snapshot_type"},
+    "cluster_inventory": {"cluster_type": "cluster_type"},
+    "connection_inventory": {"connection_type": "connection_type"},
+    "mirror_progress": {"status": "progress_status"},
+    "mirror_progress_history": {"status": "progress_status"},
+    "resume_points": {"validation_status": "validation_status"},
+    "migration_checkpoints": {"checkpoint_type": "checkpoint_type"},
+    "mirror_state_analysis": {"analysis_type": "analysis_type"},
+    "mirror_gaps": {"gap_type": "gap_type", "resolution_status": "resolution_status"},
+}
+
 _PROGRESS = (
     "job_id string, source_topic string, target_topic string, partition_id int, source_offset bigint, target_offset bigint, "
     "source_high_water_mark bigint, target_high_water_mark bigint, last_replicated_offset bigint, replication_lag bigint, "

@@ -13,7 +13,7 @@ from relaylens.functions.timeline import minute_of
 from relaylens.operators import detect, metrics
 from relaylens.operators.progress import newest_by_key
 from relaylens.streaming.carry import Carry
-from relaylens.streaming.mirror import BatchWriter
+from relaylens.streaming.mirror import BatchWriter, reading_once
 
 WATCHED = ("messages_replicated_delta", "avg_lag", "error_count_delta")
 
@@ -33,7 +33,7 @@ def rollup_windows(points: DataFrame, *, every: str = "1 hour", delay: str = "10
 
 def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/offsets")
+        stream.writeStream.foreachBatch(reading_once(run)).option("checkpointLocation", f"{checkpoint}/offsets")
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -19,6 +19,19 @@ def parquet_writer(path: str) -> BatchWriter:
     return lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def reading_once(run: BatchWriter) -> BatchWriter:
+    """``run`` on a cached micro-batch, as it uses the rows more than once and the source is read each time."""
+
+    def cached(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            run(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    return cached
+
+
 def mirror_batch(
     records: DataFrame, rules: DataFrame, target_partitions: DataFrame, *, preserve_partitions: bool = True
 ) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +64,7 @@ def start_mirror(
         write_rejected(rejects, batch_id)
 
     return (
-        records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        records.writeStream.foreachBatch(reading_once(run)).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
 
@@ -61,11 +74,19 @@ def without_replays(records: DataFrame, *, ts: str = "ts", delay: str = "10 minu
     return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["topic", "partition_id", "rec_offset"])
 
 
+def observed(records: DataFrame, name: str = "traffic") -> DataFrame:
+    """The same records; each micro-batch's progress report carries their number and bytes under ``name``."""
+    return records.observe(name, F.count(F.lit(1)).alias("records"), F.sum(_size()).cast("long").alias("bytes"))
+
+
+def _size() -> Column:
+    return F.coalesce(F.octet_length("rec_key"), F.lit(0)) + F.coalesce(F.octet_length("rec_value"), F.lit(0))
+
+
 def traffic_windows(records: DataFrame, *, every: str = "10 seconds", delay: str = "1 minute", ts: str = "ts") -> DataFrame:
     """Records and bytes per topic and tumbling window; rows later than ``delay`` are left out."""
-    size = F.coalesce(F.octet_length("rec_key"), F.lit(0)) + F.coalesce(F.octet_length("rec_value"), F.lit(0))
     return (
         records.withWatermark(ts, delay).groupBy(F.window(ts, every), "topic")
-        .agg(F.count(F.lit(1)).alias("records"), F.sum(size).cast("long").alias("bytes"))
+        .agg(F.count(F.lit(1)).alias("records"), F.sum(_size()).cast("long").alias("bytes"))
         .select(F.col("window.start").alias("window_start"), "topic", "records", "bytes")
     )

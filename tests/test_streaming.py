@@ -193,3 +193,10 @@ def test_health_alert_stream(spark, tmp_path):
     flat = base.select(F.col("name").alias("topic_name"), F.explode("partition_info").alias("p")).select(
         "topic_name", F.col("p.id").alias("partition_id"), F.to_json("p.replicas").alias("replica_ids"), F.to_json("p.isr").alias("isr_ids"))
     assert rows(got) == rows(inventory.health_alerts(inventory.topic_health(wanted, flat)))
+
+
+def test_observed_traffic(spark, views, tmp_path):
+    seen = mirror.observed(kafka.as_records(parts(kafka_rows(views), tmp_path / "in", 2)))
+    query = seen.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start()
+    run(query)
+    assert sum(p.observedMetrics["traffic"].records for p in query.recentProgress if p.observedMetrics) == views.records.count()
