@@ -23,6 +23,17 @@ def minute_of(ts: str) -> Column:
     return F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) DIV 60000000")
 
 
+def fitted_chunk(df: DataFrame, keys: Sequence[str], ts: str, *, max_rows: int = 1 << 22) -> Column:
+    """Like :func:`minute_of`, but finer when some key has more than ``max_rows`` rows in a minute.
+
+    Counts the rows per key and minute (combined before the shuffle) to choose the width.
+    """
+    counts = df.groupBy(*keys, minute_of(ts).alias("__minute")).agg(F.count(F.lit(1)).alias("__n"))
+    densest = counts.agg(F.max("__n")).first()[0] or 0
+    width = max(1, 60_000_000 // max(1, -(-densest // max_rows)))
+    return F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) DIV {width}")
+
+
 def block_of(position: str, rows: int = 1 << 18) -> Column:
     """Chunk of a dense integer position (an offset, a row id): blocks of ``rows`` positions."""
     return F.expr(f"CAST({position} AS BIGINT) DIV {int(rows)}")
@@ -47,7 +58,7 @@ def along(
 
     Rows of one key and chunk meet in a task, and so do the chunks of one key. Blocks of offsets are bounded
     by their size. Minutes are bounded by how densely a job is sampled, and their number by the time covered:
-    half a million a year. Pass a finer ``chunk`` for a series with millions of rows a minute.
+    half a million a year. For a series with millions of rows a minute pass :func:`fitted_chunk`.
     """
     running, previous, whole = dict(running or {}), dict(previous or {}), dict(whole or {})
     # The keys travel as one struct: unlike plain columns, structs with null fields compare as equal, and the

@@ -184,10 +184,11 @@ def with_target_topic(resume: DataFrame, mappings: DataFrame) -> DataFrame:
 def offset_holes(records: DataFrame, *, block: Column | None = None) -> DataFrame:
     """Runs of missing offsets inside each partition: half-open ranges between neighbouring records.
 
-    Replayed records tie and are 0 apart, so they need no removal first.
+    Copies of a record are dropped first, before the shuffle where they meet, so that a much replayed one does
+    not fill its block.
     """
     stepped = along(
-        records.select("topic", "partition_id", "rec_offset"), ["topic", "partition_id"], ["rec_offset"],
+        records.select("topic", "partition_id", "rec_offset").distinct(), ["topic", "partition_id"], ["rec_offset"],
         block_of("rec_offset") if block is None else block, previous={"before": F.col("rec_offset")},
     )
     return stepped.filter(F.col("rec_offset") - F.col("before") > 1).select(

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaylens.functions.timeline import along, minute_of
 
+# The functions that run in Python workers travel with the plan, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Cumulative counters of a sample, and the delta column each becomes in a metric point.
 COUNTERS = {
     "messages_replicated": "messages_replicated_delta",
@@ -169,9 +174,11 @@ def downsample_by_minute(samples: DataFrame, *, ts: str = "ts") -> DataFrame:
 
 def current_totals(points: DataFrame, jobs: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts") -> DataFrame:
     """Totals per job with the newest lag and time; jobs without points count as zero."""
-    newest = F.max(F.struct(*order, "avg_lag"))
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     totals = points.groupBy("job_id").agg(
-        *[F.sum(d).alias(c) for c, d in COUNTERS.items()], newest.alias("newest")
+        *[F.sum(d).alias(c) for c, d in COUNTERS.items()],
+        F.max_by("avg_lag", position).alias("newest_lag"),
+        F.max(ts).alias("last_sample_at"),
     )
     return (
         jobs.select("job_id")
@@ -179,8 +186,8 @@ def current_totals(points: DataFrame, jobs: DataFrame, *, order: Sequence[str] =
         .select(
             "job_id",
             *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS],
-            F.coalesce("newest.avg_lag", F.lit(0)).alias("current_lag"),
-            F.col(f"newest.{ts}").alias("last_sample_at"),
+            F.coalesce("newest_lag", F.lit(0)).alias("current_lag"),
+            "last_sample_at",
         )
     )
 

@@ -88,3 +88,10 @@ def test_offset_maps_survive_json(spark):
     df = spark.createDataFrame([('{"another-topic":2500,"test-topic":1000}', text)], "a string, b string")
     back = df.select(sorted_map_json(long_map("a")), F.to_json(offset_map("b"))).first()
     assert tuple(back) == ('{"another-topic":2500,"test-topic":1000}', text)
+
+
+def test_a_much_replayed_record_does_not_matter(spark):
+    copies = spark.range(5000).selectExpr("'t' AS topic", "0 AS partition_id", "4L AS rec_offset")
+    others = spark.createDataFrame([("t", 0, 1), ("t", 0, 9)], "topic string, partition_id int, rec_offset long")
+    got = compare.offset_holes(copies.unionByName(others)).select("gap_start_offset", "gap_end_offset")
+    assert rows(got) == [(2, 4), (5, 9)]

@@ -190,3 +190,18 @@ def test_trend(spark, rows, trend):
                                         ([(100, 5001, 0)], "medium"), ([(0, 0, 0)], "info"), ([(0, 0, 1)], "high")])
 def test_severity(spark, rows, level):
     assert detect.severity(points(spark, rows), as_of=now()).first().severity == level
+
+
+def test_worker_functions_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((metrics._Steps, metrics._apply_steps)))
+    code = (
+        "import pickle, sys; steps, apply = pickle.load(open('f.pkl', 'rb')); s = steps(); [s.extend(x) for x in (5, 3)]; "
+        "print(apply(0, s.limits, s.results, s.added), 'relaylens' in sys.modules)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
+    assert out.stdout.split() == ["8", "False"], out.stderr

@@ -41,3 +41,14 @@ def test_null_keys_stay(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         [(None, 1, 5, 5, None), (None, 2, 6, 11, 5), ("a", 1, 7, 7, None)], key=repr
     )
+
+
+def test_fitted_chunk_splits_a_dense_minute(spark):
+    from relaylens.functions.timeline import fitted_chunk, minute_of
+
+    df = spark.range(3000).selectExpr("'k' AS k", "id AS x", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id / 50.0) AS ts")
+    chunk = fitted_chunk(df, ["k"], "ts", max_rows=100)
+    assert df.select(minute_of("ts")).distinct().count() == 1
+    assert max(r["count"] for r in df.groupBy(chunk).count().collect()) <= 101
+    got = along(df, ["k"], ["ts"], chunk, running={"n": F.lit(1)}, previous={"b": F.col("x")}).collect()
+    assert all(r.n == r.x + 1 and r.b == (r.x - 1 if r.x else None) for r in got) and len(got) == 3000
