@@ -42,10 +42,10 @@ def anomalies(
 
     halves = sized.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("points"),
-        F.round(mean(messages, is_new), 6).alias("recent_throughput"),
-        F.round(mean(messages, ~is_new), 6).alias("baseline_throughput"),
-        F.round(mean(lag, is_new), 6).alias("recent_lag"),
-        F.round(mean(lag, ~is_new), 6).alias("baseline_lag"),
+        mean(messages, is_new).alias("recent_throughput"),
+        mean(messages, ~is_new).alias("baseline_throughput"),
+        mean(lag, is_new).alias("recent_lag"),
+        mean(lag, ~is_new).alias("baseline_lag"),
         F.sum(messages).alias("messages"),
         F.sum("error_count_delta").alias("errors"),
     )
@@ -54,12 +54,13 @@ def anomalies(
     kind = (
         F.when(F.col("points") < min_points, "none")
         .when((recent_t == 0) & (base_t > 0), "zero_throughput")
-        .when((base_t > 0) & (base_t - recent_t > base_t * drop_share), "throughput_drop")
+        .when((base_t > 0) & (F.try_divide(base_t - recent_t, base_t) > drop_share), "throughput_drop")
         .when(((base_l > 0) & (recent_l > base_l * lag_factor)) | (recent_l > lag_limit), "lag_spike")
         .when(error_rate_over(F.col("errors"), F.col("messages"), error_percent), "high_error_rate")
         .otherwise("none")
     )
-    return halves.withColumn("anomaly_kind", kind)
+    means = ("recent_throughput", "baseline_throughput", "recent_lag", "baseline_lag")
+    return halves.withColumn("anomaly_kind", kind).withColumns({m: F.round(m, 6) for m in means})
 
 
 def zero_throughput_advice(found: DataFrame) -> DataFrame:

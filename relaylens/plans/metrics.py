@@ -162,19 +162,20 @@ def _(v):
 @query("metric_anomalies", f"""
 WITH h AS (
   SELECT job_id, count(*) AS points,
-    round(CAST(sum(m) FILTER (WHERE rn <= n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn <= n // 2), 0), 6) AS recent_throughput,
-    round(CAST(sum(m) FILTER (WHERE rn > n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn > n // 2), 0), 6) AS baseline_throughput,
-    round(CAST(sum(lag) FILTER (WHERE rn <= n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn <= n // 2), 0), 6) AS recent_lag,
-    round(CAST(sum(lag) FILTER (WHERE rn > n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn > n // 2), 0), 6) AS baseline_lag,
+    CAST(sum(m) FILTER (WHERE rn <= n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn <= n // 2), 0) AS recent_throughput,
+    CAST(sum(m) FILTER (WHERE rn > n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn > n // 2), 0) AS baseline_throughput,
+    CAST(sum(lag) FILTER (WHERE rn <= n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn <= n // 2), 0) AS recent_lag,
+    CAST(sum(lag) FILTER (WHERE rn > n // 2) AS DOUBLE) / nullif(count(*) FILTER (WHERE rn > n // 2), 0) AS baseline_lag,
     CAST(sum(m) AS BIGINT) AS messages, CAST(sum(e) AS BIGINT) AS errors
   FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM (
           SELECT job_id, messages_replicated_delta AS m, avg_lag AS lag, error_count_delta AS e,
             row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn
           FROM metric_points WHERE ts > {NOW} - INTERVAL 7 DAYS AND ts <= {NOW}) WHERE rn <= 10)
   GROUP BY job_id)
-SELECT *, CASE WHEN points < 3 THEN 'none'
+SELECT * REPLACE (round(recent_throughput, 6) AS recent_throughput, round(baseline_throughput, 6) AS baseline_throughput,
+  round(recent_lag, 6) AS recent_lag, round(baseline_lag, 6) AS baseline_lag), CASE WHEN points < 3 THEN 'none'
   WHEN recent_throughput = 0 AND baseline_throughput > 0 THEN 'zero_throughput'
-  WHEN baseline_throughput > 0 AND baseline_throughput - recent_throughput > baseline_throughput * CAST(0.3 AS DOUBLE) THEN 'throughput_drop'
+  WHEN baseline_throughput > 0 AND (baseline_throughput - recent_throughput) / baseline_throughput > CAST(0.3 AS DOUBLE) THEN 'throughput_drop'
   WHEN (baseline_lag > 0 AND recent_lag > baseline_lag * 2) OR recent_lag > 1000 THEN 'lag_spike'
   WHEN CASE WHEN messages = 0 THEN errors > 0 ELSE 100.0 * errors / messages > 0.5 END THEN 'high_error_rate'
   ELSE 'none' END AS anomaly_kind FROM h
