@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from relaylens.plans import catalogue
 from tests.conftest import SMALL
 
 # Deltas against the running sum depend on all earlier rows in a way no window function expresses.
@@ -12,10 +12,10 @@ PYTHON = {"counter_deltas_against_total"}
 
 
 def plan(spark, name):
-    return entry.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+    return catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_plan(spark, name):
     text = plan(spark, name)
     physical = text.split("== Physical Plan ==")[1]
