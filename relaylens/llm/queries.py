@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import decontaminate, near_dup, quality
+from relaylens.llm import decontaminate, near_dup, personal, quality, secrets, token_output
 from relaylens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_table(table(spark, sf_dir, "documents"))
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_table(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("spans")
@@ -25,7 +33,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+    op1_secret_scan, op2_token_output, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op10_personal_data,
+)}
 
 #: Words, windows and hits by joins on the windows' text. DuckDB's regular expressions take no range of bytes, so the
 #: words are found by their complement in ASCII.
@@ -47,4 +61,4 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": secrets.duck_sql(), "op4_benchmark_decontamination": OP4_SQL}
