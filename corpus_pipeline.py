@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import decontaminate, near_dup, quality
+from relaylens.llm import decontaminate, mixing, near_dup, quality, token_output
 from relaylens.llm.common import Scratch, table
 
 
@@ -23,7 +23,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to twice."""
+    return mixing.mixed_rows(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's ids are in the files written, how many there are, and their checksum, read back from the files."""
+    return token_output.token_table(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mix", source_mix),
+    ("token_files", token_files),
+]
 
 #: The stages rest on estimates, sketches and coded files, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None

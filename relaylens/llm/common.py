@@ -75,12 +75,8 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` as one struct ``row``, so that no column of the input can clash with a derived one."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-
-
 def unpacked(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The fields of struct column ``row`` as columns."""
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 

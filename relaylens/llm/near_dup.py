@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm import textkit
-from relaylens.llm.common import Scratch, map_arrow
+from relaylens.llm.common import Scratch, map_arrow, unpacked
 from relaylens.llm.components import components
 
 SHINGLE = 3
@@ -230,9 +230,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document :func:`near_duplicates` keeps, all columns as they are, one row per doc_id.
 
-    Of rows that repeat a kept doc_id the one with the smallest text stays; rows with a null doc_id stay where no
-    document with an id has the same text.
+    Of rows that repeat a kept doc_id the one with the smallest text stays. Rows without a doc_id cannot be told apart and stay.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    kind = docs.schema["doc_id"].dataType
+    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind)).distinct()
+    # the join has dealt and sorted the rows by doc_id, which the aggregation goes on with
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row.alias("row"))
+    return unpacked(one, docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import decontaminate, near_dup, personal, quality, secrets, token_output
+from relaylens.llm import decontaminate, mixing, near_dup, personal, quality, secrets, token_output
 from relaylens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("spans")
@@ -38,7 +42,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_secret_scan, op2_token_output, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op10_personal_data,
+    op1_secret_scan, op2_token_output, op3_source_mix, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op10_personal_data,
 )}
 
 #: Words, windows and hits by joins on the windows' text. DuckDB's regular expressions take no range of bytes, so the
