@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import decontaminate, mixing, near_dup, personal, quality, secrets, token_output
+from relaylens.llm import decontaminate, line_runs, mixing, near_dup, personal, quality, secrets, token_counts, token_output, warc
 from relaylens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.drop("spans")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_table(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,12 +41,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_table(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_table(table(spark, sf_dir, "pages"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_secret_scan, op2_token_output, op3_source_mix, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op10_personal_data,
+    op1_secret_scan, op2_token_output, op3_source_mix, op4_benchmark_decontamination, op5_token_counts,
+    op6_minhash_near_dedup, op7_quality_rules, op8_line_dedup, op9_warc_derivatives, op10_personal_data,
 )}
 
 #: Words, windows and hits by joins on the windows' text. DuckDB's regular expressions take no range of bytes, so the
@@ -65,4 +78,6 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_secret_scan": secrets.duck_sql(), "op4_benchmark_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": secrets.duck_sql(), "op4_benchmark_decontamination": OP4_SQL, "op9_warc_derivatives": warc.duck_sql(),
+}

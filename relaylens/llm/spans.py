@@ -47,6 +47,11 @@ def joined(spans: Sequence[Column] | Column) -> Column:
     return F.array_join(texts, ",")
 
 
+def duck_quoted(text: str) -> str:
+    """``text`` as a string literal of DuckDB."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def duck_matches(text: str, pattern: str) -> str:
     """DuckDB text for the same: list of structs start, end, hit."""
     quoted = pattern.replace("'", "''")
