@@ -159,7 +159,8 @@ def fit(stats: DataFrame, scratch: Scratch, *, support: float = SUPPORT, min_row
     on = [F.col("s.lang").eqNullSafe(F.col("c.lang")), F.col("s.source").eqNullSafe(F.col("c.source"))]
     points = scratch.keep(stats.alias("s").join(cells.alias("c"), on).select("c.cell", "s.x"), "points")
     median = [F.percentile_approx(F.col("x")[i], 0.5, 1000).alias(f"m{i}") for i in range(d)]
-    middle = points.groupBy("cell").agg(*median)
+    # written tables of a row per cell are small enough to be sent to the tasks, which the planner sees by their size
+    middle = scratch.keep(points.groupBy("cell").agg(*median), "middle")
     spread = points.join(middle, "cell").groupBy("cell").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(d)],
         *[F.percentile_approx(F.abs(F.col("x")[i] - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(d)],
@@ -193,7 +194,7 @@ def fit(stats: DataFrame, scratch: Scratch, *, support: float = SUPPORT, min_row
         )
         estimate = scratch.keep(sums.groupBy("cell", "start").applyInPandas(_refit(support, floors), _FIT), f"step{k}")
     best = estimate.groupBy("cell").agg(F.min_by(F.struct("n", "centre", "inverse"), F.struct("log_det", "start")).alias("b"))
-    best = best.select("cell", "b.*")
+    best = scratch.keep(best.select("cell", "b.*"), "best")
     typical = cutoff_median(d)
     scale = points.join(best, "cell").withColumn("d2", _distance("x", d)).groupBy("cell").agg(
         F.greatest(F.percentile_approx("d2", 0.5, 1000) / typical, F.lit(1.0)).alias("scale")
