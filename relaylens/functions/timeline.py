@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(key).orderBy(...)`` sends a whole key to one task, which fails to scale
 when a single job or topic owns a large share of the rows. Here the timeline of a key is cut into
-chunks (a minute, a block of offsets): one aggregation summarises each chunk, a window over the
+chunks (an hour, a block of offsets): one aggregation summarises each chunk, a window over the
 summaries carries totals and last rows from chunk to chunk, and the row-level window is partitioned
 by (key, chunk). The result equals that of the plain window.
 """
@@ -14,10 +14,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_KEY, _CHUNK = "__key", "__chunk"
+_KEY, _CHUNK, _SPAN = "__key", "__chunk", "__span"
+SPAN = 512  # chunks
 _FIRST = -(1 << 63)  # chunk of rows without a position: nulls sort first
 
 
+def hour_of(ts: str) -> Column:
+    """Chunk of a timestamp column: its hour since the epoch (any timestamp type)."""
+    return F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) DIV 3600000000")
+
+
 def minute_of(ts: str) -> Column:
     """Chunk of a timestamp column: its minute since the epoch (any timestamp type)."""
     return F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP)) DIV 60000000")
@@ -54,29 +60,44 @@ def along(
     ``running``: name -> expression, summed from the key's first row up to this row.
     ``previous``: name -> expression, its value on the row just before (null on the first row).
     ``whole``: name -> expression, summed over all rows of the key.
-    ``chunk`` must never decrease along ``order``; rows that tie in ``order`` come in any order.
+    ``chunk`` must never decrease along ``order``. Rows that tie in ``order`` are put in order by the values that are summed or
+    handed on, so a result does not depend on how rows lie in files.
 
-    Rows of one key and chunk meet in a task, and so do the chunks of one key. Blocks of offsets are bounded
-    by their size. Minutes are bounded by how densely a job is sampled, and their number by the time covered:
-    half a million a year. For a series with millions of rows a minute pass :func:`fitted_chunk`.
+    Rows of one key and chunk meet in a task. Chunks are summed up once more in spans of ``SPAN`` chunks, so the chunks of a
+    span meet in a task, and the spans of a key: a busy key's rows are never together. Blocks of offsets are bounded by
+    their size, hours by how densely a job is sampled. For a series with millions of rows an hour pass a finer chunk.
     """
     running, previous, whole = dict(running or {}), dict(previous or {}), dict(whole or {})
     # The keys travel as one struct: unlike plain columns, structs with null fields compare as equal, and the
     # join and the row-level window share one shuffle. The chunk comes first because a number sorts fastest.
     rows = df.withColumns({_KEY: F.struct(*keys), _CHUNK: F.coalesce(chunk, F.lit(_FIRST))})
-    by_key = Window.partitionBy(_KEY).orderBy(_CHUNK)
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    in_chunk = Window.partitionBy(_CHUNK, _KEY).orderBy(*order)
+    ties = [*previous.values(), *running.values()]
+    in_chunk = Window.partitionBy(_CHUNK, _KEY).orderBy(*order, *ties)
     up_to_row = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    position = F.struct(*order, *[e.alias(f"__tie{k}") for k, e in enumerate(ties)])
     sums = [F.sum(e).alias(f"__sum_{n}") for n, e in {**running, **whole}.items()]
     lasts = [F.max_by(e, position).alias(f"__last_{n}") for n, e in previous.items()]
-    carried = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts).select(
-        _KEY, _CHUNK,
-        *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in running],
+    chunks = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts).withColumn(_SPAN, F.floor(F.col(_CHUNK) / SPAN))
+    spans = chunks.groupBy(_KEY, _SPAN).agg(
+        *[F.sum(f"__sum_{n}").alias(f"__sum_{n}") for n in (*running, *whole)],
+        *[F.max_by(f"__last_{n}", _CHUNK).alias(f"__last_{n}") for n in previous],
+    )
+    by_span = Window.partitionBy(_KEY).orderBy(_SPAN)
+    spans = spans.select(
+        _KEY, _SPAN,
+        *[F.coalesce(F.sum(f"__sum_{n}").over(by_span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__earlier_{n}") for n in running],
         *[F.sum(f"__sum_{n}").over(Window.partitionBy(_KEY)).alias(f"__whole_{n}") for n in whole],
-        *[F.lag(f"__last_{n}").over(by_key).alias(f"__carry_{n}") for n in previous],
+        *[F.lag(f"__last_{n}").over(by_span).alias(f"__former_{n}") for n in previous],
+    )
+    by_chunk = Window.partitionBy(_KEY, _SPAN).orderBy(_CHUNK)
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    first_in_span = F.row_number().over(by_chunk) == 1
+    carried = chunks.join(spans, [_KEY, _SPAN]).select(
+        _KEY, _CHUNK,
+        *[(F.col(f"__earlier_{n}") + F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0))).alias(f"__before_{n}") for n in running],
+        *[F.col(f"__whole_{n}") for n in whole],
+        *[F.when(first_in_span, F.col(f"__former_{n}")).otherwise(F.lag(f"__last_{n}").over(by_chunk)).alias(f"__carry_{n}") for n in previous],
     )
     joined = rows.join(carried, [_CHUNK, _KEY])
     first_in_chunk = F.row_number().over(in_chunk) == 1

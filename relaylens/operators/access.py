@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylens.functions.sizes import broadcast_if_small
-
 
 def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
     """All (user, permission) pairs granted through roles."""
     granted = role_permissions.select("role_id", "permission").distinct()
-    return user_roles.join(broadcast_if_small(granted), "role_id").select("user_id", "username", "permission").distinct()
+    return user_roles.join(granted, "role_id").select("user_id", "username", "permission").distinct()
 
 
 def user_roles_listing(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """Users with their role names, by username."""
-    return user_roles.join(broadcast_if_small(roles), "role_id").select("user_id", "username", "role").orderBy("username", "role")
+    return user_roles.join(roles, "role_id").select("user_id", "username", "role").orderBy("username", "role")
 
 
 def unauthorised_actions(events: DataFrame, required: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -28,7 +26,7 @@ def unauthorised_actions(events: DataFrame, required: DataFrame, permissions: Da
     done = events.groupBy("initiator", "event_type").agg(
         F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at")
     )
-    needed = done.join(broadcast_if_small(required), "event_type")
+    needed = done.join(required, "event_type")
     held = permissions.select(F.col("username").alias("initiator"), "permission")
     return needed.join(held, ["initiator", "permission"], "left_anti").select(
         "initiator", "event_type", "permission", "events", "first_at", "last_at"

@@ -33,14 +33,21 @@ def masked_requests(requests: DataFrame) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    return F.coalesce(F.get_json_object("body", f"$.{name}"), F.lit(""))
+    """A text field of the body; other kinds of value count as absent."""
+    found = F.try_variant_get(F.try_parse_json("body"), f"$.{name}", "string")
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("body"), f"$.{name}", "variant")) == "STRING"
+    return F.coalesce(F.when(is_text, found), F.lit(""))
 
 
 def request_details(path: Column, method: Column, body: Column) -> Column:
     """What a request did, in words, by route; other routes keep their masked body."""
+    parsed = F.try_parse_json(body)
     empty = F.coalesce(body, F.lit("")) == ""
+    # a body that holds no JSON object says nothing about what was created
+    unread = empty | F.coalesce(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(True))
     job = F.regexp_extract(path, r"/jobs/([^/]+)", 1)
-    provider, model, port = _field("AI.Provider"), _field("AI.Model"), _field("Server.Port")
+    provider, model = _field("AI.Provider"), _field("AI.Model")
+    port = F.coalesce(F.get_json_object("body", "$.Server.Port"), F.lit(""))
     settings = F.array_compact(
         F.array(
             F.when(provider != "", F.concat(F.lit("AI Provider: "), provider)),
@@ -54,7 +61,7 @@ def request_details(path: Column, method: Column, body: Column) -> Column:
     return (
         F.when(
             path.contains("/jobs") & (method == "POST"),
-            F.when(empty, "Created new replication job").otherwise(
+            F.when(unread, "Created new replication job").otherwise(
                 F.format_string(
                     "Created job '%s' from %s to %s", _field("name"), _field("source_cluster_name"), _field("target_cluster_name")
                 )
@@ -64,14 +71,14 @@ def request_details(path: Column, method: Column, body: Column) -> Column:
         .when(path.contains("/jobs") & path.contains("/stop"), F.concat(F.lit("Stopped replication job: "), job))
         .when(
             path.contains("/clusters") & (method == "POST"),
-            F.when(empty, "Created new cluster").otherwise(
+            F.when(unread, "Created new cluster").otherwise(
                 F.format_string("Created cluster '%s' (provider: %s)", _field("name"), _field("provider"))
             ),
         )
         .when(path.contains("/config") & (method == "PUT"), configured)
         .when(
             path.contains("/users") & (method == "POST"),
-            F.when(empty, "Created new user").otherwise(
+            F.when(unread, "Created new user").otherwise(
                 F.format_string("Created user '%s' with role '%s'", _field("username"), _field("role"))
             ),
         )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylens.functions.sizes import broadcast_if_small, settled
 from relaylens.functions.timeline import along, block_of
 
 # Advice texts of the analysis and of the migration verdict.
@@ -198,12 +197,26 @@ def offset_holes(records: DataFrame, *, block: Column | None = None) -> DataFram
     )
 
 
-def missing_at_target(source: DataFrame, target: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Source records of an offset-preserving mirror that the target lacks."""
-    routes = settled(mapping.select("topic", "target_topic").distinct())
-    keyed = source.join(broadcast_if_small(routes), "topic").select("topic", "target_topic", "partition_id", "rec_offset")
-    present = target.select(F.col("topic").alias("target_topic"), "partition_id", "rec_offset")
-    return keyed.join(present, ["target_topic", "partition_id", "rec_offset"], "left_anti").select(
+def missing_at_target(source: DataFrame, target: DataFrame, mapping: DataFrame, *, block: int = 4096) -> DataFrame:
+    """Source records of an offset-preserving mirror that the target lacks.
+
+    Offsets are compared in blocks first: both sides count the records of a block and add up a hash of their offsets, combined before
+    the shuffle. Only records of blocks that differ are compared one by one. ``block`` is the number of offsets in a block.
+    """
+    routes = mapping.select("topic", "target_topic").distinct()
+    number = F.expr(f"CAST(rec_offset DIV {int(block)} AS BIGINT)").alias("block")
+    # offsets of a mirror are unique; the sum of hashes tells apart blocks with as many records
+    here = (F.count(F.lit(1)), F.sum(F.xxhash64("rec_offset").cast("decimal(38,0)")))
+    in_source = source.groupBy("topic", "partition_id", number).agg(here[0].alias("n"), here[1].alias("h")).join(routes, "topic")
+    in_target = target.groupBy(F.col("topic").alias("target_topic"), "partition_id", number).agg(here[0].alias("m"), here[1].alias("k"))
+    keys = ["target_topic", "partition_id", "block"]
+    differing = in_source.join(in_target, keys, "left").filter(~(F.col("n").eqNullSafe(F.col("m")) & F.col("h").eqNullSafe(F.col("k"))))
+    open_ = differing.select("topic", *keys)
+    keyed = source.select("topic", "partition_id", "rec_offset", number).join(open_, ["topic", "partition_id", "block"])
+    present = target.select(F.col("topic").alias("target_topic"), "partition_id", "rec_offset", number).join(
+        open_.select(*keys).distinct(), keys, "left_semi"
+    )
+    return keyed.join(present, ["target_topic", "partition_id", "block", "rec_offset"], "left_anti").select(
         "topic", "target_topic", "partition_id", "rec_offset"
     )
 

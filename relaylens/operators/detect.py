@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaylens.functions.ratios import error_rate_over, error_rate_under
-from relaylens.functions.timeline import along, minute_of
+from relaylens.functions.timeline import along, hour_of
 from relaylens.operators.metrics import newest_per_job, within
 
 # Fixed value: advice for a job without throughput.
@@ -99,7 +99,7 @@ def ticks(
     """
     values = ("current_lag", "messages_consumed", "messages_replicated", "error_count")
     return along(
-        samples, ["job_id"], order, minute_of(ts) if chunk is None else chunk,
+        samples, ["job_id"], order, hour_of(ts) if chunk is None else chunk,
         running={"tick": F.lit(1) if weight is None else weight}, previous={f"prev_{v}": F.col(v) for v in values},
     )
 
@@ -180,11 +180,14 @@ def failure_runs(records: DataFrame, *, order: Sequence[str], chunk: Column, lim
         records.select("job_id", *order, "send_failed"), ["job_id"], order, chunk,
         running={"successes": F.when(F.col("send_failed"), 0).otherwise(1)},
     )
-    runs = marked.groupBy("job_id", "successes").agg(F.count_if("send_failed").alias("run"))
-    return runs.groupBy("job_id").agg(
-        F.max("run").alias("longest_failure_run"),
-        F.count_if(F.col("run") > 0).alias("failure_runs"),
-        (F.max("run") > limit).alias("must_stop"),
+    # successes only separate the runs; jobs without a failure come back by a join
+    runs = marked.filter("send_failed").groupBy("job_id", "successes").agg(F.count(F.lit(1)).alias("run"))
+    per_job = runs.groupBy(F.col("job_id").alias("__job")).agg(F.max("run").alias("longest"), F.count(F.lit(1)).alias("runs"))
+    jobs = records.select("job_id").distinct()
+    longest = F.coalesce("longest", F.lit(0)).cast("long")
+    return jobs.join(per_job, F.col("job_id").eqNullSafe(F.col("__job")), "left").select(
+        "job_id", longest.alias("longest_failure_run"), F.coalesce("runs", F.lit(0)).cast("long").alias("failure_runs"),
+        (longest > limit).alias("must_stop"),
     )
 
 
@@ -193,7 +196,7 @@ def metric_changes(points: DataFrame, *, order: Sequence[str] = ("ts",), ts: str
     watched = ("messages_replicated_delta", "avg_lag", "error_count_delta")
     stepped = along(
         points.select(*dict.fromkeys(["job_id", *order, ts, *watched])), ["job_id"], order,
-        minute_of(ts) if chunk is None else chunk, previous={f"prev_{w}": F.col(w) for w in watched},
+        hour_of(ts) if chunk is None else chunk, previous={f"prev_{w}": F.col(w) for w in watched},
     )
     same = F.lit(True)
     for w in watched:
@@ -201,6 +204,12 @@ def metric_changes(points: DataFrame, *, order: Sequence[str] = ("ts",), ts: str
     return stepped.filter(~same).drop(*[f"prev_{w}" for w in watched])
 
 
+def tick_end(ts: str, every_seconds: int) -> Column:
+    """The end of the tick of ``every_seconds`` that a time falls into."""
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(every_seconds * 1_000_000)).cast("long")
+    return F.timestamp_seconds((slot + 1) * every_seconds).cast("timestamp_ntz")
+
+
 def analysis_gate(points: DataFrame, *, every_seconds: int = 300, order: Sequence[str] = ("ts",), ts: str = "ts") -> DataFrame:
     """Ticks at which a job is due for a new analysis: its newest point differs from that of the tick before.
 
@@ -230,7 +239,7 @@ def series_statistics(
     """Integer averages, ranges, errors, and the trend of the second half against the first (20 % either way)."""
     recent = points.filter(within(ts, as_of, span))
     numbered = along(
-        recent, ["job_id"], order, minute_of(ts) if chunk is None else chunk,
+        recent, ["job_id"], order, hour_of(ts) if chunk is None else chunk,
         running={"position": F.lit(1)}, whole={"n": F.lit(1)},
     )
     messages, in_first = F.col("messages_replicated_delta"), F.col("position") <= F.floor(F.col("n") / 2)

@@ -15,6 +15,11 @@ def compression_class(raw: Column) -> Column:
     return F.when(raw.isin(*COMPRESSIONS), raw).otherwise("NONE")
 
 
+def configured_compression(config: Column) -> Column:
+    """Compression of a topic from its configuration map."""
+    return compression_class(F.try_element_at(config, F.lit("compression.type")))
+
+
 def topic_compression(topics: DataFrame) -> DataFrame:
     return topics.withColumn("compression_type", compression_class(F.col("compression_raw"))).drop("compression_raw")
 
@@ -72,7 +77,9 @@ def topic_compatibility(topics: DataFrame) -> DataFrame:
 
 def topic_health(requested: DataFrame, partitions: DataFrame) -> DataFrame:
     """Partitions, replication factor and under-replicated partitions of requested topics; absent ones are unhealthy."""
-    replicas, isr = F.size(int_array("replica_ids")), F.size(int_array("isr_ids"))
+    replicas = F.size(int_array("replica_ids"))
+    # replicas in sync that are not known count as none
+    isr = F.greatest(F.coalesce(F.size(int_array("isr_ids")), F.lit(0)), F.lit(0))
     found = partitions.groupBy("topic_name").agg(
         F.count(F.lit(1)).alias("partitions"),
         F.min_by(replicas, F.col("partition_id")).cast("long").alias("replication_factor"),

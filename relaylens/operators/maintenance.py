@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylens.functions.sizes import broadcast_if_small
 from relaylens.operators.progress import newest_by_key
 
 MIRROR_STATE_DAYS = 7
@@ -76,5 +75,5 @@ def replace_recent(
     """Stored rows without those of the recalculated jobs from the last ``span``, plus the fresh ones."""
     redone = fresh.select("job_id").distinct().withColumn("__redone", F.lit(True))
     recent = F.col(at).cast("timestamp_ntz") > as_of - F.expr(span)
-    kept = stored.join(broadcast_if_small(redone), "job_id", "left").filter(~(F.coalesce("__redone", F.lit(False)) & recent)).select(*stored.columns)
+    kept = stored.join(redone, "job_id", "left").filter(~(F.coalesce("__redone", F.lit(False)) & recent)).select(*stored.columns)
     return kept.unionByName(fresh.select(*stored.columns))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaylens.functions.sizes import broadcast_if_small, settled
 from relaylens.functions.templates import is_pattern, java_pattern, java_replacement
 
 
@@ -117,16 +116,16 @@ def route_keys(records: DataFrame) -> list[str]:
 
 
 def mirror(
-    records: DataFrame, mapping: DataFrame, target_partitions: DataFrame, *, preserve_partitions: bool = True
+    records: DataFrame, mapping: DataFrame, target_partitions: DataFrame, *, preserve_partitions: bool = True, small_map: bool = False
 ) -> DataFrame:
     """Records under their target topics. Key, value and headers stay; unmapped records are left out.
 
     ``mapping`` is a :func:`topic_map`, ``target_partitions`` has ``(target_topic, partitions)``. Records with a
-    ``job_id`` follow the rules of their job, others those of every job. The map is broadcast only when a count
-    proves it small, so the records are normally not shuffled.
+    ``job_id`` follow the rules of their job, others those of every job. The planner chooses how to join by the sizes it
+    knows and finds; a caller that knows the map to be small says so with ``small_map``, and the records are not shuffled.
     """
-    routes = settled(mapping.join(target_partitions, "target_topic", "left"))
-    out = records.join(broadcast_if_small(routes), route_keys(records))
+    routes = mapping.join(target_partitions, "target_topic", "left")
+    out = records.join(F.broadcast(routes) if small_map else routes, route_keys(records))
     partition = kept_partition(F.col("partition_id"), F.col("partitions")) if preserve_partitions else F.lit(None).cast("int")
     payload = [c for c in ("rec_key", "rec_value", "headers") if c in records.columns]
     return out.select(
@@ -136,10 +135,10 @@ def mirror(
     )
 
 
-def rejected(records: DataFrame, mapping: DataFrame) -> DataFrame:
+def rejected(records: DataFrame, mapping: DataFrame, *, small_map: bool = False) -> DataFrame:
     """Records without a mapping for their job and topic."""
-    mapped = settled(mapping.select(*route_keys(records)).distinct())
-    return records.join(broadcast_if_small(mapped), route_keys(records), "left_anti").select(*records.columns)
+    mapped = mapping.select(*route_keys(records)).distinct()
+    return records.join(F.broadcast(mapped) if small_map else mapped, route_keys(records), "left_anti").select(*records.columns)
 
 
 def size_tiers(records: DataFrame, *, large: int = 5120, medium: int = 2048, sample_every: int = 100) -> DataFrame:

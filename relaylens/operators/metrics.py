@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaylens.functions.timeline import along, minute_of
+from relaylens.functions.timeline import along, hour_of
 
 # The functions that run in Python workers travel with the plan, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,7 +39,7 @@ def counter_deltas(
 ) -> DataFrame:
     """Cumulative samples to metric points, reset-aware: a falling counter restarts from its raw value."""
     stepped = along(
-        samples, ["job_id"], order, minute_of(ts) if chunk is None else chunk,
+        samples, ["job_id"], order, hour_of(ts) if chunk is None else chunk,
         previous={f"prev_{c}": F.col(c) for c in COUNTERS},
     )
 
@@ -93,9 +93,16 @@ def _in_key_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 def counter_deltas_against_total(
     samples: DataFrame, *, order: Sequence[str] = ("ts",), ts: str = "ts", chunk: Column | None = None
 ) -> DataFrame:
-    """Like :func:`counter_deltas`, but each delta is taken against the sum of the earlier deltas."""
+    """Like :func:`counter_deltas`, but each delta is taken against the sum of the earlier deltas.
+
+    Rows without a job or a time are kept: those without a job are a series of their own, those without a time come first.
+    A missing counter gives a null delta and leaves its total as it is.
+    """
     names = list(COUNTERS)
-    rows = samples.withColumn("chunk_no", minute_of(ts) if chunk is None else chunk)
+    # a missing counter counts as 0, which leaves the total as it is; its delta is null
+    missing = F.struct(*[F.col(n).isNull().alias(n) for n in names])
+    rows = samples.withColumn("missing", missing).withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
+    rows = rows.withColumn("chunk_no", F.coalesce(hour_of(ts) if chunk is None else chunk, F.lit(-(1 << 63))).cast("long"))
 
     def summarise(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         key, steps = None, []
@@ -124,7 +131,7 @@ def counter_deltas_against_total(
     summary = ordered.mapInPandas(summarise, summary_schema)
 
     def starts(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        current, totals = None, []
+        current, totals = object(), []  # equal to no job, null included
         for batch in batches:
             out = []
             for job, chunk_no, *parts in batch[summary_columns].itertuples(index=False, name=None):
@@ -135,9 +142,10 @@ def counter_deltas_against_total(
             yield pd.DataFrame(out, columns=["job_id", "chunk_no", *[f"{n}_start" for n in names]])
 
     start_schema = "job_id string, chunk_no long, " + ", ".join(f"{n}_start long" for n in names)
-    started = rows.join(
-        _in_key_order(summary, ["job_id"], ["chunk_no"]).mapInPandas(starts, start_schema), ["job_id", "chunk_no"]
-    )
+    first = _in_key_order(summary, ["job_id"], ["chunk_no"]).mapInPandas(starts, start_schema)
+    first = first.withColumnsRenamed({"job_id": "start_job", "chunk_no": "start_chunk"})
+    same = F.col("job_id").eqNullSafe(F.col("start_job")) & (F.col("chunk_no") == F.col("start_chunk"))
+    started = rows.join(first, same).drop("start_job", "start_chunk")
 
     def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         key, totals = None, []
@@ -156,12 +164,18 @@ def counter_deltas_against_total(
             yield batch.assign(**dict(zip(COUNTERS.values(), deltas)))[out_columns]
 
     kept = [f for f in samples.schema.fields if f.name not in (*COUNTERS, "current_lag")]
-    out_schema = T.StructType(
-        [*kept, *[T.StructField(d, T.LongType()) for d in COUNTERS.values()], T.StructField("current_lag", T.LongType())]
-    )
+    flags = [F.col(f"missing.{n}").alias(f"missing_{n}") for n in names]
+    out_schema = T.StructType([
+        *kept, *[T.StructField(d, T.LongType()) for d in COUNTERS.values()], samples.schema["current_lag"],
+        *[T.StructField(f"missing_{n}", T.BooleanType()) for n in names],
+    ])
     out_columns = out_schema.fieldNames()
-    folded = _in_key_order(started, ["job_id", "chunk_no"], order).mapInPandas(fold, out_schema)
-    return folded.withColumnRenamed("current_lag", "avg_lag")
+    flat = started.select("*", *flags).drop("missing")
+    folded = _in_key_order(flat, ["job_id", "chunk_no"], order).mapInPandas(fold, out_schema)
+    return folded.select(
+        *[f.name for f in kept], *[F.when(~F.col(f"missing_{n}"), F.col(d)).alias(d) for n, d in COUNTERS.items()],
+        F.col("current_lag").alias("avg_lag"),
+    )
 
 
 def downsample_by_minute(samples: DataFrame, *, ts: str = "ts") -> DataFrame:

@@ -34,34 +34,49 @@ class DatedTable:
         # Rows of a day go to several writers: days are uneven, and AQE splits or merges the partitions.
         dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").format("parquet").saveAsTable(self.name)
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def read(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """The rows, or those from ``start`` to ``end`` (both included); only the folders of those days are read."""
+        rows = self.spark.table(self.name)
+        kind = rows.schema[self.ts].dataType
+        if start is not None:
+            rows = rows.filter((F.col("event_date") >= F.lit(start.date())) & (F.col(self.ts) >= F.lit(start).cast(kind)))
+        if end is not None:
+            rows = rows.filter((F.col("event_date") <= F.lit(end.date())) & (F.col(self.ts) <= F.lit(end).cast(kind)))
+        return rows
 
     def days(self) -> list[date]:
-        rows = self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()
-        return sorted(date.fromisoformat(r[0].split("=")[1]) for r in rows)
+        """The days that have rows; rows without a time are in none of them."""
+        values = [r[0].split("=")[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()]
+        return sorted(date.fromisoformat(v) for v in values if v != "__HIVE_DEFAULT_PARTITION__")
 
-    def prune(self, *, as_of: datetime, days: int) -> None:
-        """Drop days before the cutoff, and rewrite the day the cutoff falls into."""
+    def prune(self, *, as_of: datetime, days: int, stage: str | None = None) -> None:
+        """Drop days before the cutoff, and rewrite the day the cutoff falls into. Rows without a time stay.
+
+        The rewritten day passes through ``stage``, a folder that all executors share (by default one below
+        ``spark.checkpoint.dir``), which is removed afterwards.
+        """
         cutoff = as_of - timedelta(days=retention_days(days))
-        for day in self.days():
-            if day < cutoff.date():
-                self._drop(day)
-        if cutoff.date() not in self.days():
+        there = self.days()
+        self._drop([day for day in there if day < cutoff.date()])
+        if cutoff.date() not in there:
             return
         edge = self.read().filter(F.col("event_date") == F.lit(cutoff.date()))
         kept = edge.filter(F.col(self.ts) >= F.lit(cutoff).cast(edge.schema[self.ts].dataType))
         # The rows are read from the table that is overwritten, so they go through a staged copy first.
-        root = checkpoint_root(self.spark)
+        root = stage or checkpoint_root(self.spark)
         if root is None:
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
+            raise ValueError("pass a stage folder or set spark.checkpoint.dir")
         staged = f"{root}/staged-{uuid.uuid4().hex}"
         kept.write.parquet(staged)
         survivors = self.spark.read.schema(kept.schema).parquet(staged)
         if survivors.isEmpty():
-            self._drop(cutoff.date())
+            self._drop([cutoff.date()])
         else:
             survivors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _drop(self, day: date) -> None:
-        self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (event_date = DATE'{day.isoformat()}')")
+    def _drop(self, days: list[date]) -> None:
+        if days:
+            parts = ", ".join(f"PARTITION (event_date = DATE'{day.isoformat()}')" for day in days)
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS {parts}")

@@ -25,8 +25,9 @@ def gauges(samples: DataFrame, *, key: tuple[str, ...] = ("job_id", "ts"), prefi
 
 
 def exposition_lines(gauge_rows: DataFrame) -> DataFrame:
-    """Gauges in the text exposition format."""
-    return gauge_rows.select(F.format_string('%s{job_id="%s"} %s', "metric", "job_id", F.col("value").cast("string")).alias("value"))
+    """Gauges in the text exposition format; label values are escaped."""
+    label = F.replace(F.replace(F.replace("job_id", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return gauge_rows.select(F.format_string('%s{job_id="%s"} %s', "metric", label, F.col("value").cast("string")).alias("value"))
 
 
 def log_stream_lines(samples: DataFrame, *, key: tuple[str, ...] = ("job_id", "ts"), ts: str = "ts") -> DataFrame:

@@ -14,12 +14,20 @@ from pyspark.sql.types import StructType
 class Carry:
     """Two alternating slots: batch n reads what batch n - 1 wrote, so a repeated batch sees the same state."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        self.spark, self.path = spark, path
+        self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def _slot(self, batch_id: int) -> str:
         return f"{self.path}/slot={batch_id % 2}"
 
+    def slot(self, number: int) -> DataFrame:
+        """What a slot holds; empty where nothing was written to it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._slot(number))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._slot(number))
+
     def before(self, batch_id: int) -> DataFrame:
         """State after the previous batch; empty before the first."""
         if batch_id == 0:

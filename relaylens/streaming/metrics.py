@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from relaylens.functions.timeline import minute_of
+from relaylens.functions.timeline import hour_of
 from relaylens.operators import detect, metrics
 from relaylens.operators.progress import newest_by_key
 from relaylens.streaming.carry import Carry
 from relaylens.streaming.mirror import BatchWriter, reading_once
+from relaylens.streaming.ordered import InOrder
 
 WATCHED = ("messages_replicated_delta", "avg_lag", "error_count_delta")
 
@@ -38,9 +40,26 @@ def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
     )
 
 
+class OrderedQuery(NamedTuple):
+    """A running query that works on rows in order of their time; ``finish`` hands on what is held when it has stopped for good."""
+
+    query: StreamingQuery
+    finish: Callable[[], None]
+
+
+def _start_ordered(
+    stream: DataFrame, handle: BatchWriter, checkpoint: str, trigger: dict | None, *, ts: str, delay_seconds: float, write_late: BatchWriter | None,
+    step_seconds: float | None = None,
+) -> OrderedQuery:
+    run = InOrder(
+        stream.sparkSession, f"{checkpoint}/order", stream.schema, handle, ts=ts, delay_seconds=delay_seconds, step_seconds=step_seconds, write_late=write_late
+    )
+    return OrderedQuery(_start(stream, run, checkpoint, trigger), run.finish)
+
+
 def _after_carried(ts: str) -> Column:
     """Chunks in which carried rows come before everything in the batch."""
-    return F.when(F.col("in_batch") == 0, F.lit(-(1 << 62))).otherwise(minute_of(ts))
+    return F.when(F.col("in_batch") == 0, F.lit(-(1 << 62))).otherwise(hour_of(ts))
 
 
 def _with_carried(batch: DataFrame, carried: DataFrame) -> DataFrame:
@@ -51,9 +70,12 @@ def _with_carried(batch: DataFrame, carried: DataFrame) -> DataFrame:
 
 def start_deltas(
     samples: DataFrame, checkpoint: str, write: BatchWriter, *, order: Sequence[str] = ("ts",), ts: str = "ts",
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """Cumulative samples to metric points; the last sample of each job is carried between batches."""
+    delay_seconds: float = 600, write_late: BatchWriter | None = None, trigger: dict | None = None,
+) -> OrderedQuery:
+    """Cumulative samples to metric points, in order of time; the last sample of each job is carried on.
+
+    A sample that comes within ``delay_seconds`` of the newest takes its place in the order; a later one goes to ``write_late``.
+    """
     carry = Carry(samples.sparkSession, f"{checkpoint}/last-samples", samples.schema)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -63,14 +85,15 @@ def start_deltas(
         write(points.filter("in_batch = 1").drop("in_batch"), batch_id)
         carry.after(batch_id, newest_by_key(rows, ["job_id"], ["in_batch", *order]))
 
-    return _start(samples, run, checkpoint, trigger)
+    return _start_ordered(samples, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late)
 
 
 def start_incidents(
     samples: DataFrame, checkpoint: str, write: BatchWriter, *, rearm_every: int | None = None,
-    order: Sequence[str] = ("ts",), ts: str = "ts", trigger: dict | None = None,
-) -> StreamingQuery:
-    """Edges of the incident flags; each job's tick and last sample are carried between batches."""
+    order: Sequence[str] = ("ts",), ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None,
+    trigger: dict | None = None,
+) -> OrderedQuery:
+    """Edges of the incident flags, ticks in order of time; each job's tick and last sample are carried on."""
     spark = samples.sparkSession
     state_schema = StructType([*samples.schema.fields, StructField("tick", LongType())])
     carry = Carry(spark, f"{checkpoint}/last-ticks", state_schema)
@@ -85,7 +108,7 @@ def start_incidents(
         last = newest_by_key(numbered.select(*samples.columns, "tick", "in_batch"), ["job_id"], ["in_batch", *order])
         carry.after(batch_id, last)
 
-    return _start(samples, run, checkpoint, trigger)
+    return _start_ordered(samples, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late)
 
 
 def start_latest(
@@ -108,9 +131,9 @@ def start_latest(
 
 def start_payloads(
     samples: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None], *, order: Sequence[str] = ("ts",),
-    ts: str = "ts", trigger: dict | None = None,
-) -> StreamingQuery:
-    """Samples with their incident flags to ``deliver`` (see ``payloads.fan_out``), batch by batch."""
+    ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None, trigger: dict | None = None,
+) -> OrderedQuery:
+    """Samples with their incident flags to ``deliver`` (see ``payloads.fan_out``), in order of time."""
     state_schema = StructType([*samples.schema.fields, StructField("tick", LongType())])
     carry = Carry(samples.sparkSession, f"{checkpoint}/last-ticks", state_schema)
 
@@ -125,35 +148,30 @@ def start_payloads(
             batch_id, newest_by_key(numbered.select(*samples.columns, "tick", "in_batch"), ["job_id"], ["in_batch", *order])
         )
 
-    return _start(samples, run, checkpoint, trigger)
+    return _start_ordered(samples, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late)
 
 
 def start_analysis_gate(
-    points: DataFrame, checkpoint: str, write: BatchWriter, *, ttl: str = "INTERVAL 5 MINUTES", order: Sequence[str] = ("ts",),
-    ts: str = "ts", trigger: dict | None = None,
-) -> StreamingQuery:
-    """Jobs due for a new analysis: at most one per ``ttl``, and only if the newest point differs from the last analysed.
+    points: DataFrame, checkpoint: str, write: BatchWriter, *, every_seconds: int = 300, order: Sequence[str] = ("ts",),
+    ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None, trigger: dict | None = None,
+) -> OrderedQuery:
+    """Ticks at which a job is due for a new analysis, as :func:`relaylens.operators.detect.analysis_gate` finds them.
 
-    A micro-batch is a tick. Only the newest point per job takes part, found before the shuffle; the last
-    analysed point of each job is carried. Time is that of the points, so a repeated batch decides the same.
+    Whole ticks of event time are decided on once the watermark has passed them, so a backlog read in one micro-batch fires as
+    often as the same points read one by one. The newest point of each job's last tick is carried on.
     """
-    columns = ["job_id", ts, *WATCHED]
-    state_schema = StructType([points.schema[c] for c in columns])
-    carry = Carry(points.sparkSession, f"{checkpoint}/last-analysed", state_schema)
+    columns = list(dict.fromkeys(["job_id", ts, *order, *WATCHED]))
+    carry = Carry(points.sparkSession, f"{checkpoint}/last-ticks", StructType([points.schema[c] for c in columns]))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        newest = newest_by_key(batch.select(*dict.fromkeys([*columns, *order])), ["job_id"], order).select(*columns)
-        last = carry.before(batch_id)
-        both = newest.withColumn("now", F.struct(ts, *WATCHED)).select("job_id", "now").join(
-            last.withColumn("last", F.struct(ts, *WATCHED)).select("job_id", "last"), "job_id", "full_outer"
-        )
-        same = F.lit(True)
-        for w in WATCHED:
-            same = same & F.col(f"now.{w}").eqNullSafe(F.col(f"last.{w}"))
-        rested = F.col(f"now.{ts}") >= F.col(f"last.{ts}") + F.expr(ttl)
-        fires = F.col("now").isNotNull() & (F.col("last").isNull() | (rested & ~same))
-        decided = both.withColumn("fires", fires)
-        write(decided.filter("fires").select("job_id", "now.*"), batch_id)
-        carry.after(batch_id, decided.select("job_id", F.when(F.col("fires"), F.col("now")).otherwise(F.col("last")).alias("r")).select("job_id", "r.*"))
-
-    return _start(points, run, checkpoint, trigger)
+        carried = carry.before(batch_id)
+        rows = batch.select(*columns).unionByName(carried)
+        due = detect.analysis_gate(rows, every_seconds=every_seconds, order=order, ts=ts)
+        # the carried point's tick was decided on when it was released
+        decided = carried.select("job_id", detect.tick_end(ts, every_seconds).alias("tick_at"))
+        write(due.join(decided, ["job_id", "tick_at"], "left_anti").select(due.columns), batch_id)
+        carry.after(batch_id, newest_by_key(rows, ["job_id"], order))
+
+    return _start_ordered(
+        points, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late, step_seconds=every_seconds
+    )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from relaylens.functions.sizes import settled
 from relaylens.operators import mapping
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -36,7 +35,11 @@ def mirror_batch(
     records: DataFrame, rules: DataFrame, target_partitions: DataFrame, *, preserve_partitions: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Mirrored and rejected records of a micro-batch, for every job whose rules name their topic."""
-    routes = settled(mapping.topic_map(mapping.resolve_mappings(records.select("topic"), rules)))
+    routes = mapping.topic_map(mapping.resolve_mappings(records.select("topic"), rules))
+    return _split(records, routes, target_partitions, preserve_partitions)
+
+
+def _split(records: DataFrame, routes: DataFrame, target_partitions: DataFrame, preserve_partitions: bool) -> tuple[DataFrame, DataFrame]:
     mirrored = mapping.mirror(records, routes, target_partitions, preserve_partitions=preserve_partitions)
     return mirrored, mapping.rejected(records, routes)
 
@@ -59,9 +62,14 @@ def start_mirror(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        mirrored, rejects = mirror_batch(batch, rules(), target_partitions(), preserve_partitions=preserve_partitions)
-        write_mirrored(mirrored, batch_id)
-        write_rejected(rejects, batch_id)
+        # the map is derived once for both outputs and kept for this micro-batch only
+        routes = mapping.topic_map(mapping.resolve_mappings(batch.select("topic"), rules())).persist()
+        try:
+            mirrored, rejects = _split(batch, routes, target_partitions(), preserve_partitions)
+            write_mirrored(mirrored, batch_id)
+            write_rejected(rejects, batch_id)
+        finally:
+            routes.unpersist()
 
     return (
         records.writeStream.foreachBatch(reading_once(run)).option("checkpointLocation", checkpoint)

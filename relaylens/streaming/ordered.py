@@ -1,0 +1,69 @@
+"""Rows of a stream in the order of their event time, whatever the order and the batches they arrive in."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from relaylens.streaming.carry import Carry
+
+BatchWriter = Callable[[DataFrame, int], None]
+_END = (1 << 63) - 1
+
+
+class InOrder:
+    """Holds rows until the watermark has passed them, then hands them on; rows that come later than that go to ``write_late``.
+
+    The watermark is the newest time seen less ``delay_seconds``, rounded down to a multiple of ``step_seconds`` where one is given. Each
+    release is a stretch of time that ends before the watermark, so the stretches follow one another without overlap: a handler that
+    carries its state from one to the next sees the same sequence for any cut of the input into micro-batches, and for any
+    order of arrival within the delay. Held rows and the watermark are kept like other carried state, so a repeated
+    batch releases the same rows. Rows without a time go to ``write_late``.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: StructType, handle: BatchWriter, *, ts: str = "ts", delay_seconds: float = 600,
+        step_seconds: float | None = None, write_late: BatchWriter | None = None,
+    ):
+        self.spark, self.handle, self.ts = spark, handle, ts
+        self.delay, self.step = int(delay_seconds * 1e6), int(step_seconds * 1e6) if step_seconds else 1
+        self.held = Carry(spark, f"{path}/held", schema)
+        self.marks = Carry(spark, f"{path}/marks", "batch_id long, high long, upto long")
+        self.write_late = write_late or (lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}"))
+        self.schema = schema
+
+    def _micros(self) -> Column:
+        return F.unix_micros(F.col(self.ts).cast("timestamp"))
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self._release(batch, batch_id, None)
+
+    def finish(self) -> None:
+        """Hands on what is still held. For a stream that has stopped for good."""
+        last = max((m.batch_id for slot in (0, 1) for m in self.marks.slot(slot).collect()), default=None)
+        if last is not None:
+            self._release(self.spark.createDataFrame([], self.schema), last + 1, _END)
+
+    def _release(self, batch: DataFrame, batch_id: int, upto: int | None) -> None:
+        mark = self.marks.before(batch_id).first()  # one row
+        newest = batch.agg(F.max(self._micros())).first()[0]
+        high = max((x for x in (mark and mark.high, newest) if x is not None), default=None)
+        before = mark.upto if mark else None
+        if upto is None and high is not None:
+            upto = (high - self.delay) // self.step * self.step
+        upto = max((x for x in (upto, before) if x is not None), default=None)
+        time = self._micros()
+        late = time.isNull() if before is None else time.isNull() | (time < before)
+        waiting = self.held.before(batch_id).unionByName(batch.filter(~late)).persist()
+        try:
+            out_of_time = batch.filter(late)
+            if not out_of_time.isEmpty():
+                self.write_late(out_of_time, batch_id)
+            self.handle(waiting.filter(time < upto) if upto is not None else waiting.limit(0), batch_id)
+            self.held.after(batch_id, waiting.filter(time >= upto) if upto is not None else waiting)
+            self.marks.after(batch_id, self.spark.createDataFrame([(batch_id, high, upto)], self.marks.schema))
+        finally:
+            waiting.unpersist()

@@ -1,6 +1,9 @@
 """Streams over files equal their batch twins, in several micro-batches and after a restart."""
 
+import random
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relaylens.operators import detect, inventory, logs, metrics, progress
@@ -8,7 +11,7 @@ from relaylens.sources import files, kafka, payloads
 from relaylens.streaming import logs as log_streams
 from relaylens.streaming import metrics as metric_streams
 from relaylens.streaming import mirror
-from tests.conftest import rows
+from tests.conftest import at, rows
 
 ONCE = {"availableNow": True}
 ORDER = ("ts", "event_id")
@@ -107,33 +110,82 @@ def test_rollup_windows_equal_the_daily_rollup(spark, views, tmp_path):
     assert rows(got.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))) == rows(want)
 
 
-def test_delta_stream(spark, views, tmp_path):
+def ended(started):
+    """Runs an ordered stream to the end of its input and hands on what it holds."""
+    run(started.query)
+    started.finish()
+
+
+def cut(df, path, n, order):
+    """``df`` in n files by place, read one by one in the given order of files."""
+    ranked = df.withColumn("__file", F.ntile(n).over(Window.orderBy("event_id")) - 1)
+    for number in order(list(range(n))):
+        ranked.filter(F.col("__file") == number).drop("__file").coalesce(1).write.mode("append").parquet(str(path))
+    return stream(df.sparkSession, df.schema, path)
+
+
+def shuffled(numbers):
+    return random.Random(4).sample(numbers, len(numbers))
+
+
+CUTS = [(1, list), (3, list), (5, shuffled)]
+MONTH = 40 * 86_400  # seconds, longer than the tables are
+
+
+@pytest.mark.parametrize("n,order", CUTS)
+def test_delta_stream(spark, views, tmp_path, n, order):
+    raw = views.raw_metrics
+    source = cut(raw, tmp_path / "in", n, order)
+    out = mirror.parquet_writer(str(tmp_path / "out"))
+    ended(metric_streams.start_deltas(source, str(tmp_path / "cp"), out, order=ORDER, delay_seconds=MONTH, trigger=ONCE))
+    want = metrics.counter_deltas(raw, order=ORDER)
+    assert rows(written(spark, tmp_path / "out").select(want.columns)) == rows(want)
+    assert not (tmp_path / "cp" / "order" / "late").exists()
+
+
+def test_delta_stream_goes_on_after_a_restart(spark, views, tmp_path):
     raw = views.raw_metrics
-    source = parts(raw, tmp_path / "in", 4)
-    run(metric_streams.start_deltas(source, str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")), order=ORDER, trigger=ONCE))
-    # More files and a restart: the carried samples come from the checkpoint folder.
+    source = parts(raw, tmp_path / "in", 3)
+    out = mirror.parquet_writer(str(tmp_path / "out"))
+    run(metric_streams.start_deltas(source, str(tmp_path / "cp"), out, order=ORDER, trigger=ONCE).query)
+    # More files and a restart: held rows and carried samples come from the checkpoint folder.
     extra = raw.filter("event_id >= 900").withColumn("event_id", F.col("event_id") + 100).withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAYS"))
     extra.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run(metric_streams.start_deltas(source, str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")), order=ORDER, trigger=ONCE))
+    ended(metric_streams.start_deltas(source, str(tmp_path / "cp"), out, order=ORDER, trigger=ONCE))
     want = metrics.counter_deltas(raw.unionByName(extra), order=ORDER)
-    assert rows(written(spark, tmp_path / "out").select(want.columns)) == rows(want)
+    late = written(spark, tmp_path / "cp" / "order" / "late").count() if (tmp_path / "cp" / "order" / "late").exists() else 0
+    assert late == 0 and rows(written(spark, tmp_path / "out").select(want.columns)) == rows(want)
+
+
+def test_late_samples_are_kept_apart(spark, tmp_path):
+    schema = "job_id string, ts timestamp_ntz, event_id long, messages_replicated long, bytes_transferred long, messages_consumed long, bytes_consumed long, current_lag long, error_count long"
+
+    def sample(minute, value, number):
+        return ("j", at(f"2024-01-01 00:{minute:02d}:00") if minute is not None else None, number, value, 0, 0, 0, 0, 0)
 
+    for piece in ([sample(10, 100, 1)], [sample(5, 50, 2), sample(None, 7, 3)], [sample(12, 110, 4)]):
+        spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = stream(spark, spark.createDataFrame([], schema).schema, tmp_path / "in")
+    ended(metric_streams.start_deltas(source, str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")), order=ORDER, delay_seconds=60, trigger=ONCE))
+    assert rows(written(spark, tmp_path / "out").select("event_id", "messages_replicated_delta")) == [(1, 100), (4, 10)]
+    assert rows(written(spark, tmp_path / "cp" / "order" / "late").select("event_id")) == [(2,), (3,)]
 
-@pytest.mark.parametrize("rearm", [None, 3])
-def test_incident_stream(spark, views, tmp_path, rearm):
+
+@pytest.mark.parametrize("rearm,n,order", [(None, 4, list), (3, 1, list), (3, 4, shuffled)])
+def test_incident_stream(spark, views, tmp_path, rearm, n, order):
     raw = views.raw_metrics
-    query = metric_streams.start_incidents(
-        parts(raw, tmp_path / "in", 4), str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")),
-        rearm_every=rearm, order=ORDER, trigger=ONCE,
-    )
-    run(query)
+    ended(metric_streams.start_incidents(
+        cut(raw, tmp_path / "in", n, order), str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")),
+        rearm_every=rearm, order=ORDER, delay_seconds=MONTH, trigger=ONCE,
+    ))
     want = detect.incidents(raw, rearm_every=rearm, order=ORDER)
     assert rows(written(spark, tmp_path / "out").select(want.columns)) == rows(want)
 
 
 def test_payload_stream(spark, views, tmp_path):
     deliver = payloads.fan_out("splunk", payloads.text_writer(str(tmp_path / "out")))
-    run(metric_streams.start_payloads(parts(views.raw_metrics, tmp_path / "in", 3), str(tmp_path / "cp"), deliver, order=ORDER, trigger=ONCE))
+    source = cut(views.raw_metrics, tmp_path / "in", 3, shuffled)
+    ended(metric_streams.start_payloads(source, str(tmp_path / "cp"), deliver, order=ORDER, delay_seconds=MONTH, trigger=ONCE))
     got = spark.read.text(str(tmp_path / "out")).drop("batch")
     assert rows(got) == rows(payloads.shaped(detect.flagged_samples(views.raw_metrics, order=ORDER), "splunk"))
 
@@ -152,25 +204,14 @@ def test_latest_state_stream(spark, views, tmp_path):
     assert rows(current(2)) == rows(progress.newest_by_key(numbered, progress.PARTITION_KEY, ["last_updated"]))
 
 
-def test_gate_stream(spark, views, tmp_path):
-    import datetime as dt
-
+@pytest.mark.parametrize("n,order,delay", [(1, list, 600), (3, list, 600), (8, list, 600), (6, shuffled, MONTH)])
+def test_gate_stream(spark, views, tmp_path, n, order, delay):
     points = views.metric_points.withColumn("avg_lag", F.col("avg_lag") % 2).withColumn("messages_replicated_delta", F.lit(1).cast("long"))
-    source, n = parts(points, tmp_path / "in", 12), 12
-    query = metric_streams.start_analysis_gate(
-        source, str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")), ttl="INTERVAL 1 DAY", order=ORDER, trigger=ONCE)
-    run(query)
-    step, last, want = -(-1000 // n), {}, []
-    every = sorted(points.collect(), key=lambda r: r.event_id)
-    for i in range(n):
-        newest = {r.job_id: r for r in every if step * i <= r.event_id < step * (i + 1)}
-        for job, r in newest.items():
-            now = (r.messages_replicated_delta, r.avg_lag, r.error_count_delta)
-            if job not in last or (r.ts - last[job][0] >= dt.timedelta(days=1) and now != last[job][1]):
-                last[job] = (r.ts, now)
-                want.append((job, r.ts, *now))
-    got = written(spark, tmp_path / "out").select("job_id", "ts", *metric_streams.WATCHED)
-    assert rows(got) == sorted(want, key=repr) and 20 < len(want) < 8 * n
+    source = cut(points.orderBy(*ORDER).withColumn("event_id", F.row_number().over(Window.orderBy(*ORDER)).cast("long")), tmp_path / "in", n, order)
+    ended(metric_streams.start_analysis_gate(
+        source, str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "out")), every_seconds=86_400, order=ORDER, delay_seconds=delay, trigger=ONCE))
+    want = detect.analysis_gate(points, every_seconds=86_400, order=ORDER)
+    assert rows(written(spark, tmp_path / "out").select(want.columns)) == rows(want) and want.count() > 20
 
 
 def test_log_stream(spark, views, tmp_path):
