@@ -66,3 +66,33 @@ def newest_first(rows: DataFrame, at: Sequence[str], *, limit: int | None = None
 def unresolved_gaps(gaps: DataFrame) -> DataFrame:
     """Open gaps, newest first."""
     return newest_first(gaps.filter(F.col("resolution_status") == "unresolved"), ["detected_at"])
+
+
+def latest_checkpoint(checkpoints: DataFrame, *, at: str = "created_at") -> DataFrame:
+    """The newest migration checkpoint of each job."""
+    return newest_by_key(checkpoints, ["job_id"], [at])
+
+
+def mirror_state(progress: DataFrame, resume: DataFrame, gaps: DataFrame, analyses: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """The state of every job as rows ``(job_id, section, source_topic, partition_id, at, value)``.
+
+    Sections: ``progress`` (newest target offset of each partition), ``resume`` (safe offsets of the last calculation), ``gap`` (sizes of
+    the open ones), ``analysis`` (gaps the last one found) and ``checkpoint`` (offsets the last one committed). A job
+    without rows of a kind has none in that section.
+    """
+    last = resume.groupBy("job_id").agg(F.max("calculated_at").alias("calculated_at"))
+
+    def rows(df: DataFrame, section: str, at: str, value: str, by_partition: bool = True) -> DataFrame:
+        topic, partition = (F.col("source_topic"), F.col("partition_id")) if by_partition else (F.lit(None), F.lit(None))
+        return df.select(
+            "job_id", F.lit(section).alias("section"), topic.cast("string").alias("source_topic"), partition.cast("int").alias("partition_id"),
+            F.col(at).alias("at"), F.col(value).cast("long").alias("value"),
+        )
+
+    return (
+        rows(current_progress(progress), "progress", "last_updated", "target_high_water_mark")
+        .unionByName(rows(resume.join(last, ["job_id", "calculated_at"], "left_semi"), "resume", "calculated_at", "safe_resume_offset"))
+        .unionByName(rows(gaps.filter(F.col("resolution_status") == "unresolved"), "gap", "detected_at", "gap_size"))
+        .unionByName(rows(newest_by_key(analyses, ["job_id"], ["analyzed_at"]), "analysis", "analyzed_at", "gaps", False))
+        .unionByName(rows(latest_checkpoint(checkpoints), "checkpoint", "created_at", "committed", False))
+    )
