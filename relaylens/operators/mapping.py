@@ -6,7 +6,7 @@ distinct list of names. A resolved map has one row per job, topic and target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaylens.functions.templates import is_pattern, java_pattern, java_replacement
@@ -15,21 +15,35 @@ from relaylens.functions.templates import is_pattern, java_pattern, java_replace
 def _pattern_matches(topics: DataFrame, rules: DataFrame) -> DataFrame:
     """Enabled pattern rules with the listed topics they match (unanchored) and the target each yields.
 
-    The join condition is a regular expression, so it has no key to shuffle on. Both sides are
-    configuration-sized: the distinct topic names and the rules, never the records.
+    A pattern that starts with three plain characters meets the topics that hold those, by an equi join on the three characters.
+    Only patterns without them have no key to shuffle on; they meet all distinct topic names.
     """
     patterns = rules.filter(F.col("enabled") & is_pattern(F.col("source_pattern"))).select(
         "job_id", "rule_pos", "source_pattern",
         java_pattern(F.col("source_pattern")).alias("pattern"),
         java_replacement(F.col("target_pattern")).alias("replacement"),
     )
-    matched = topics.select("topic").distinct().join(patterns, F.expr("topic RLIKE pattern"))
-    return matched.select(
+    names = topics.select("topic").distinct()
+    keyed = patterns.withColumn("gram", _leading_gram(F.col("source_pattern")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("topic") - 2, F.lit(1))), lambda i: F.substring(F.col("topic"), i, F.lit(3))))
+    by_gram = names.withColumn("gram", F.explode(grams)).join(keyed.filter("gram IS NOT NULL"), "gram").filter(F.expr("topic RLIKE pattern")).drop("gram")
+    # both sides are configuration: distinct names, and the few rules that start with a wildcard
+    others = names.join(keyed.filter("gram IS NULL").drop("gram"), F.expr("topic RLIKE pattern"))
+    return by_gram.unionByName(others).select(
         "job_id", "rule_pos", "source_pattern", "topic",
         F.expr("regexp_replace(topic, pattern, replacement)").alias("target_topic"),
     )
 
 
+def _leading_gram(pattern: Column) -> Column:
+    """Three characters that stand in every match of a pattern: its first ones, where they are plain and no alternative avoids them."""
+    plain = F.regexp_extract(pattern, r"^\^?([A-Za-z0-9_-]+)", 1)
+    after = F.regexp_extract(pattern, r"^\^?[A-Za-z0-9_-]+(.?)", 1)
+    sure = F.when(after.isin("?", "*", "{"), F.left(plain, F.length(plain) - 1)).otherwise(plain)
+    outside = F.regexp_replace(pattern, r"\([^()]*\)", "")
+    return F.when((F.length(sure) >= 3) & ~F.contains(outside, F.lit("|")) & ~F.contains(outside, F.lit("(")), F.left(sure, F.lit(3)))
+
+
 def _exact_rules(rules: DataFrame) -> DataFrame:
     target = F.when(F.coalesce("target_pattern", F.lit("")) == "", F.col("source_pattern")).otherwise(F.col("target_pattern"))
     return rules.filter(F.col("enabled") & ~is_pattern(F.col("source_pattern"))).select(
@@ -65,18 +79,20 @@ def unmatched_rules(topics: DataFrame, rules: DataFrame) -> DataFrame:
 
 def mapping_conflicts(resolved: DataFrame) -> DataFrame:
     """Mappings that clash: a topic with several targets, a target with several sources, an empty target."""
-    targets = resolved.groupBy("job_id", "topic").agg(F.count_distinct("target_topic").alias("n")).filter("n > 1")
-    sources = resolved.groupBy("job_id", "target_topic").agg(F.count_distinct("topic").alias("n")).filter("n > 1")
-    pairs = resolved.select("job_id", "topic", "target_topic")
+    # a resolved map has each (job, topic, target) once, so rows count targets and sources
+    counted = resolved.select(
+        "job_id", "topic", "target_topic", F.count("target_topic").over(Window.partitionBy("job_id", "topic")).alias("targets"),
+        F.count("topic").over(Window.partitionBy("job_id", "target_topic")).alias("sources"),
+    )
 
-    def kind(df: DataFrame, name: str) -> DataFrame:
-        return df.select("job_id", "topic", "target_topic", F.lit(name).alias("conflict"), "n")
+    def kind(name: str, holds: Column, n: Column) -> Column:
+        return F.when(holds, F.struct(F.lit(name).alias("conflict"), n.cast("long").alias("n")))
 
-    return (
-        kind(pairs.join(targets, ["job_id", "topic"]), "multiple_targets")
-        .unionByName(kind(pairs.join(sources, ["job_id", "target_topic"]), "multiple_sources"))
-        .unionByName(kind(pairs.filter("target_topic = ''").withColumn("n", F.lit(1).cast("long")), "empty_target"))
-    )
+    found = F.array_compact(F.array(
+        kind("multiple_targets", F.col("targets") > 1, F.col("targets")), kind("multiple_sources", F.col("sources") > 1, F.col("sources")),
+        kind("empty_target", F.col("target_topic") == "", F.lit(1)),
+    ))
+    return counted.select("job_id", "topic", "target_topic", F.explode(found).alias("c")).select("job_id", "topic", "target_topic", "c.conflict", "c.n")
 
 
 def require_clean(resolved: DataFrame) -> DataFrame:

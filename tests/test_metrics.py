@@ -205,3 +205,12 @@ def test_worker_functions_need_no_package_on_executors(tmp_path):
     )
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert out.stdout.split() == ["8", "False"], out.stderr
+
+
+def test_deltas_against_the_total_keep_all_rows(spark):
+    schema = "job_id string, ts timestamp_ntz, messages_replicated long, bytes_transferred long, messages_consumed long, bytes_consumed long, current_lag long, error_count long"
+    rows_in = [("a", at("2024-01-01T00:00:00"), 5, 1, 1, 1, 0, 0), ("a", at("2024-01-01T05:00:00"), None, 2, 2, 2, 0, 0),
+               ("a", at("2024-01-02T00:00:00"), 7, 3, 3, 3, None, 0), (None, at("2024-01-01T00:00:00"), 4, 0, 0, 0, 1, 0), ("a", None, 2, 0, 0, 0, 0, 0)]
+    got = metrics.counter_deltas_against_total(spark.createDataFrame(rows_in, schema))
+    found = {(r.job_id, r.ts): r.messages_replicated_delta for r in got.collect()}
+    assert found == {("a", None): 2, ("a", rows_in[0][1]): 3, ("a", rows_in[1][1]): None, ("a", rows_in[2][1]): 2, (None, rows_in[3][1]): 4}

@@ -52,5 +52,22 @@ def test_records_are_not_shuffled_to_be_mirrored(spark, views):
         "'job-0' AS job_id", "concat('events-', event_type) AS topic", "1 AS partition_id", "event_id AS rec_offset",
         "props AS rec_key", "props AS rec_value",
     )
-    physical = mapping.mirror(records, routes, targets)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    physical = mapping.mirror(records, routes, targets, small_map=True)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical
+
+
+@pytest.mark.parametrize("name", ["mirror_records", "rejected_records", "missing_at_target", "effective_permissions", "mapping_conflicts", "migration_verdict"])
+def test_building_a_query_starts_no_job_but_for_schemas(spark, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"build-{name}", "")
+    try:
+        text = plan(spark, name)
+        jobs = context.statusTracker().getJobIdsForGroup(f"build-{name}")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= len(set(re.findall(r"/(\w+)\.parquet", text)))
+
+
+def test_conflicts_match_patterns_once(spark):
+    physical = plan(spark, "mapping_conflicts").split("== Physical Plan ==")[1]
+    assert physical.count("NestedLoopJoin") <= 1

@@ -81,6 +81,30 @@ def test_dated_table_prunes_whole_days_and_rewrites_the_edge(spark):
     assert kept == sorted([*range(60, 120), 119])
 
 
+def test_dated_table_reads_only_the_days_asked_for(spark):
+    table = files.DatedTable(spark, "points_to_read")
+    hours = spark.range(24 * 5).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts")
+    table.append(hours)
+    part = table.read(dt.datetime(2024, 1, 2, 6), dt.datetime(2024, 1, 3, 6))
+    assert sorted(r.id for r in part.collect()) == list(range(30, 55))
+    plan = part._jdf.queryExecution().toString()
+    assert "event_date" in plan.split("PartitionFilters: [")[-1].split("]")[0]
+
+
+def test_dated_table_prunes_around_rows_without_a_time(spark, tmp_path):
+    table = files.DatedTable(spark, "points_without_time")
+    table.append(spark.sql("SELECT 1L AS id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts UNION ALL SELECT 2L, NULL UNION ALL SELECT 3L, TIMESTAMP_NTZ'2024-01-09 13:00:00'"
+                           " UNION ALL SELECT 4L, TIMESTAMP_NTZ'2024-01-09 03:00:00'"))
+    table.prune(as_of=dt.datetime(2024, 1, 10, 12), days=1, stage=str(tmp_path / "stage"))
+    assert sorted(r.id for r in table.read().collect()) == [2, 3]
+    assert table.days() == [dt.date(2024, 1, 9)] and not list((tmp_path / "stage").glob("staged-*"))
+
+
+def test_labels_are_escaped(spark):
+    df = samples(spark).withColumn("job_id", F.lit('a"b\\c\nd'))
+    assert 'job_id="a\\"b\\\\c\\nd"' in payloads.shaped(df, "prometheus").first().value
+
+
 def test_report_file(spark, tmp_path, views):
     now = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
     reports = compliance.compliance_reports(views.ops_events, views.metric_points, views.insights, views.jobs, as_of=now)
