@@ -78,7 +78,7 @@ def along(
     position = F.struct(*order, *[e.alias(f"__tie{k}") for k, e in enumerate(ties)])
     sums = [F.sum(e).alias(f"__sum_{n}") for n, e in {**running, **whole}.items()]
     lasts = [F.max_by(e, position).alias(f"__last_{n}") for n, e in previous.items()]
-    chunks = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts).withColumn(_SPAN, F.floor(F.col(_CHUNK) / SPAN))
+    chunks = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts).withColumn(_SPAN, F.expr(f"{_CHUNK} DIV {SPAN}"))
     spans = chunks.groupBy(_KEY, _SPAN).agg(
         *[F.sum(f"__sum_{n}").alias(f"__sum_{n}") for n in (*running, *whole)],
         *[F.max_by(f"__last_{n}", _CHUNK).alias(f"__last_{n}") for n in previous],

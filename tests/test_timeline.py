@@ -32,10 +32,12 @@ def test_no_task_gets_a_whole_hot_key(spark):
     df = skewed(spark, 20000)
     # small partitions would be merged again
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         spread = along(df, ["k"], ["pos"], block_of("pos", 64), running={"n": F.lit(1)}).filter("k = 'hot'")
-        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("count"), F.sum("n")).collect()]
     finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) > 1 and max(sizes) < 0.5 * sum(sizes)
 
