@@ -103,8 +103,11 @@ def health_alerts(health: DataFrame) -> DataFrame:
     )
 
 
-def cluster_counts(clusters: DataFrame, topics: DataFrame, partitions: DataFrame) -> DataFrame:
-    """Brokers leading a partition, topics, partitions and internal topics per snapshot and cluster."""
+def cluster_counts(clusters: DataFrame, topics: DataFrame, partitions: DataFrame, brokers: DataFrame | None = None) -> DataFrame:
+    """Brokers, topics, partitions and internal topics per snapshot and cluster.
+
+    ``brokers`` lists ``(cluster_inventory_id, broker_id)``. Without it the brokers that lead a partition are counted.
+    """
     per_topic = partitions.groupBy("topic_inventory_id").agg(
         F.count(F.lit(1)).alias("partitions"), F.collect_set("leader_id").alias("leaders")
     )
@@ -118,6 +121,8 @@ def cluster_counts(clusters: DataFrame, topics: DataFrame, partitions: DataFrame
         .select("cluster_inventory_id", F.explode("leaders").alias("leader"))
         .groupBy("cluster_inventory_id").agg(F.count_distinct("leader").alias("broker_count"))
     )
+    if brokers is not None:
+        leaders = brokers.groupBy("cluster_inventory_id").agg(F.count_distinct("broker_id").alias("broker_count"))
     counts = ["total_topics", "total_partitions", "internal_topics", "broker_count"]
     return (
         clusters.join(per_cluster, "cluster_inventory_id", "left").join(leaders, "cluster_inventory_id", "left")

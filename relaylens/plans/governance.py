@@ -475,7 +475,7 @@ inv_partitions AS (SELECT o_custkey AS topic_inventory_id, o_orderkey AS partiti
 """
 
 
-def _tree(v: Views):
+def inventory_tables(v: Views):
     snapshots = v.table("region").selectExpr(
         "r_regionkey AS snapshot_id", "concat('job-', r_regionkey) AS job_id",
         "CASE r_regionkey % 3 WHEN 0 THEN 'startup' WHEN 1 THEN 'periodic' ELSE 'manual' END AS snapshot_type",
@@ -503,7 +503,7 @@ LEFT JOIN (SELECT topic_inventory_id, partition_id // 1000 AS page, count(*) AS
     '[' || string_agg('{"partition_id":' || partition_id || ',"leader_id":' || leader_id || '}', ',' ORDER BY partition_id) || ']' AS partitions
   FROM inv_partitions GROUP BY 1, 2) USING (topic_inventory_id)""")
 def _(v):
-    return inventory.inventory_tree(*_tree(v))
+    return inventory.inventory_tree(*inventory_tables(v))
 
 
 @query("cluster_counts", TREE + """
@@ -513,13 +513,13 @@ SELECT snapshot_id, cluster_name, cluster_type, count(DISTINCT topic_inventory_i
 FROM inv_clusters LEFT JOIN inv_topics USING (cluster_inventory_id) LEFT JOIN inv_partitions USING (topic_inventory_id)
 GROUP BY cluster_inventory_id, snapshot_id, cluster_name, cluster_type""")
 def _(v):
-    _, clusters, topics, partitions = _tree(v)
+    _, clusters, topics, partitions = inventory_tables(v)
     return inventory.cluster_counts(clusters, topics, partitions)
 
 
 @query("snapshots_newest_first", TREE + "SELECT * FROM snapshots")
 def _(v):
-    return inventory.snapshots_of_job(_tree(v)[0])
+    return inventory.snapshots_of_job(inventory_tables(v)[0])
 
 
 GROUPS = """
@@ -650,7 +650,7 @@ def _(v):
 @query("retained_snapshot_clusters", TREE + f"""
 SELECT c.* FROM inv_clusters c WHERE snapshot_id IN (SELECT snapshot_id FROM snapshots WHERE created_at >= {NOW} - INTERVAL 30 DAYS)""")
 def _(v):
-    snapshots, clusters, _, _ = _tree(v)
+    snapshots, clusters, _, _ = inventory_tables(v)
     kept = maintenance.kept_rows(snapshots, "created_at", as_of=as_of(), days=30)
     return maintenance.with_parent(clusters, kept, "snapshot_id")
 

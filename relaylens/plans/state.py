@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from relaylens.operators import audit, inventory, maintenance, progress
 from relaylens.plans.bindings import as_of
+from relaylens.plans.governance import TREE, inventory_tables
 from relaylens.plans.registry import query
 
 NOW = "CAST('2024-01-31 00:00:00' AS TIMESTAMP)"
@@ -130,3 +131,15 @@ def _(v):
     path = F.expr("CASE event_type WHEN 'view' THEN '/api/v1/jobs' WHEN 'click' THEN '/api/v1/clusters' ELSE '/api/v1/users' END")
     requests = v.events.filter("event_type IN ('view', 'click', 'signup')").select("event_id", path.alias("path"), F.expr(_BODY).alias("body"))
     return requests.select("event_id", audit.request_details(F.col("path"), F.lit("POST"), F.col("body")).alias("details"))
+
+
+@query("cluster_broker_counts", TREE + """, brokers AS (SELECT n_nationkey AS cluster_inventory_id, 3 + n_nationkey % 4 AS listed FROM nation)
+SELECT snapshot_id, cluster_name, cluster_type, count(DISTINCT topic_inventory_id) AS total_topics, count(partition_id) AS total_partitions,
+  count(DISTINCT topic_inventory_id) FILTER (WHERE topic_name LIKE '\\_\\_%' ESCAPE '\\') AS internal_topics, CAST(max(listed) AS BIGINT) AS broker_count
+FROM inv_clusters LEFT JOIN inv_topics USING (cluster_inventory_id) LEFT JOIN inv_partitions USING (topic_inventory_id) LEFT JOIN brokers USING (cluster_inventory_id)
+GROUP BY cluster_inventory_id, snapshot_id, cluster_name, cluster_type""")
+def _(v):
+    _, clusters, topics, partitions = inventory_tables(v)
+    # more brokers than lead a partition
+    brokers = v.table("nation").selectExpr("n_nationkey AS cluster_inventory_id", "explode(sequence(1, CAST(3 + n_nationkey % 4 AS INT))) AS broker_id")
+    return inventory.cluster_counts(clusters, topics, partitions, brokers)
