@@ -145,6 +145,17 @@ def config_changes(events: DataFrame, *, as_of: Column) -> DataFrame:
     )
 
 
+def audit_trail_pages(events: DataFrame, *, as_of: Column, page_size: int = 1000) -> DataFrame:
+    """The audit trail of every period as JSON lists, to be stored beside its report.
+
+    A page holds the changes of ``page_size`` event ids, so a row stays bounded however long the trail gets.
+    """
+    changes = in_windows(events.filter(F.col("event_type") == "config_change"), as_of=as_of)
+    page = F.expr(f"CAST(event_id DIV {int(page_size)} AS BIGINT)").alias("page")
+    entries = F.sort_array(F.collect_list(F.struct("event_id", "initiator", "details")))
+    return changes.groupBy("period", page).agg(F.count(F.lit(1)).alias("changes"), F.to_json(entries).alias("trail"))
+
+
 def insight_usage(insights: DataFrame, *, as_of: Column) -> DataFrame:
     """Insights per period and type, with the period's total."""
     counted = in_windows(insights, as_of=as_of).groupBy("period", "insight_type").agg(F.count(F.lit(1)).alias("insights"))

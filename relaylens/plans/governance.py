@@ -89,6 +89,14 @@ def _(v):
     return compliance.config_changes(v.ops_events, as_of=report_at())
 
 
+@query("audit_trail_pages", PERIODS + """
+SELECT period, event_id // 200 AS page, count(*) AS changes,
+  CAST(to_json(list({'event_id': event_id, 'initiator': initiator, 'details': details} ORDER BY event_id)) AS VARCHAR) AS trail
+FROM periods JOIN ops_events ON ts BETWEEN s AND e WHERE event_type = 'config_change' GROUP BY ALL""")
+def _(v):
+    return compliance.audit_trail_pages(v.ops_events, as_of=report_at(), page_size=200)
+
+
 @query("insight_usage", PERIODS + """
 SELECT period, insight_type, insights, CAST(sum(insights) OVER (PARTITION BY period) AS BIGINT) AS total_insights FROM usage""")
 def _(v):
