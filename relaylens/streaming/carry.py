@@ -7,9 +7,13 @@ every micro-batch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from relaylens.operators.progress import newest_by_key
+
 
 class Carry:
     """Two alternating slots: batch n reads what batch n - 1 wrote, so a repeated batch sees the same state."""
@@ -36,3 +40,41 @@ class Carry:
 
     def after(self, batch_id: int, state: DataFrame) -> None:
         state.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._slot(batch_id))
+
+
+class Newest:
+    """The newest row of every key. A micro-batch writes the keys it touches; every ``every`` batches all keys are written together.
+
+    A repeated batch writes the same folders again. Folders that no batch can need any more are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[str], every: int = 20):
+        self.spark, self.path, self.schema, self.keys, self.order, self.every = spark, path, schema, keys, order, every
+
+    def _parts(self, batch_id: int) -> list[str]:
+        """The folders whose rows make up the state before a batch."""
+        whole = batch_id - batch_id % self.every
+        base = [f"{self.path}/all={whole}"] if whole else []
+        return base + [f"{self.path}/touched={n}" for n in range(whole, batch_id)]
+
+    def before(self, batch_id: int) -> DataFrame:
+        paths = self._parts(batch_id)
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return newest_by_key(self.spark.read.schema(self.schema).parquet(*paths), self.keys, self.order)
+
+    def after(self, batch_id: int, batch: DataFrame) -> None:
+        touched = newest_by_key(batch, self.keys, self.order).select(*self.schema.fieldNames())
+        touched.write.mode("overwrite").parquet(f"{self.path}/touched={batch_id}")
+        following = batch_id + 1
+        if following % self.every == 0:
+            paths = [*self._parts(batch_id), f"{self.path}/touched={batch_id}"]
+            state = newest_by_key(self.spark.read.schema(self.schema).parquet(*paths), self.keys, self.order)
+            state.write.mode("overwrite").parquet(f"{self.path}/all={following}")
+            # a repeat of this batch still reads the stretch that ends here, not the one before
+            self._drop([f"{self.path}/touched={n}" for n in range(following - 2 * self.every, following - self.every)] + [f"{self.path}/all={following - 2 * self.every}"])
+
+    def _drop(self, paths: list[str]) -> None:
+        for name in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from relaylens.functions.timeline import hour_of
 from relaylens.operators import detect, metrics
 from relaylens.operators.progress import newest_by_key
-from relaylens.streaming.carry import Carry
+from relaylens.streaming.carry import Carry, Newest
 from relaylens.streaming.mirror import BatchWriter, reading_once
 from relaylens.streaming.ordered import InOrder
 
@@ -113,18 +113,17 @@ def start_incidents(
 
 def start_latest(
     rows: DataFrame, checkpoint: str, write_history: BatchWriter, *, keys: Sequence[str], order: Sequence[str],
-    trigger: dict | None = None,
+    every: int = 20, trigger: dict | None = None,
 ) -> tuple[StreamingQuery, Callable[[int], DataFrame]]:
-    """Append every row to the history and keep the newest row per key.
+    """Append every row to the history and keep the newest row per key; a micro-batch writes only the keys it touches.
 
-    Returns the query and a function giving the current rows as of a batch.
+    All keys are written together every ``every`` batches. Returns the query and a function giving the current rows as of a batch.
     """
-    current = Carry(rows.sparkSession, f"{checkpoint}/current", rows.schema)
+    current = Newest(rows.sparkSession, f"{checkpoint}/current", rows.schema, keys, order, every)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         write_history(batch, batch_id)
-        newest = newest_by_key(current.before(batch_id).unionByName(batch), keys, order)
-        current.after(batch_id, newest)
+        current.after(batch_id, batch)
 
     return _start(rows, run, checkpoint, trigger), lambda batch_id: current.before(batch_id + 1)
 
