@@ -67,9 +67,9 @@ b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_a
              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 phrases AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
             FROM b, LATERAL unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
-at AS (SELECT doc_id, i, l AS n, array_to_string(w[i:i + l - 1], ' ') AS phrase
+places AS (SELECT doc_id, i, l AS n, array_to_string(w[i:i + l - 1], ' ') AS phrase
        FROM d, (SELECT DISTINCT n AS l FROM phrases) AS lengths, LATERAL unnest(range(1, len(w) - l + 2)) AS r(i)),
-hits AS (SELECT a.doc_id, a.i, a.n, p.item_id FROM at AS a JOIN phrases AS p USING (n, phrase)),
+hits AS (SELECT a.doc_id, a.i, a.n, p.item_id FROM places AS a JOIN phrases AS p USING (n, phrase)),
 words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, LATERAL unnest(range(n)) AS r(k) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
           FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
