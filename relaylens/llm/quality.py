@@ -26,7 +26,7 @@ MIN_ROWS = 200
 STEPS = 5
 BINS = 256
 #: Distances are cut at the quantile of a chi-square law that one clean document in this many exceeds.
-ONE_IN = 1e9
+ONE_IN = 1e7
 
 
 def count_statistics(column: pa.Array) -> list[np.ndarray]:
