@@ -135,7 +135,7 @@ def with_found(docs: DataFrame, benchmark: DataFrame, name: str, *, width: int =
 
     Words are runs of ASCII letters, digits and characters outside ASCII, A-Z lower-cased. Every window of ``width``
     consecutive words of an item (the whole item, where it has fewer) is searched for in an FM-index over the words of each
-    shard of about 4 MB of text: suffix array by prefix doubling, wavelet ranks for the backward search, sampled
+    shard of about 2 MB of text: suffix array by prefix doubling, wavelet ranks for the backward search, sampled
     suffix positions to locate the hits. Documents are scanned and never shuffled. Tasks get the benchmark in blocks
     of bounded size; each further block is a further search over the same rows.
     """

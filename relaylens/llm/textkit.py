@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (2 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_OTHER = np.random.default_rng(20240201).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -35,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _grown(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:
-        n = max(n, SLICE_BYTES + 1)
+        n = 1 << (n - 1).bit_length()
         powers, inverses = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
         powers[0] = inverses[0] = 1
         _powers, _inverses = np.multiply.accumulate(powers), np.multiply.accumulate(inverses)
@@ -46,7 +47,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        self._sums: np.ndarray | None = None
+        self._sums: dict[bool, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -81,14 +82,14 @@ class Texts:
         counts = np.bincount(owner, minlength=len(self)) if len(self) else np.zeros(0, np.int64)
         return starts[by_start], ends[by_end], np.concatenate([[0], np.cumsum(counts)])
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of every span."""
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, *, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of the bytes of every span, or the second of two such hashes."""
         n = len(self.data)
         _grown(n + 1)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _powers[:n], out=self._sums[1:])
-        sums = self._sums[ends] - self._sums[starts]
+        if second not in self._sums:
+            self._sums[second] = np.zeros(n + 1, np.uint64)
+            np.cumsum((_OTHER if second else _BYTE)[self.data] * _powers[:n], out=self._sums[second][1:])
+        sums = self._sums[second][ends] - self._sums[second][starts]
         return mix(sums * _inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:

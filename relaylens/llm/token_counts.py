@@ -66,7 +66,7 @@ def with_counts(docs: DataFrame, name: str, *, sections: str = "sections", rule:
         for batch in textkit.slices(batches, "text"):
             column = batch.column("text")
             texts = textkit.texts_of(column)
-            ids, first = tokens.encode(column.to_pylist())
+            ids, first = tokens.encode(column)
             lengths = tokens.bytes_of[ids]
             leads = (texts.data & 0xC0) != 0x80
             rows = []

@@ -50,7 +50,7 @@ def staged_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
             ], names=["part", "block", "at", "ids", "docs", "symbols"])
 
         for batch in textkit.slices(batches, "text"):
-            ids, first = tokens.encode(batch.column("text").to_pylist())
+            ids, first = tokens.encode(batch.column("text"))
             counts += np.bincount(ids, minlength=len(counts))
             counts[end] += batch.num_rows
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
