@@ -19,14 +19,14 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 STATISTICS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 AXES = ("words", "word_length", "symbols", "dup_lines", "repeats")
-#: Spread below which an axis is not taken: without it a statistic that is constant in a group would reject every other value.
-FLOORS = (0.35, 0.06, 0.12, 0.2, 0.2)
+#: Spread that an axis gets where a cell's own is below it: without it a statistic that is constant in a group would reject every other value.
+FLOORS = (0.35, 0.06, 0.03, 0.1, 0.1)
 SUPPORT = 0.75
 MIN_ROWS = 200
 STEPS = 5
 BINS = 256
-#: Distances are cut at the quantile of a chi-square law that one clean document in this many exceeds.
-ONE_IN = 1e7
+#: Distances are cut at the quantile of a chi-square law that one document in this many exceeds.
+ONE_IN = 1e3
 
 
 def count_statistics(column: pa.Array) -> list[np.ndarray]:
@@ -87,6 +87,12 @@ def axes(s: str) -> list[Column]:
     return [F.log(words), F.log1p(F.col(f"{s}.word_chars") / words), *angles]
 
 
+def noises(s: str) -> list[Column]:
+    """Variance that counting alone gives each axis of a document: the angle of a share of n has 1 / 4n; repeated words come in sixes at least."""
+    counted = {"word_chars": 0.25, "n_lines": 0.25, "n_words": 1.5}
+    return [F.lit(0.0), F.lit(0.0), *[F.lit(c) / F.expr(f"CAST(greatest({s}.{n}, 1) AS DOUBLE)") for n, c in counted.items()]]
+
+
 def cutoff(dimensions: int = len(AXES), one_in: float = ONE_IN) -> float:
     """Chi-square quantile by the Wilson-Hilferty approximation, its normal quantile by Newton's method."""
     z, tail = 3.0, 1 / one_in
@@ -113,7 +119,8 @@ def _cells(stats: DataFrame, min_rows: int) -> DataFrame:
     return joined.select("lang", "source", F.to_json(cell).alias("cell"))
 
 
-_FIT = "cell string, start int, n long, log_det double, centre array<double>, inverse array<double>"
+#: ``spread`` has the variances.
+_FIT = "cell string, start int, n long, log_det double, centre array<double>, inverse array<double>, spread array<double>"
 
 
 def _refit(support: float, floors: tuple[float, ...]):
@@ -130,10 +137,13 @@ def _refit(support: float, floors: tuple[float, ...]):
         second = np.zeros((d, d))
         second[np.triu_indices(d)] = np.stack(used["products"].to_list()).sum(axis=0) / m
         second = second + np.triu(second, 1).T
-        cov = second - np.outer(centre, centre) + np.diag(np.square(floors))
+        raw = second - np.outer(centre, centre)
+        # few documents can lie on a line: products are shrunk a little, so that the matrix has an inverse
+        cov = raw * (m / (m + d))
+        np.fill_diagonal(cov, np.maximum(np.diag(raw), np.square(floors)))
         return pd.DataFrame({
             "cell": [key[0]], "start": [key[1]], "n": [int(n.sum())], "log_det": [float(np.linalg.slogdet(cov)[1])],
-            "centre": [centre.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()],
+            "centre": [centre.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "spread": [np.diag(cov).tolist()],
         })
 
     return run
@@ -146,13 +156,14 @@ def _distance(x: str, d: int) -> Column:
 
 def fit(stats: DataFrame, scratch: Scratch, *, support: float = SUPPORT, min_rows: int = MIN_ROWS, steps: int = STEPS,
         floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """Minimum-covariance-determinant estimate of every (lang, source): centre, inverse covariance, scale of distances.
+    """Minimum-covariance-determinant estimate of every (lang, source): centre, inverse covariance, variances.
 
     ``stats`` has lang, source and ``x``, the axes of every document. Concentration steps run from two starts (the
     coordinates' medians with their median deviations, and the plain moments): each step keeps the ``support`` share of
     a cell's documents nearest to the estimate and takes the moments of those; the start with the smaller
     determinant wins. A step is one aggregation over all documents into at most ``BINS`` distance bins per cell,
-    so a source with a third of all rows is summed by all tasks. The raw covariance is scaled to the median distance.
+    so a source with a third of all rows is summed by all tasks. The subset's spread is too small for all the cell's
+    documents, so each axis is widened to the median deviation from the centre, and to its floor where it is still below that.
     """
     d = len(floors)
     cells = scratch.keep(_cells(stats, min_rows), "cells")
@@ -171,7 +182,7 @@ def fit(stats: DataFrame, scratch: Scratch, *, support: float = SUPPORT, min_row
 
     def start(frame: DataFrame, number: int, factor: float) -> DataFrame:
         def weight(i: int) -> Column:
-            return 1 / (F.pow(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * factor, 2) + floors[i] ** 2)
+            return 1 / F.pow(F.greatest(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * factor, F.lit(floors[i])), 2)
 
         inverse = [weight(i) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
         return frame.select(
@@ -193,25 +204,25 @@ def fit(stats: DataFrame, scratch: Scratch, *, support: float = SUPPORT, min_row
             F.array(*[F.col(f"b{i}_{j}") for i in range(d) for j in range(i, d)]).alias("products"),
         )
         estimate = scratch.keep(sums.groupBy("cell", "start").applyInPandas(_refit(support, floors), _FIT), f"step{k}")
-    best = estimate.groupBy("cell").agg(F.min_by(F.struct("n", "centre", "inverse"), F.struct("log_det", "start")).alias("b"))
+    best = estimate.groupBy("cell").agg(F.min_by(F.struct("n", "centre", "inverse", "spread"), F.struct("log_det", "start")).alias("b"))
     best = scratch.keep(best.select("cell", "b.*"), "best")
-    typical = cutoff_median(d)
-    scale = points.join(best, "cell").withColumn("d2", _distance("x", d)).groupBy("cell").agg(
-        F.greatest(F.percentile_approx("d2", 0.5, 1000) / typical, F.lit(1.0)).alias("scale")
+    deviations = points.join(best.select("cell", "centre"), "cell").groupBy("cell").agg(
+        *[F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5, 1000).alias(f"s{i}") for i in range(d)]
+    )
+    wider = F.array(*[F.expr(f"greatest(1.4826D * s{i} / sqrt(spread[{i}]), 1D)") for i in range(d)])
+    scaled = best.join(deviations, "cell").withColumn("wider", wider).select(
+        "cell", "n", "centre", F.array(*[F.expr(f"inverse[{i * d + j}] / (wider[{i}] * wider[{j}])") for i in range(d) for j in range(d)]).alias("inverse"),
+        F.array(*[F.expr(f"spread[{i}] * wider[{i}] * wider[{i}]") for i in range(d)]).alias("spread"),
     )
-    fitted = best.join(scale, "cell").join(cells, "cell").select("lang", "source", "cell", "n", "centre", "inverse", "scale")
+    fitted = scaled.join(cells, "cell").select("lang", "source", "cell", "n", "centre", "inverse", "spread")
     return scratch.keep(fitted, "fitted")
 
 
-def cutoff_median(d: int) -> float:
-    """Median of the chi-square law, by the Wilson-Hilferty approximation."""
-    return d * (1 - 2 / (9 * d)) ** 3
-
-
 def judged(scored: DataFrame, s: str, fitted: DataFrame, verdict: str, *, limit: float | None = None) -> DataFrame:
     """``scored`` with a struct column called ``verdict``: base_failed, distance, kept.
 
-    Rejected are documents that fail the base rules, and those whose squared distance exceeds ``limit``.
+    Rejected are documents that fail the base rules, and those whose squared distance exceeds ``limit``. A document's deviation
+    on an axis counts by the cell's variance and its own counting noise together, so that one line in five is less than 20 in 100.
     Cells pooled over all languages with under ``MIN_ROWS`` documents reject nothing by distance.
     """
     limit = cutoff(len(AXES)) if limit is None else limit
@@ -219,11 +230,13 @@ def judged(scored: DataFrame, s: str, fitted: DataFrame, verdict: str, *, limit:
     small = fitted.select(F.struct("*").alias(name))
     on = F.col("lang").eqNullSafe(F.col(f"{name}.lang")) & F.col("source").eqNullSafe(F.col(f"{name}.source"))
     x, d = fresh([*scored.columns, name], "x"), len(AXES)
-    terms = " + ".join(
-        f"({x}[{i}] - {name}.centre[{i}]) * ({x}[{j}] - {name}.centre[{j}]) * {name}.inverse[{i * d + j}]" for i in range(d) for j in range(d)
-    )
-    distance = F.expr(f"IF({name}.n >= {MIN_ROWS}, ({terms}) / {name}.scale, 0D)")
-    out = scored.withColumn(x, F.array(*axes(s))).join(small, on, "left")
+    off = [
+        (value - F.col(f"{name}.centre")[i]) * F.sqrt(F.col(f"{name}.spread")[i] / (F.col(f"{name}.spread")[i] + noise))
+        for i, (value, noise) in enumerate(zip(axes(s), noises(s)))
+    ]
+    terms = " + ".join(f"{x}[{i}] * {x}[{j}] * {name}.inverse[{i * d + j}]" for i in range(d) for j in range(d))
+    distance = F.expr(f"IF({name}.n >= {MIN_ROWS}, {terms}, 0D)")
+    out = scored.join(small, on, "left").withColumn(x, F.array(*off))
     failed = base_failed(s)
     distance = F.coalesce(distance, F.lit(0.0))
     kept = ~failed & (distance <= limit)

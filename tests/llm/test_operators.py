@@ -234,6 +234,31 @@ def test_quality_outliers(spark, edge):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows if not r[4]}
 
 
+def test_quality_rejects_a_tenth_of_symbols(spark):
+    """Texts cut up by bars and texts that repeat every second line go; a symbol or a repeated line now and then is no reason."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(1500):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(200, 500))]
+        kind = {7: "bars", 17: "lines", 27: "few", 37: "line"}.get(k % 50, "plain")
+        if kind == "bars":
+            words = [w + " |" * (i % 2) for i, w in enumerate(words)]
+        lines = [" ".join(words[i:i + 12]) for i in range(0, len(words), 12)]
+        if kind == "lines":
+            lines = [x for line in lines for x in (line, "share")]
+        elif kind == "few":
+            lines[0] += " & a"
+        elif kind == "line":
+            lines.insert(2, lines[0])
+        rows.append((k, "\n".join(lines), "en", "hot" if k % 3 else f"s{k % 5}", kind))
+    bars = [r for r in rows if r[4] == "bars"]
+    assert all(0.07 < r[1].count("|") / len(r[1].replace(" ", "").replace("\n", "")) < 0.13 for r in bars)
+    got = by_id(quality.quality_table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")))
+    assert {k for k, r in got.items() if not r.kept} == {r[0] for r in rows if r[4] in ("bars", "lines")}
+
+
 def test_line_runs(spark, edge_rows):
     docs = spark.createDataFrame([(r[0], r[1]) for r in edge_rows], "doc_id long, text string").coalesce(1)
     got = by_id(line_runs.line_table(docs))
