@@ -14,6 +14,8 @@ from relaylens.llm.common import Scratch, map_arrow
 
 #: Lines of the shortest run that is deleted.
 MIN_LINES = 2
+#: Words, parted by white space, of a run that is deleted even if it has fewer lines: a paragraph can be one line.
+MIN_WORDS = 50
 _LAST = (1 << 63) - 1
 
 
@@ -23,18 +25,23 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def line_ids(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, n_lines, lines): the 64-bit ids of a text's lines, in order. Null text has no lines, empty text one."""
+    """(row, doc_id, n_lines, lines, words): the 64-bit ids of a text's lines, in order, and the words in each. Null text has no lines, empty text one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, "text"):
             texts = textkit.texts_of(batch.column("text"))
             starts, ends, first = texts.lines()
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(texts.hashes(starts, ends).view(np.int64)))
+            word_starts, _, _ = texts.words(textkit.NOT_SPACE)
+            counts = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+            offsets = pa.array(first, pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(texts.hashes(starts, ends).view(np.int64)))
+            words = pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), lists], names=["row", "doc_id", "n_lines", "lines"]
+                [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), lists, words],
+                names=["row", "doc_id", "n_lines", "lines", "words"],
             )
 
-    return map_arrow(rows, run, "row long, doc_id long, n_lines long, lines array<long>")
+    return map_arrow(rows, run, "row long, doc_id long, n_lines long, lines array<long>, words array<int>")
 
 
 def _repeated(named: DataFrame) -> DataFrame:
@@ -91,15 +98,27 @@ def copies(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return reach
 
 
-def deletions(rows: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
+def _wordy(runs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """Of runs (row, start, end) those of at least ``min_words`` words."""
+    words = lines.select(F.col("row").alias("r"), "words").filter(F.aggregate("words", F.lit(0), lambda a, x: a + x) >= min_words)
+    total = F.aggregate(F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")), F.lit(0), lambda a, x: a + x)
+    return runs.join(words, F.col("row") == F.col("r")).filter(total >= min_words).select("row", "start", "end")
+
+
+def deletions(rows: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """(row, doc_id, n_lines, runs): the runs of lines to delete, array of (start, end), merged and in order.
 
-    Deleted are the later copies of runs of at least ``min_lines`` lines; a copy that overlaps what it repeats is cut to the part behind it.
+    Deleted are the later copies of runs of at least ``min_lines`` lines, and of shorter ones of at least ``min_words`` words if that is
+    given; a copy that overlaps what it repeats is cut to the part behind it.
     The first document, by doc_id and then by row, keeps its run; every line keeps the first place it stands at.
     """
     lines = scratch.keep(line_ids(rows), "lines")
     cut = F.when(F.col("row") == F.col("of_row"), F.least("length", F.col("pos") - F.col("of_pos"))).otherwise(F.col("length"))
-    runs = copies(lines, scratch).select("row", F.col("pos").alias("start"), (F.col("pos") + cut).alias("end")).filter(F.col("end") - F.col("start") >= min_lines)
+    every = copies(lines, scratch).select("row", F.col("pos").alias("start"), (F.col("pos") + cut).alias("end"))
+    short = F.col("end") - F.col("start") < min_lines
+    runs = every.filter(~short)
+    if min_words is not None:
+        runs = runs.unionByName(_wordy(every.filter(short), lines, min_words))
     # runs of one document that touch are one
     upto = F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.withColumn("new", F.coalesce(F.col("start") > upto, F.lit(True)).cast("int"))
@@ -110,14 +129,14 @@ def deletions(rows: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) ->
     return out.withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")))
 
 
-def line_table(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_table(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_deleted, n_runs, longest_run, runs (start-end of line numbers from 0, end exclusive, comma-joined) of every document.
 
     Null text counts as one empty line; rows that repeat a doc_id are copies of each other, the first by row keeps its lines; null ids come
     last; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    found = deletions(scratch.keep(numbered(docs).withColumn("text", F.coalesce("text", F.lit(""))), "rows"), scratch, min_lines)
+    found = deletions(scratch.keep(numbered(docs).withColumn("text", F.coalesce("text", F.lit(""))), "rows"), scratch, min_lines, min_words)
     lengths = F.transform("runs", lambda r: r["end"] - r["start"])
     return found.select(
         "doc_id", "n_lines", F.aggregate(lengths, F.lit(0), lambda a, x: a + x).cast("long").alias("n_deleted"), F.size("runs").cast("long").alias("n_runs"),
@@ -126,11 +145,11 @@ def line_table(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """(doc_id, text): every document without the later copies of repeated runs; a document that is all copy has empty text."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.keep(numbered(docs), "rows")
-    found = deletions(rows, scratch, min_lines).filter("size(runs) > 0").select(F.col("row").alias("r"), "runs")
+    found = deletions(rows, scratch, min_lines, min_words).filter("size(runs) > 0").select(F.col("row").alias("r"), "runs")
     kept = F.expr("""array_join(filter(split(text, '\n', -1), (x, i) -> NOT exists(runs, r -> i >= r.start AND i < r.end)), '\n')""")
     joined = rows.join(found, F.col("row") == F.col("r"), "left")
     return joined.select("doc_id", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"))

@@ -42,7 +42,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.line_table(table(spark, sf_dir, "documents"))
+    return line_runs.line_table(table(spark, sf_dir, "documents"), min_words=line_runs.MIN_WORDS)
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

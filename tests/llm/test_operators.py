@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from relaylens.llm import (
-    decontaminate, line_runs, mixing, near_dup, personal, quality, secrets, token_counts, token_output, warc,
+    decontaminate, line_runs, mixing, near_dup, personal, quality, queries, secrets, token_counts, token_output, warc,
 )
 from relaylens.llm.common import Scratch
 from relaylens.llm.tokens import default_vocabulary, encoder
@@ -269,6 +269,33 @@ def test_line_runs(spark, edge_rows):
     assert cut[14].text == "own" and cut[13].text == "l1\nl2\nl3\nl4" and cut[0].text is None
 
 
+def test_line_runs_of_one_long_line(spark, edge_rows, tmp_path):
+    """A repeated line of 50 words goes though its neighbours differ; one of 49 stays, and so does the first place of either."""
+    def line(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    texts = [f"a\n{line('x', 50)}\nb\n{line('y', 49)}\nc", f"d\n{line('y', 49)}\ne\n{line('x', 50)}\nf\n{line('x', 50)}", f"g\n  {line('x', 50)}\n{line('y', 49)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = by_id(line_runs.line_table(docs, min_words=50))
+    assert [got[k].runs for k in range(3)] == ["", "3-4,5-6", ""]
+    assert by_id(line_runs.without_repeats(docs, min_words=50))[1].text == f"d\n{line('y', 49)}\ne\nf"
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {k: r.n_deleted for k, r in by_id(queries.op8_line_dedup(spark, str(tmp_path))).items()} == {0: 0, 1: 2, 2: 0}
+    rows = [(r[0], r[1]) for r in edge_rows]
+    got = by_id(line_runs.line_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), min_words=50))
+    seen, long = set(), {}
+    for doc_id, text in rows:
+        for n, x in enumerate((text or "").split("\n")):
+            if len(brute.NOT_SPACE.findall(x)) >= 50:
+                if x in seen:
+                    long.setdefault(doc_id, set()).add(n)
+                seen.add(x)
+    assert long
+    for doc_id, numbers in long.items():
+        gone = {n for run in got[doc_id].runs.split(",") if run for n in range(*map(int, run.split("-")))}
+        assert numbers <= gone, doc_id
+
+
 def test_line_runs_of_repeated_rows(spark):
     rows = [(3, "a\nb\nc"), (3, "a\nb\nc"), (None, "a\nb"), (1, "b\nc\nd\ne\nf\ng\nh"), (2, "x\nd\ne\nf\ng\nh\ny"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
