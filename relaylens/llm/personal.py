@@ -30,6 +30,8 @@ LOOSE = {
     "phone": r"(?<![0-9(+])[(]?[0-9]{2,4}[)]?(?:[\x20./-][0-9]{2,4}){2,4}(?![0-9])",
 }
 CONTEXT = 24
+#: Of the sampled candidates this share is held out from the trees.
+HELD = 1 / 3
 HINTS = {
     "email": r"(?i)\b(e-?mail|mail|contact|write)", "ip": r"(?i)\b(ip|host|server|address)",
     "card": r"(?i)\b(card|visa|master|amex|credit|payment)", "phone": r"(?i)\b(phone|tel|call|mobile|fax)",
@@ -38,8 +40,8 @@ HINTS = {
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the fit. ``per_class`` is the labelled candidates expected per kind and label, ``precision`` what the
-    held-out candidates above a threshold must reach, ``support`` how many of them must be true."""
+    """Bounds of the fit. ``per_class`` is the labelled candidates expected per kind and label in the sample of the trees,
+    ``precision`` what all candidates above a threshold must reach, ``support`` how many held-out ones of them must be true."""
 
     per_class: int = 4000
     trees: int = 12
@@ -139,33 +141,37 @@ def _draw(*salt: str) -> Column:
 def fit(scored: DataFrame, scratch: Scratch, options: Fit = Fit()) -> tuple[GBTClassificationModel, dict[str, float]] | None:
     """Trees and a threshold per kind, from a bounded sample of labelled candidates; None where one label is missing.
 
-    A candidate's label is whether the base rules confirm it. A third of the sample is held out: a kind's threshold is the
-    lowest score above which the held-out candidates reach the precision; kinds that never do get no threshold.
+    A candidate's label is whether the base rules confirm it. The trees see two thirds of the sample; all other candidates are
+    scored, and count as many times as stands for the trees' part of their kind and label, so that the mix is the corpus's own.
+    A kind's threshold is the lowest score above which they reach the precision; kinds that never do get no threshold.
     """
     sizes = {(r.kind, r.label): r.n for r in scored.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if {label for _, label in sizes} != {0.0, 1.0}:
         return None
-    share = F.coalesce(*[
-        F.when((F.col("kind") == kind) & (F.col("label") == label), F.lit(min(1.0, options.per_class / n))) for (kind, label), n in sizes.items()
-    ])
-    sample = scored.filter(_draw("sample", str(options.seed)) < share).withColumn("held", _draw("held", str(options.seed)) < 1 / 3)
-    sample = scratch.keep(sample, "sample")
+    shares = {key: min(1.0, options.per_class / n) for key, n in sizes.items()}
+    share = F.coalesce(*[F.when((F.col("kind") == kind) & (F.col("label") == label), F.lit(x)) for (kind, label), x in shares.items()])
+    seed = str(options.seed)
+    seen = (_draw("sample", seed) < share) & (_draw("held", seed) >= HELD)
     names = [c for c in scored.columns if c.startswith("f_")]
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
-    training = vectors.filter("NOT held").orderBy("kind", "doc_id", "same", "start", "end").coalesce(1)
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    training = scratch.keep(scored.filter(seen), "training")
     if training.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(maxIter=options.trees, maxDepth=options.depth, stepSize=0.2, seed=options.seed, maxBins=64)
-    model = trees.fit(training)
-    scores = model.transform(vectors.filter("held")).select("kind", "label", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
-    steps = scores.groupBy("kind", "bin").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).collect()
+    model = trees.fit(assembler.transform(training.orderBy("kind", "doc_id", "same", "start", "end").coalesce(1)))
+    others = model.transform(assembler.transform(scored.filter(~seen)))
+    scores = others.select("kind", "label", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
+    counts = scores.groupBy("kind", "bin", "label").agg(F.count(F.lit(1)).alias("n")).collect()
     thresholds = {}
     for kind in KINDS:
-        yes = n = 0
-        for row in sorted((r for r in steps if r.kind == kind), key=lambda r: -r.bin):
-            yes, n = yes + row.yes, n + row.n
-            if yes >= options.support and yes >= options.precision * n:
-                thresholds[kind] = row.bin / 100
+        found = yes = n = 0
+        steps = [r for r in counts if r.kind == kind]
+        for at in sorted({r.bin for r in steps}, reverse=True):
+            for r in (r for r in steps if r.bin == at):
+                weighted = r.n / (1 - (1 - HELD) * shares[kind, r.label])
+                found, yes, n = found + r.label * r.n, yes + r.label * weighted, n + weighted
+            if found >= options.support and yes >= options.precision * n:
+                thresholds[kind] = at / 100
     return model, thresholds
 
 

@@ -73,6 +73,19 @@ def test_personal_trees_hold_out(spark):
     assert personal.fit(scored.filter("label = 0"), scratch) is None
 
 
+def test_personal_thresholds_keep_the_mix(spark):
+    """Of 100 unconfirmed candidates per confirmed one, 2 look like it: two thirds of what looks so is wrong, in whatever sample the trees are fitted on."""
+    like = F.col("label") + F.when((F.col("kind") == "card") & (F.col("label") == 0), (F.col("id") % 100 == 1).cast("double")).otherwise(0.0)
+    scored = spark.range(60_600).select(
+        "id", F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("same"), F.when(F.col("id") % 2 == 0, "ip").otherwise("card").alias("kind"),
+        F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"), (F.col("id") >= 60_000).cast("double").alias("label"),
+    ).withColumn("f_like", like).withColumn("f_other", F.col("id") % 7 * 1.0).drop("id")
+    card = scored.filter("kind = 'card' AND f_like = 1").groupBy("label").count()
+    assert {r.label: r["count"] for r in card.collect()} == {0.0: 600, 1.0: 300}
+    _, thresholds = personal.fit(scored, Scratch(spark, "test"), personal.Fit(per_class=300, trees=3))
+    assert "ip" in thresholds and "card" not in thresholds
+
+
 def test_token_files(edge, edge_rows):
     got = by_id(token_output.token_table(edge))
     for doc_id, start, n, crc in brute.tokens(ids_of, [(r[0], r[1]) for r in edge_rows]):
