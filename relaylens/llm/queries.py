@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import decontaminate, line_runs, mixing, near_dup, personal, quality, secrets, token_counts, token_output, warc
+from relaylens.llm import decontaminate, line_runs, lloyd, mixing, near_dup, periodic, personal, quality, secrets, substrings, token_counts, token_output, warc
 from relaylens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_table(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_table(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_table(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_secret_scan, op2_token_output, op3_source_mix, op4_benchmark_decontamination, op5_token_counts,
     op6_minhash_near_dedup, op7_quality_rules, op8_line_dedup, op9_warc_derivatives, op10_personal_data,
+    op11_substring_dedup, op12_periodic_runs, op13_centroid_clustering,
 )}
 
 #: Words, windows and hits by joins on the windows' text. DuckDB's regular expressions take no range of bytes, so the
@@ -78,6 +91,35 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+def _lloyd_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Every round written out: distances to all centroids, the nearest of them, and floored means by component."""
+    near = (
+        "SELECT vec_id, n, v, (best % 1024)::INTEGER AS cluster, (best // 1024)::BIGINT AS distance FROM (SELECT vec_id, v.n, v.v,"
+        " min(list_sum([(v.v[i] - c.c[i]) * (v.v[i] - c.c[i]) FOR i IN range(1, 65)])::HUGEINT * 1024 + c.cluster) AS best"
+        " FROM v, c{0} AS c GROUP BY vec_id, v.n, v.v)"
+    )
+    means = (
+        "SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{0} AS c LEFT JOIN (SELECT cluster, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS c"
+        " FROM (SELECT cluster, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS k FROM a{0}, range(1, 65) AS r(i) GROUP BY cluster, i) GROUP BY cluster) AS m"
+        " ON c.cluster = m.cluster"
+    )
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v"
+        f" FROM v ORDER BY h, v LIMIT {clusters}))",
+    ]
+    for k in range(rounds):
+        steps += [f"a{k} AS MATERIALIZED ({near.format(k)})", f"c{k + 1} AS MATERIALIZED ({means.format(k)})"]
+    steps.append(f"a{rounds} AS MATERIALIZED ({near.format(rounds)})")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, a.cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,"
+        f" (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} AS a JOIN c{rounds} AS c ON a.cluster = c.cluster"
+    )
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.duck_sql(), "op4_benchmark_decontamination": OP4_SQL, "op9_warc_derivatives": warc.duck_sql(),
+    "op13_centroid_clustering": _lloyd_sql(),
 }

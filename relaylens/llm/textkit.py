@@ -141,3 +141,29 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     for k in range(width):
         out = mix(out * np.uint64(0x9DDFEA08EB382D69) + hashes[at + k])
     return out, at
+
+
+def kept_words(texts: Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each text's words flagged in ``keep``, joined by one space, and where each text's bytes begin."""
+    chosen = np.flatnonzero(keep)
+    edges = np.zeros(len(texts.data) + 1, np.int8)
+    edges[starts[chosen]] += 1
+    edges[ends[chosen]] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+    owner = np.searchsorted(first, chosen, "right")
+    later = np.zeros(len(chosen), bool)
+    later[1:] = owner[1:] == owner[:-1]
+    # the byte before a word that is not its text's first is white space
+    gaps = starts[chosen[later]] - 1
+    inside[gaps] = True
+    data = texts.data.copy()
+    data[gaps] = 0x20
+    total = np.zeros(len(inside) + 1, np.int64)
+    np.cumsum(inside, out=total[1:])
+    return data[inside], total[texts.offsets]
+
+
+def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and end of every maximal stretch of true flags."""
+    edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
+    return edges[::2], edges[1::2]

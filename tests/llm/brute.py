@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -144,3 +145,71 @@ def deleted_lines(rows, least=2):
                 gone |= set(range(p, p + least))
         out[k] = (rows[k][0], len(lines), len(gone))
     return [out[k] for k in range(len(rows))]
+
+
+def removed(texts, width=35):
+    """[(n_words, n_removed, digest of the kept words)]: every window of every text counted."""
+    words = [NOT_SPACE.findall(t or "") for t in texts]
+    often = Counter(tuple(w[k:k + width]) for w in words for k in range(len(w) - width + 1))
+    out = []
+    for w in words:
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if often[tuple(w[k:k + width])] > 1:
+                gone |= set(range(k, k + width))
+        out.append((len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+def runs(x, times=4, least=6):
+    """[(start, length, period)]: every lag tried at every place."""
+    out = set()
+    for q in range(1, len(x) // times + 1):
+        i = 0
+        while i + q < len(x):
+            j = i
+            while j + q < len(x) and x[j] == x[j + q]:
+                j += 1
+            part = x[i:j + q]
+            if len(part) >= max(least, times * q) and not any(part[r:] == part[:-r] for r in range(1, q)):
+                out.add((i, len(part), q))
+            i = max(j, i) + 1
+    return sorted(out)
+
+
+def periodic(doc_id, text):
+    """The row of one document: n_runs, the strongest run, its exponent, both digests."""
+    x = NOT_SPACE.findall(text or "")
+    n = len(x)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            x = [x[i] if i < a else x[a + (i - a) % p] for i in range(n)]
+    found = runs(x)
+    best = None
+    for s, length, q in found:
+        if best is None or length * best[2] > best[1] * q:
+            best = (s, length, q)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    return (len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            sha("".join(f"{s},{length},{q}\n" for s, length, q in found)), sha(" ".join(w for i, w in enumerate(x) if i not in gone)))
+
+
+def lloyd(vectors, clusters=8, rounds=10, components=64):
+    """[(vec_id, cluster, distance)] of the usable vectors in their order, and the centroids, in Python integers."""
+    kept = [(i, [math.floor(1024 * c) for c in v]) for i, v in vectors if v is not None and len(v) == components and all(c is not None and math.isfinite(c) for c in v)]
+    seeds = sorted((sha(f"3:{'' if i is None else i}"), v) for i, v in kept)[:clusters]
+    centroids = [v for _, v in seeds]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), k) for k, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        labels = [nearest(v)[1] for _, v in kept]
+        for k in range(len(centroids)):
+            if own := [v for (_, v), label in zip(kept, labels) if label == k]:
+                centroids[k] = [sum(c) // len(own) for c in zip(*own)]
+    return [(i, nearest(v)[1], nearest(v)[0]) for i, v in kept], centroids
