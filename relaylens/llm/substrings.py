@@ -243,8 +243,8 @@ def _with_passages(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["doc_id", "text", "p", "q"])
 
     lean = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    passages = scratch.keep(repeated_passages(lean.select("text"), plan), "passages")
-    one = passages.groupBy("p", "q").agg(F.first("spans").alias("spans"))
+    # written before the join, which can then split the rows of a text with many copies
+    one = scratch.keep(repeated_passages(lean.select("text"), plan).groupBy("p", "q").agg(F.first("spans").alias("spans")), "passages")
     schema = T.StructType([*lean.schema.fields, T.StructField("p", T.LongType()), T.StructField("q", T.LongType())])
     return map_arrow(lean, run, schema).join(one, ["p", "q"], "left").select("doc_id", "text", "spans")
 
