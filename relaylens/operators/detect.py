@@ -15,6 +15,7 @@ from relaylens.operators.metrics import newest_per_job, within
 ZERO_THROUGHPUT_ADVICE = "Zero throughput detected. Consider using 'jobs restart-force' to recover the job."
 
 STALL_KINDS = ("source_stalled", "target_stalled")
+TICK_VALUES = ("current_lag", "messages_consumed", "messages_replicated", "error_count")
 
 
 def anomalies(
@@ -97,10 +98,9 @@ def ticks(
 
     ``weight`` is how far a sample moves the tick; by default 1.
     """
-    values = ("current_lag", "messages_consumed", "messages_replicated", "error_count")
     return along(
         samples, ["job_id"], order, hour_of(ts) if chunk is None else chunk,
-        running={"tick": F.lit(1) if weight is None else weight}, previous={f"prev_{v}": F.col(v) for v in values},
+        running={"tick": F.lit(1) if weight is None else weight}, previous={f"prev_{v}": F.col(v) for v in TICK_VALUES},
     )
 
 

@@ -42,12 +42,17 @@ def counter_deltas(
         samples, ["job_id"], order, hour_of(ts) if chunk is None else chunk,
         previous={f"prev_{c}": F.col(c) for c in COUNTERS},
     )
+    return deltas_of(stepped, samples.columns)
+
+
+def deltas_of(stepped: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Metric points of samples that have the previous sample's counters as ``prev_*``; ``columns`` are those of the samples."""
 
     def delta(counter: str) -> Column:
         now, before = F.col(counter), F.col(f"prev_{counter}")
         return F.when(now < before, now).otherwise(now - F.coalesce(before, F.lit(0)))
 
-    kept = [c for c in samples.columns if c not in (*COUNTERS, "current_lag")]
+    kept = [c for c in columns if c not in (*COUNTERS, "current_lag")]
     return stepped.select(
         *kept, *[delta(c).alias(d) for c, d in COUNTERS.items()], F.col("current_lag").alias("avg_lag")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relaylens.operators import audit, inventory, maintenance, progress
+from relaylens.operators import audit, inventory, maintenance, progress, snapshots
 from relaylens.plans.bindings import as_of
 from relaylens.plans.governance import TREE, inventory_tables
 from relaylens.plans.registry import query
@@ -143,3 +143,103 @@ def _(v):
     # more brokers than lead a partition
     brokers = v.table("nation").selectExpr("n_nationkey AS cluster_inventory_id", "explode(sequence(1, CAST(3 + n_nationkey % 4 AS INT))) AS broker_id")
     return inventory.cluster_counts(clusters, topics, partitions, brokers)
+
+
+# --- whole inventory snapshots ---------------------------------------------------------------------
+
+_CLUSTERS = """n_nationkey AS cluster_inventory_id, n_regionkey AS snapshot_id, CASE WHEN n_nationkey % 2 = 0 THEN 'source' ELSE 'target' END AS cluster_type,
+  n_name AS cluster_name, CASE n_nationkey % 3 WHEN 0 THEN 'confluent' WHEN 1 THEN 'redpanda' ELSE 'plain' END AS provider,
+  concat('kafka-', n_nationkey, ':9092') AS brokers, CAST(3 + n_nationkey % 4 AS INTEGER) AS broker_count, n_nationkey * 10 AS total_topics,
+  CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 3 END AS controller_id, concat('lkc-', n_nationkey) AS cluster_id"""
+_TOPICS = """c_custkey AS topic_inventory_id, c_nationkey AS cluster_inventory_id, concat(CASE WHEN c_custkey % 25 = 0 THEN '__' ELSE '' END, c_name) AS topic_name,
+  c_custkey % 7 AS partition_count, CAST(1 + c_custkey % 3 AS INTEGER) AS replication_factor, c_custkey % 25 = 0 AS is_internal,
+  CASE WHEN c_custkey % 4 > 0 THEN concat('{"compression.type":"', c_mktsegment, '"}') END AS config_data"""
+_PARTITIONS = """o_custkey AS topic_inventory_id, o_orderkey AS partition_id, CAST(1 + o_orderkey % 3 AS INTEGER) AS leader_id, '[1,2,3]' AS replica_ids,
+  CASE WHEN o_orderkey % 97 = 0 THEN '[1]' WHEN o_orderkey % 89 = 0 THEN NULL ELSE '[1,2,3]' END AS isr_ids, o_orderkey * 7 % 100003 AS high_water_mark"""
+_GROUPS = """s_suppkey AS group_inventory_id, s_nationkey % 5 AS snapshot_id, s_name AS group_id,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'Empty' ELSE 'Stable' END AS group_state, 'consumer' AS protocol_type, CASE WHEN s_suppkey % 3 > 0 THEN 'range' END AS protocol,
+  CAST(s_suppkey % 3 AS INTEGER) AS member_count"""
+_CONNECTIONS = """n_nationkey AS connection_inventory_id, n_nationkey % 5 AS snapshot_id, CASE WHEN n_nationkey % 2 = 0 THEN 'source_consumer' ELSE 'target_producer' END AS connection_type,
+  'confluent' AS provider, concat('kafka-', n_nationkey, ':9092') AS brokers, 'SASL_SSL' AS security_protocol, 'PLAIN' AS sasl_mechanism, substring(n_name, 1, 4) AS api_key_prefix,
+  n_nationkey % 6 > 0 AS connection_successful, CASE WHEN n_nationkey % 6 > 0 THEN n_nationkey * 3 END AS connection_time_ms,
+  CASE WHEN n_nationkey % 6 = 0 THEN concat('dial "', n_name, '" refused') END AS error_message"""
+
+
+def _duck_item(names: tuple[str, ...]) -> str:
+    return "{" + ", ".join(f"'{n}': {n}" for n in names) + "}"
+
+
+def _duck_pages(source: str, parent: str, number: str, names: tuple[str, ...], order: str) -> str:
+    return (
+        f"SELECT {parent}::BIGINT AS parent_id, ({number} // 1000)::BIGINT AS page, count(*) AS n_items, CAST(to_json(list({_duck_item(names)} ORDER BY {order})) AS VARCHAR) AS items"
+        f" FROM {source} GROUP BY 1, 2"
+    )
+
+
+_TALLY = ("partitions", "under_replicated", "high_water_marks")
+SECTIONS = f"""
+WITH s AS (SELECT r_regionkey AS snapshot_id, 'job-' || r_regionkey AS job_id,
+    CASE r_regionkey % 3 WHEN 0 THEN 'startup' WHEN 1 THEN 'periodic' ELSE 'manual' END AS snapshot_type,
+    strftime(TIMESTAMP '2024-01-31 00:00:00' - to_days(r_regionkey * 12), '%Y-%m-%d %H:%M:%S') AS created_at FROM region),
+p AS (SELECT {_PARTITIONS} FROM orders),
+t AS (SELECT {_TOPICS}, coalesce(partitions, 0) AS partitions, coalesce(under_replicated, 0) AS under_replicated, coalesce(high_water_marks, 0) AS high_water_marks
+  FROM customer LEFT JOIN (SELECT topic_inventory_id AS k, count(*) AS partitions, count(*) FILTER (isr_ids IS NULL OR isr_ids = '[1]') AS under_replicated,
+    sum(high_water_mark)::BIGINT AS high_water_marks FROM p GROUP BY 1) ON k = c_custkey),
+k AS (SELECT {_CLUSTERS}, coalesce(topics, 0) AS topics, coalesce(partitions, 0) AS partitions, coalesce(under_replicated, 0) AS under_replicated,
+    coalesce(high_water_marks, 0) AS high_water_marks
+  FROM nation LEFT JOIN (SELECT cluster_inventory_id AS k, count(*) AS topics, sum(partitions)::BIGINT AS partitions, sum(under_replicated)::BIGINT AS under_replicated,
+    sum(high_water_marks)::BIGINT AS high_water_marks FROM t GROUP BY 1) ON k = n_nationkey),
+o AS (SELECT *, current_offset + partition_id AS high_water_mark, partition_id - 1 AS lag
+  FROM (SELECT l_suppkey AS group_inventory_id, l_suppkey * 100 + l_partkey % 10 * 8 + l_linenumber AS offset_inventory_id, 't' || l_partkey % 10 AS topic_name,
+    l_linenumber AS partition_id, max(l_orderkey) AS current_offset FROM lineitem GROUP BY 1, 2, 3, 4)),
+g AS (SELECT {_GROUPS}, coalesce(offsets, 0) AS offsets, coalesce(total_lag, 0) AS total_lag
+  FROM supplier LEFT JOIN (SELECT group_inventory_id AS k, count(*) AS offsets, sum(lag)::BIGINT AS total_lag FROM o GROUP BY 1) ON k = s_suppkey),
+n AS (SELECT {_CONNECTIONS} FROM nation),
+sums AS (SELECT s.*, (SELECT count(*) FROM k WHERE k.snapshot_id = s.snapshot_id) AS clusters,
+    coalesce((SELECT sum(topics)::BIGINT FROM k WHERE k.snapshot_id = s.snapshot_id), 0) AS topics,
+    coalesce((SELECT sum(partitions)::BIGINT FROM k WHERE k.snapshot_id = s.snapshot_id), 0) AS partitions,
+    (SELECT count(*) FROM g WHERE g.snapshot_id = s.snapshot_id) AS groups,
+    coalesce((SELECT sum(offsets)::BIGINT FROM g WHERE g.snapshot_id = s.snapshot_id), 0) AS offsets,
+    (SELECT count(*) FROM n WHERE n.snapshot_id = s.snapshot_id) AS connections FROM s),
+pages AS (
+  SELECT parent_id AS snapshot_id, NULL AS cluster_type, 'snapshot' AS section, parent_id, page, n_items, items
+    FROM ({_duck_pages("(SELECT *, 0 AS zero FROM sums)", "snapshot_id", "zero", (*snapshots.SNAPSHOT, "clusters", "topics", "partitions", "groups", "offsets", "connections"), "snapshot_id")})
+  UNION ALL SELECT parent_id, NULL, 'clusters', * FROM ({_duck_pages("k", "snapshot_id", "cluster_inventory_id", (*snapshots.CLUSTER, "topics", *_TALLY), "cluster_type, cluster_inventory_id")})
+  UNION ALL SELECT k.snapshot_id, k.cluster_type, 'topics', x.* FROM ({_duck_pages("t", "cluster_inventory_id", "topic_inventory_id", (*snapshots.TOPIC, *_TALLY), "topic_name, topic_inventory_id")}) AS x
+    JOIN k ON x.parent_id = k.cluster_inventory_id
+  UNION ALL SELECT k.snapshot_id, k.cluster_type, 'partitions', x.* FROM ({_duck_pages("p", "topic_inventory_id", "partition_id", snapshots.PARTITION, "partition_id")}) AS x
+    JOIN t ON x.parent_id = t.topic_inventory_id JOIN k USING (cluster_inventory_id)
+  UNION ALL SELECT parent_id, NULL, 'consumer_groups', * FROM ({_duck_pages("g", "snapshot_id", "group_inventory_id", (*snapshots.GROUP, "offsets", "total_lag"), "group_id, group_inventory_id")})
+  UNION ALL SELECT g.snapshot_id, NULL, 'consumer_offsets', x.* FROM ({_duck_pages("o", "group_inventory_id", "offset_inventory_id", snapshots.OFFSET, "topic_name, partition_id, offset_inventory_id")}) AS x
+    JOIN g ON x.parent_id = g.group_inventory_id
+  UNION ALL SELECT parent_id, NULL, 'connections', * FROM ({_duck_pages("n", "snapshot_id", "connection_inventory_id", snapshots.CONNECTION, "connection_type, connection_inventory_id")}))
+SELECT s.snapshot_id, job_id, snapshot_type, cluster_type, section, parent_id, page, n_items, items FROM pages JOIN s ON pages.snapshot_id = s.snapshot_id
+"""
+
+
+def _sections(v):
+    def shaped(table, columns):
+        return v.table(table).select(F.expr(f"struct({columns})").alias("row")).select("row.*")
+
+    offsets = v.table("lineitem").groupBy(
+        F.col("l_suppkey").alias("group_inventory_id"), F.expr("l_suppkey * 100 + l_partkey % 10 * 8 + l_linenumber").alias("offset_inventory_id"),
+        F.expr("concat('t', l_partkey % 10)").alias("topic_name"), F.col("l_linenumber").alias("partition_id"),
+    ).agg(F.max("l_orderkey").alias("current_offset"))
+    offsets = offsets.selectExpr("*", "current_offset + partition_id AS high_water_mark", "partition_id - 1 AS lag")
+    return snapshots.inventory_sections(
+        inventory_tables(v)[0], shaped("nation", _CLUSTERS), shaped("customer", _TOPICS), shaped("orders", _PARTITIONS), shaped("supplier", _GROUPS), offsets,
+        shaped("nation", _CONNECTIONS),
+    )
+
+
+@query("inventory_sections", SECTIONS)
+def _(v):
+    return _sections(v)
+
+
+@query("inventory_under_replicated", SECTIONS.split("sums AS")[0].rstrip().rstrip(",") + """
+SELECT k.snapshot_id, k.cluster_type, cluster_inventory_id::BIGINT AS parent_id, topic_name, t.partitions, t.under_replicated
+FROM t JOIN k USING (cluster_inventory_id) JOIN s USING (snapshot_id) WHERE t.under_replicated > 0""")
+def _(v):
+    items = snapshots.section_items(_sections(v), "topics", "topic_name: string, partitions: bigint, under_replicated: bigint")
+    return items.filter("under_replicated > 0")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from typing import NamedTuple
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from relaylens.functions.timeline import hour_of
 from relaylens.operators import detect, metrics
-from relaylens.operators.progress import newest_by_key
-from relaylens.streaming.carry import Carry, Newest
+from relaylens.streaming import chunks
 from relaylens.streaming.mirror import BatchWriter, reading_once
-from relaylens.streaming.ordered import InOrder
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WATCHED = ("messages_replicated_delta", "avg_lag", "error_count_delta")
 
@@ -33,144 +35,147 @@ def rollup_windows(points: DataFrame, *, every: str = "1 hour", delay: str = "10
     )
 
 
-def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(reading_once(run)).option("checkpointLocation", f"{checkpoint}/offsets")
-        .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    )
-
-
-class OrderedQuery(NamedTuple):
-    """A running query that works on rows in order of their time; ``finish`` hands on what is held when it has stopped for good."""
-
-    query: StreamingQuery
-    finish: Callable[[], None]
+HOUR = 3600
 
 
-def _start_ordered(
-    stream: DataFrame, handle: BatchWriter, checkpoint: str, trigger: dict | None, *, ts: str, delay_seconds: float, write_late: BatchWriter | None,
-    step_seconds: float | None = None,
-) -> OrderedQuery:
-    run = InOrder(
-        stream.sparkSession, f"{checkpoint}/order", stream.schema, handle, ts=ts, delay_seconds=delay_seconds, step_seconds=step_seconds, write_late=write_late
-    )
-    return OrderedQuery(_start(stream, run, checkpoint, trigger), run.finish)
-
-
-def _after_carried(ts: str) -> Column:
-    """Chunks in which carried rows come before everything in the batch."""
+def _after_last(ts: str):
+    """Chunks in which each job's last row comes before everything that is held."""
     return F.when(F.col("in_batch") == 0, F.lit(-(1 << 62))).otherwise(hour_of(ts))
 
 
-def _with_carried(batch: DataFrame, carried: DataFrame) -> DataFrame:
-    return batch.withColumn("in_batch", F.lit(1)).unionByName(
-        carried.withColumn("in_batch", F.lit(0)), allowMissingColumns=True
-    )
+def _with_last(held: DataFrame, last: DataFrame) -> DataFrame:
+    return held.withColumn("in_batch", F.lit(1)).unionByName(last.withColumn("in_batch", F.lit(0)), allowMissingColumns=True)
 
 
 def start_deltas(
     samples: DataFrame, checkpoint: str, write: BatchWriter, *, order: Sequence[str] = ("ts",), ts: str = "ts",
     delay_seconds: float = 600, write_late: BatchWriter | None = None, trigger: dict | None = None,
-) -> OrderedQuery:
-    """Cumulative samples to metric points, in order of time; the last sample of each job is carried on.
+) -> chunks.ChunkedQuery:
+    """Cumulative samples to metric points, hour by hour as the watermark passes.
 
-    A sample that comes within ``delay_seconds`` of the newest takes its place in the order; a later one goes to ``write_late``.
+    A sample that comes within ``delay_seconds`` of the newest takes its place in the order; a later one, or one without a time, goes to ``write_late``.
     """
-    carry = Carry(samples.sparkSession, f"{checkpoint}/last-samples", samples.schema)
+    hours = chunks.Chunks(samples, ts=ts, order=order, values=list(metrics.COUNTERS), width_seconds=HOUR, delay_seconds=delay_seconds)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = carry.before(batch_id)
-        rows = _with_carried(batch, before)
-        points = metrics.counter_deltas(rows, order=("in_batch", *order), chunk=_after_carried(ts))
-        write(points.filter("in_batch = 1").drop("in_batch"), batch_id)
-        carry.after(batch_id, newest_by_key(rows, ["job_id"], ["in_batch", *order]))
+        write(metrics.deltas_of(hours.stepped(batch).drop("tick"), samples.columns), batch_id)
 
-    return _start_ordered(samples, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late)
+    def rest(held: DataFrame, last: DataFrame, batch_id: int) -> None:
+        points = metrics.counter_deltas(_with_last(held, last.drop("n")), order=("in_batch", *order), chunk=_after_last(ts))
+        write(points.filter("in_batch = 1").drop("in_batch"), batch_id)
 
+    return hours.start(run, rest, checkpoint, trigger, write_late)
 
-def start_incidents(
-    samples: DataFrame, checkpoint: str, write: BatchWriter, *, rearm_every: int | None = None,
-    order: Sequence[str] = ("ts",), ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None,
-    trigger: dict | None = None,
-) -> OrderedQuery:
-    """Edges of the incident flags, ticks in order of time; each job's tick and last sample are carried on."""
-    spark = samples.sparkSession
-    state_schema = StructType([*samples.schema.fields, StructField("tick", LongType())])
-    carry = Carry(spark, f"{checkpoint}/last-ticks", state_schema)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        carried = carry.before(batch_id).withColumnRenamed("tick", "first_tick")
-        rows = _with_carried(batch, carried)
-        numbered = detect.ticks(
-            rows, order=("in_batch", *order), ts=ts, chunk=_after_carried(ts), weight=F.coalesce("first_tick", F.lit(1))
-        )
-        write(detect.incident_edges(numbered.filter("in_batch = 1"), order=order, ts=ts, rearm_every=rearm_every), batch_id)
-        last = newest_by_key(numbered.select(*samples.columns, "tick", "in_batch"), ["job_id"], ["in_batch", *order])
-        carry.after(batch_id, last)
+def _start_ticks(
+    samples: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], order: Sequence[str], ts: str, delay_seconds: float,
+    write_late: BatchWriter | None, trigger: dict | None,
+) -> chunks.ChunkedQuery:
+    """``write`` gets samples numbered per job, with the previous sample's values, as :func:`relaylens.operators.detect.ticks` gives them."""
+    hours = chunks.Chunks(samples, ts=ts, order=order, values=detect.TICK_VALUES, width_seconds=HOUR, delay_seconds=delay_seconds)
 
-    return _start_ordered(samples, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late)
+    def rest(held: DataFrame, last: DataFrame, batch_id: int) -> None:
+        rows = _with_last(held, last)
+        numbered = detect.ticks(rows, order=("in_batch", *order), ts=ts, chunk=_after_last(ts), weight=F.coalesce("n", F.lit(1)))
+        write(numbered.filter("in_batch = 1").drop("in_batch", "n"), batch_id)
 
+    return hours.start(lambda batch, batch_id: write(hours.stepped(batch), batch_id), rest, checkpoint, trigger, write_late)
 
-def start_latest(
-    rows: DataFrame, checkpoint: str, write_history: BatchWriter, *, keys: Sequence[str], order: Sequence[str],
-    every: int = 20, trigger: dict | None = None,
-) -> tuple[StreamingQuery, Callable[[int], DataFrame]]:
-    """Append every row to the history and keep the newest row per key; a micro-batch writes only the keys it touches.
-
-    All keys are written together every ``every`` batches. Returns the query and a function giving the current rows as of a batch.
-    """
-    current = Newest(rows.sparkSession, f"{checkpoint}/current", rows.schema, keys, order, every)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        write_history(batch, batch_id)
-        current.after(batch_id, batch)
+def start_incidents(
+    samples: DataFrame, checkpoint: str, write: BatchWriter, *, rearm_every: int | None = None,
+    order: Sequence[str] = ("ts",), ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None,
+    trigger: dict | None = None,
+) -> chunks.ChunkedQuery:
+    """Edges of the incident flags, ticks in order of time, hour by hour as the watermark passes."""
+    def edges(numbered: DataFrame, batch_id: int) -> None:
+        write(detect.incident_edges(numbered, order=order, ts=ts, rearm_every=rearm_every), batch_id)
 
-    return _start(rows, run, checkpoint, trigger), lambda batch_id: current.before(batch_id + 1)
+    return _start_ticks(samples, checkpoint, edges, order, ts, delay_seconds, write_late, trigger)
 
 
 def start_payloads(
     samples: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None], *, order: Sequence[str] = ("ts",),
     ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None, trigger: dict | None = None,
-) -> OrderedQuery:
+) -> chunks.ChunkedQuery:
     """Samples with their incident flags to ``deliver`` (see ``payloads.fan_out``), in order of time."""
-    state_schema = StructType([*samples.schema.fields, StructField("tick", LongType())])
-    carry = Carry(samples.sparkSession, f"{checkpoint}/last-ticks", state_schema)
+    def flagged(numbered: DataFrame, batch_id: int) -> None:
+        deliver(detect.with_flags(numbered.select(*samples.columns, "tick")), batch_id)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        carried = carry.before(batch_id).withColumnRenamed("tick", "first_tick")
-        rows = _with_carried(batch, carried)
-        numbered = detect.ticks(
-            rows, order=("in_batch", *order), ts=ts, chunk=_after_carried(ts), weight=F.coalesce("first_tick", F.lit(1))
-        )
-        deliver(detect.with_flags(numbered.filter("in_batch = 1").select(*samples.columns, "tick")), batch_id)
-        carry.after(
-            batch_id, newest_by_key(numbered.select(*samples.columns, "tick", "in_batch"), ["job_id"], ["in_batch", *order])
-        )
-
-    return _start_ordered(samples, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late)
+    return _start_ticks(samples, checkpoint, flagged, order, ts, delay_seconds, write_late, trigger)
 
 
 def start_analysis_gate(
     points: DataFrame, checkpoint: str, write: BatchWriter, *, every_seconds: int = 300, order: Sequence[str] = ("ts",),
     ts: str = "ts", delay_seconds: float = 600, write_late: BatchWriter | None = None, trigger: dict | None = None,
-) -> OrderedQuery:
+) -> chunks.ChunkedQuery:
     """Ticks at which a job is due for a new analysis, as :func:`relaylens.operators.detect.analysis_gate` finds them.
 
-    Whole ticks of event time are decided on once the watermark has passed them, so a backlog read in one micro-batch fires as
-    often as the same points read one by one. The newest point of each job's last tick is carried on.
+    A tick's newest point is all that is kept of it; a timer decides on it once the watermark has passed the tick, so a backlog read in one
+    micro-batch fires as often as the same points read one by one.
     """
-    columns = list(dict.fromkeys(["job_id", ts, *order, *WATCHED]))
-    carry = Carry(points.sparkSession, f"{checkpoint}/last-ticks", StructType([points.schema[c] for c in columns]))
+    lean = points.select(*dict.fromkeys(["job_id", ts, *order, *WATCHED]))
+    ticks = chunks.Chunks(lean, ts=ts, order=order, values=WATCHED, width_seconds=every_seconds, delay_seconds=delay_seconds, newest=True)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        carried = carry.before(batch_id)
-        rows = batch.select(*columns).unionByName(carried)
-        due = detect.analysis_gate(rows, every_seconds=every_seconds, order=order, ts=ts)
-        # the carried point's tick was decided on when it was released
-        decided = carried.select("job_id", detect.tick_end(ts, every_seconds).alias("tick_at"))
+        stepped = ticks.stepped(batch)
+        same = F.col("tick") > 1
+        for w in WATCHED:
+            same = same & F.col(w).eqNullSafe(F.col(f"prev_{w}"))
+        write(stepped.filter(~same).select("job_id", detect.tick_end(ts, every_seconds).alias("tick_at"), *WATCHED), batch_id)
+
+    def rest(held: DataFrame, last: DataFrame, batch_id: int) -> None:
+        last = last.drop("n")
+        due = detect.analysis_gate(held.unionByName(last), every_seconds=every_seconds, order=order, ts=ts)
+        decided = last.select("job_id", detect.tick_end(ts, every_seconds).alias("tick_at"))
         write(due.join(decided, ["job_id", "tick_at"], "left_anti").select(due.columns), batch_id)
-        carry.after(batch_id, newest_by_key(rows, ["job_id"], order))
 
-    return _start_ordered(
-        points, run, checkpoint, trigger, ts=ts, delay_seconds=delay_seconds, write_late=write_late, step_seconds=every_seconds
-    )
+    return ticks.start(run, rest, checkpoint, trigger, write_late)
+
+
+class NewestRow(StatefulProcessor):
+    """Keeps the newest row of every key and hands all rows on."""
+
+    def __init__(self, schema: T.StructType, keys: int, order: Sequence[int]):
+        self.schema, self.keys, self.order = schema, keys, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best, row_of = tuple(self.newest.get()) if self.newest.exists() else None, Row(*self.schema.fieldNames())
+        for row in rows:
+            values = tuple(row)[self.keys:]
+            if best is None or chunks._position(values, self.order) > chunks._position(best, self.order):
+                best = values
+            yield row_of(*values)
+        self.newest.update(best)
+
+    def close(self) -> None:
+        pass
+
+
+def start_latest(
+    rows: DataFrame, checkpoint: str, write_history: BatchWriter, *, keys: Sequence[str], order: Sequence[str], trigger: dict | None = None,
+) -> tuple[StreamingQuery, Callable[[int], DataFrame]]:
+    """Append every row to the history and keep the newest row per key in the query's state.
+
+    Returns the query and a function giving the current rows as of a batch, which reads that state.
+    """
+    names, fields = rows.columns, rows.schema.fields
+    numbered = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+    schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+    by = [F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keys)]
+    newest = NewestRow(schema, len(by), [names.index(c) for c in order])
+    kept = rows.select(*by, *numbered).groupBy(*[f"k{k}" for k in range(len(by))]).transformWithState(newest, schema, "Append", "None")
+    place = f"{checkpoint}/offsets"
+    back = [F.col(f"c{k}").alias(c) for k, c in enumerate(names)]
+
+    def current(batch_id: int) -> DataFrame:
+        found = chunks.state(rows.sparkSession, place, "newest", batch_id)
+        if found is None:
+            return rows.sparkSession.createDataFrame([], rows.schema)
+        return found.select("value.*").select(*back)
+
+    query = chunks.started(kept, reading_once(lambda batch, batch_id: write_history(batch.select(*back), batch_id)), place, trigger)
+    return query, current

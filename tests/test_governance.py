@@ -131,3 +131,32 @@ def test_duplicates_and_scope(spark):
     df = spark.createDataFrame([("a", "confluent", "lkc-1"), ("b", "confluent", "lkc-1"), ("c", "confluent", "lkc-2"), ("d", "plain", "lkc-1")], "name string, provider string, cluster_id string")
     got = quality.duplicate_keys(df, ["cluster_id"], scope=F.col("provider") == "confluent").collect()
     assert [(r.cluster_id, r.copies) for r in got] == [("lkc-1", 2)]
+
+
+def test_inventory_sections_are_bounded_and_add_up(spark):
+    from relaylens.operators import snapshots
+
+    snaps = spark.createDataFrame([(1, "j", "manual", None), (2, "j", "manual", None)], "snapshot_id int, job_id string, snapshot_type string, created_at timestamp_ntz")
+    clusters = spark.sql("""SELECT * FROM VALUES (1, 1, 'source'), (2, 1, 'target'), (9, 77, 'source') AS t(cluster_inventory_id, snapshot_id, cluster_type)""").selectExpr(
+        "*", "'c' AS cluster_name", "'p' AS provider", "'b' AS brokers", "3 AS broker_count", "1 AS total_topics", "CAST(NULL AS INT) AS controller_id", "'' AS cluster_id")
+    topics = spark.range(25).selectExpr("CAST(id AS INT) AS topic_inventory_id", "IF(id < 24, 1, 9) AS cluster_inventory_id", "concat('t', id % 7) AS topic_name", "1 AS partition_count",
+        "1 AS replication_factor", "false AS is_internal", "CAST(NULL AS STRING) AS config_data")
+    partitions = spark.range(250).selectExpr("CAST(id % 2 AS INT) AS topic_inventory_id", "CAST(id DIV 2 AS INT) AS partition_id", "1 AS leader_id", "'[1,2]' AS replica_ids",
+        "IF(id % 10 = 0, '[1]', '[1,2]') AS isr_ids", "id AS high_water_mark")
+    groups = spark.sql("SELECT 5 AS group_inventory_id, 1 AS snapshot_id, 'g' AS group_id, 'Stable' AS group_state, '' AS protocol_type, '' AS protocol, 1 AS member_count")
+    offsets = spark.range(30).selectExpr("5 AS group_inventory_id", "id AS offset_inventory_id", "'t0' AS topic_name", "CAST(id AS INT) AS partition_id", "id AS current_offset",
+        "id + 2 AS high_water_mark", "1L AS lag")
+    connections = spark.range(12).selectExpr("id AS connection_inventory_id", "1 AS snapshot_id", "'source_consumer' AS connection_type", "'p' AS provider", "'b' AS brokers",
+        "'' AS security_protocol", "'' AS sasl_mechanism", "'' AS api_key_prefix", "true AS connection_successful", "1L AS connection_time_ms", "CAST(NULL AS STRING) AS error_message")
+    out = snapshots.inventory_sections(snaps, clusters, topics, partitions, groups, offsets, connections, page_size=10).cache()
+    got = [tuple(r) for r in out.groupBy("snapshot_id", "section").agg(F.count("*").alias("pages"), F.sum("n_items").alias("n"), F.max("n_items").alias("most")).collect()]
+    assert sorted(got) == sorted([
+        (1, "snapshot", 1, 1, 1), (2, "snapshot", 1, 1, 1), (1, "clusters", 1, 2, 2), (1, "topics", 3, 24, 10), (1, "partitions", 26, 250, 10), (1, "consumer_groups", 1, 1, 1),
+        (1, "consumer_offsets", 3, 30, 10), (1, "connections", 2, 12, 10),
+    ])
+    items = {r.parent_id: r for r in snapshots.section_items(out, "snapshot", "clusters: int, topics: int, partitions: int, offsets: int, connections: int").collect()}
+    assert tuple(items[1])[3:] == (2, 24, 250, 30, 12) and tuple(items[2])[3:] == (0, 0, 0, 0, 0)
+    topic = snapshots.section_items(out, "topics", "topic_inventory_id: int, partitions: int, under_replicated: int, high_water_marks: bigint").filter("partitions > 0")
+    assert sorted(tuple(r)[3:] for r in topic.collect()) == [(0, 125, 25, sum(range(0, 250, 2))), (1, 125, 0, sum(range(1, 250, 2)))]
+    parts = snapshots.section_items(out, "partitions", "partition_id: int, replica_ids: string, isr_ids: string, high_water_mark: bigint")
+    assert parts.select("parent_id", "partition_id").distinct().count() == 250

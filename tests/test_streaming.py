@@ -17,6 +17,15 @@ ONCE = {"availableNow": True}
 ORDER = ("ts", "event_id")
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of keyed state is a Python worker per micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def parts(df, path, n, by="event_id"):
     """Write ``df`` as n consecutive files; returns a stream reading one file per micro-batch."""
     total = df.count()
@@ -190,15 +199,14 @@ def test_payload_stream(spark, views, tmp_path):
     assert rows(got) == rows(payloads.shaped(detect.flagged_samples(views.raw_metrics, order=ORDER), "splunk"))
 
 
-@pytest.mark.parametrize("every", [1, 2, 20])
-def test_latest_state_stream(spark, views, tmp_path, every):
+def test_latest_state_stream(spark, views, tmp_path):
     numbered = views.progress.withColumn("event_id", F.datediff("last_updated", F.lit("2024-01-01")))
     days = [numbered.filter(F.col("event_id").between(a, b)) for a, b in ((0, 9), (10, 19), (20, 31))]
     for piece in days:
         piece.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     query, current = metric_streams.start_latest(
         stream(spark, numbered.schema, tmp_path / "in"), str(tmp_path / "cp"), mirror.parquet_writer(str(tmp_path / "history")),
-        keys=progress.PARTITION_KEY, order=["last_updated"], every=every, trigger=ONCE,
+        keys=progress.PARTITION_KEY, order=["last_updated"], trigger=ONCE,
     )
     run(query)
     assert written(spark, tmp_path / "history").count() == numbered.count()
