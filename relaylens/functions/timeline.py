@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 _KEY, _CHUNK, _SPAN = "__key", "__chunk", "__span"
 SPAN = 512  # chunks
@@ -61,24 +62,32 @@ def along(
     ``previous``: name -> expression, its value on the row just before (null on the first row).
     ``whole``: name -> expression, summed over all rows of the key.
     ``chunk`` must never decrease along ``order``. Rows that tie in ``order`` are put in order by the values that are summed or
-    handed on, so a result does not depend on how rows lie in files.
+    handed on, then by a hash of the row, so a result does not depend on how rows lie in files.
 
-    Rows of one key and chunk meet in a task. Chunks are summed up once more in spans of ``SPAN`` chunks, so the chunks of a
-    span meet in a task, and the spans of a key: a busy key's rows are never together. Blocks of offsets are bounded by
-    their size, hours by how densely a job is sampled. For a series with millions of rows an hour pass a finer chunk.
+    Rows are dealt out once, by key and chunk; their sums and last values, and the windows inside the chunks, are taken from that one
+    shuffle. Chunks are summed up once more in spans of ``SPAN`` chunks, so the chunks of a span meet in a task, and the spans of a
+    key: a busy key's rows are never together. Blocks of offsets are bounded by their size, hours by how densely a job is
+    sampled. For a series with millions of rows an hour pass a finer chunk.
     """
     running, previous, whole = dict(running or {}), dict(previous or {}), dict(whole or {})
     # The keys travel as one struct: unlike plain columns, structs with null fields compare as equal, and the
     # join and the row-level window share one shuffle. The chunk comes first because a number sorts fastest.
-    rows = df.withColumns({_KEY: F.struct(*keys), _CHUNK: F.coalesce(chunk, F.lit(_FIRST))})
-    ties = [*previous.values(), *running.values()]
+    rows = df.withColumns({_KEY: F.struct(*keys), _CHUNK: F.coalesce(chunk, F.lit(_FIRST))}).repartition(_CHUNK, _KEY)
+    # The hash makes the summaries need every column, as the rows do, so that both read the same shuffle.
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)])
+    ties = [*previous.values(), *running.values(), hashed]
     in_chunk = Window.partitionBy(_CHUNK, _KEY).orderBy(*order, *ties)
     up_to_row = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     position = F.struct(*order, *[e.alias(f"__tie{k}") for k, e in enumerate(ties)])
     sums = [F.sum(e).alias(f"__sum_{n}") for n, e in {**running, **whole}.items()]
-    lasts = [F.max_by(e, position).alias(f"__last_{n}") for n, e in previous.items()]
-    chunks = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts).withColumn(_SPAN, F.expr(f"{_CHUNK} DIV {SPAN}"))
+    lasts = [F.max_by(F.struct(*[e.alias(n) for n, e in previous.items()]), position).alias("__last")] if previous else []
+    chunks = rows.groupBy(_CHUNK, _KEY).agg(*sums, *lasts, F.bit_xor(hashed).alias("__hash")).filter("__hash IS NOT NULL")
+    chunks = chunks.select(
+        _CHUNK, _KEY, *[f"__sum_{n}" for n in {**running, **whole}], *[F.col(f"__last.{n}").alias(f"__last_{n}") for n in previous],
+        # never null, or the planner would add a filter on one side and read the input twice
+        F.coalesce(F.expr(f"{_CHUNK} DIV {SPAN}"), F.lit(0)).alias(_SPAN),
+    ).repartition(_KEY, _SPAN)
     spans = chunks.groupBy(_KEY, _SPAN).agg(
         *[F.sum(f"__sum_{n}").alias(f"__sum_{n}") for n in (*running, *whole)],
         *[F.max_by(f"__last_{n}", _CHUNK).alias(f"__last_{n}") for n in previous],

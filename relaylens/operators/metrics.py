@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from relaylens.functions.timeline import along, hour_of
-
-# The functions that run in Python workers travel with the plan, so executors need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from relaylens.functions import steps
+from relaylens.functions.timeline import SPAN, along, hour_of
 
 # Cumulative counters of a sample, and the delta column each becomes in a metric point.
 COUNTERS = {
@@ -60,39 +54,11 @@ def deltas_of(stepped: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- Deltas against the running sum of earlier deltas -------------------------------------------
 #
-# In compatibility mode a sample is compared with the sum of all deltas stored so far, so the sum
-# evolves as  total -> x  if x >= total,  else  total + x.  Over a whole chunk this is a step
-# function of the incoming total: a few constant steps, then ``total + sum(x)``. A new step needs a
-# sample above twice the running sum, so a chunk has at most 63 steps and can be passed on as a
-# small row, which keeps the work per task to one chunk.
-
-
-class _Steps:
-    """One counter's step function over a chunk, built sample by sample."""
-
-    def __init__(self) -> None:
-        self.limits: list[int] = []
-        self.results: list[int] = []
-        self.added = 0
-
-    def extend(self, x: int) -> None:
-        self.results = [x if x >= r else r + x for r in self.results]
-        if x - self.added > (self.limits[-1] if self.limits else -1):
-            self.limits.append(x - self.added)
-            self.results.append(x)
-        self.added += x
-
-
-def _apply_steps(total: int, limits: Sequence[int], results: Sequence[int], added: int) -> int:
-    for limit, result in zip(limits, results):
-        if total <= limit:
-            return int(result)
-    return total + int(added)
-
+# In compatibility mode a sample is compared with the sum of all deltas stored so far, which depends on all earlier rows. Stretches
+# of samples become functions of the incoming sum (see functions/steps.py), which compose in a tree: blocks of rows, chunks, spans
+# of chunks, jobs. Down the tree go the sums before each of them, so no task holds the rows or the chunks of a whole job.
 
-def _in_key_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of a key together in one partition, in order; consumers read them batch by batch."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+BLOCK = 256  # rows
 
 
 def counter_deltas_against_total(
@@ -101,85 +67,56 @@ def counter_deltas_against_total(
     """Like :func:`counter_deltas`, but each delta is taken against the sum of the earlier deltas.
 
     Rows without a job or a time are kept: those without a job are a series of their own, those without a time come first.
-    A missing counter gives a null delta and leaves its total as it is.
+    A missing counter gives a null delta and leaves its total as it is. Rows that tie in ``order`` are put in order by their counters.
     """
     names = list(COUNTERS)
-    # a missing counter counts as 0, which leaves the total as it is; its delta is null
-    missing = F.struct(*[F.col(n).isNull().alias(n) for n in names])
-    rows = samples.withColumn("missing", missing).withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
-    rows = rows.withColumn("chunk_no", F.coalesce(hour_of(ts) if chunk is None else chunk, F.lit(-(1 << 63))).cast("long"))
-
-    def summarise(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        key, steps = None, []
-
-        def finished() -> tuple:
-            return (*key, *[v for s in steps for v in (s.limits, s.results, s.added)])
-
-        for batch in batches:
-            out = []
-            for job, chunk_no, *values in zip(batch["job_id"], batch["chunk_no"], *[batch[n].tolist() for n in names]):
-                if (job, chunk_no) != key:
-                    if key is not None:
-                        out.append(finished())
-                    key, steps = (job, chunk_no), [_Steps() for _ in names]
-                for step, x in zip(steps, values):
-                    step.extend(x)
-            yield pd.DataFrame(out, columns=summary_columns)
-        if key is not None:
-            yield pd.DataFrame([finished()], columns=summary_columns)
-
-    summary_columns = ["job_id", "chunk_no", *[f"{n}_{part}" for n in names for part in ("limits", "results", "added")]]
-    summary_schema = "job_id string, chunk_no long, " + ", ".join(
-        f"{n}_limits array<bigint>, {n}_results array<bigint>, {n}_added long" for n in names
+    kept = [c for c in samples.columns if c not in (*COUNTERS, "current_lag")]
+    at = F.coalesce(hour_of(ts) if chunk is None else chunk, F.lit(-(1 << 63))).cast("long")
+    # a missing counter counts as 0, which leaves the total as it is
+    counts = F.struct(*[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+    lean = samples.select(
+        F.struct("job_id").alias("key"), at.alias("chunk"), F.struct(*order).alias("at"), counts.alias("x"),
+        F.struct(*kept, "current_lag", *[F.col(n).isNull().alias(f"missing_{n}") for n in names]).alias("row"),
+    ).repartition("key", "chunk")
+    numbered = lean.withColumn("place", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("at", "x")))
+    blocks = numbered.groupBy("key", "chunk", F.expr(f"(place - 1) DIV {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "x", "row"))).alias("rows"))
+
+    def each(make: Callable[[str], Column]) -> Column:
+        return F.struct(*[make(n).alias(n) for n in names])
+
+    def functions_of(parts: str, part: str) -> Callable[[str], Column]:
+        return lambda n: steps.of_functions(F.transform(F.col(parts), lambda p: p[part][n]))
+
+    def listed(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+        """The parts of each of ``keys`` in order."""
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(number, "f"))).alias("parts"))
+
+    def handed_down(parts: DataFrame, total: Callable[[str], Column], number: str) -> DataFrame:
+        """The parts as rows, each with the totals before it as ``total``."""
+        before = F.struct(*[steps.starts(F.transform("parts", lambda p: p["f"][n]), total(n)).alias(n) for n in names])
+        rows = parts.withColumn("before", before).select("*", F.posexplode("parts").alias("k", "part"))
+        totals = each(lambda n: F.col(f"before.{n}")[F.col("k")])
+        return rows.select("key", *[c for c in ("span", "chunk") if c in parts.columns], F.col(f"part.{number}").alias(number), totals.alias("total"))
+
+    in_blocks = blocks.withColumn("f", each(lambda n: steps.of_samples(F.transform("rows", lambda r: r["x"][n]))))
+    chunks = listed(in_blocks.drop("rows"), ("key", "chunk"), "block").select(
+        "key", "chunk", each(functions_of("parts", "f")).alias("f"), F.coalesce(F.expr(f"chunk DIV {SPAN}"), F.lit(0)).alias("span")
+    ).repartition("key", "span")
+    spans = listed(chunks, ("key", "span"), "chunk").select("key", "span", each(functions_of("parts", "f")).alias("f"))
+    span_totals = handed_down(listed(spans, ("key",), "span"), lambda n: F.lit(0).cast("long"), "span")
+    chunk_totals = handed_down(
+        listed(chunks, ("key", "span"), "chunk").join(span_totals, ["key", "span"]), lambda n: F.col(f"total.{n}"), "chunk"
+    ).select("key", "chunk", "total")
+    block_totals = handed_down(
+        listed(in_blocks.drop("rows"), ("key", "chunk"), "block").join(chunk_totals, ["key", "chunk"]), lambda n: F.col(f"total.{n}"), "block"
     )
-    ordered = _in_key_order(rows.select("job_id", "chunk_no", *order, *names), ["job_id", "chunk_no"], order)
-    summary = ordered.mapInPandas(summarise, summary_schema)
-
-    def starts(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        current, totals = object(), []  # equal to no job, null included
-        for batch in batches:
-            out = []
-            for job, chunk_no, *parts in batch[summary_columns].itertuples(index=False, name=None):
-                if job != current:
-                    current, totals = job, [0] * len(names)
-                out.append((job, chunk_no, *totals))
-                totals = [_apply_steps(t, *parts[3 * i : 3 * i + 3]) for i, t in enumerate(totals)]
-            yield pd.DataFrame(out, columns=["job_id", "chunk_no", *[f"{n}_start" for n in names]])
-
-    start_schema = "job_id string, chunk_no long, " + ", ".join(f"{n}_start long" for n in names)
-    first = _in_key_order(summary, ["job_id"], ["chunk_no"]).mapInPandas(starts, start_schema)
-    first = first.withColumnsRenamed({"job_id": "start_job", "chunk_no": "start_chunk"})
-    same = F.col("job_id").eqNullSafe(F.col("start_job")) & (F.col("chunk_no") == F.col("start_chunk"))
-    started = rows.join(first, same).drop("start_job", "start_chunk")
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        key, totals = None, []
-        for batch in batches:
-            deltas: list[list[int]] = [[] for _ in names]
-            chunks = zip(batch["job_id"], batch["chunk_no"])
-            values = zip(*[batch[n].tolist() for n in names])
-            firsts = zip(*[batch[f"{n}_start"].tolist() for n in names])
-            for at, xs, first in zip(chunks, values, firsts):
-                if at != key:
-                    key, totals = at, list(first)
-                for i, x in enumerate(xs):
-                    step = x - totals[i] if x >= totals[i] else x
-                    deltas[i].append(step)
-                    totals[i] += step
-            yield batch.assign(**dict(zip(COUNTERS.values(), deltas)))[out_columns]
-
-    kept = [f for f in samples.schema.fields if f.name not in (*COUNTERS, "current_lag")]
-    flags = [F.col(f"missing.{n}").alias(f"missing_{n}") for n in names]
-    out_schema = T.StructType([
-        *kept, *[T.StructField(d, T.LongType()) for d in COUNTERS.values()], samples.schema["current_lag"],
-        *[T.StructField(f"missing_{n}", T.BooleanType()) for n in names],
-    ])
-    out_columns = out_schema.fieldNames()
-    flat = started.select("*", *flags).drop("missing")
-    folded = _in_key_order(flat, ["job_id", "chunk_no"], order).mapInPandas(fold, out_schema)
-    return folded.select(
-        *[f.name for f in kept], *[F.when(~F.col(f"missing_{n}"), F.col(d)).alias(d) for n, d in COUNTERS.items()],
-        F.col("current_lag").alias("avg_lag"),
+    found = blocks.join(block_totals, ["key", "chunk", "block"]).select("rows", F.struct(*[
+        steps.deltas(F.transform("rows", lambda r: r["x"][n]), F.col(f"total.{n}")).alias(d) for n, d in COUNTERS.items()
+    ]).alias("d")).select("d", F.posexplode("rows").alias("k", "r"))
+    return found.select(
+        *[F.col("r.row").getField(c).alias(c) for c in kept],
+        *[F.when(~F.col(f"r.row.missing_{n}"), F.col(f"d.{d}")[F.col("k")]).alias(d) for n, d in COUNTERS.items()],
+        F.col("r.row.current_lag").alias("avg_lag"),
     )
 
 

@@ -115,6 +115,28 @@ class Carrying(StatefulProcessor):
         pass
 
 
+class NewestRow(StatefulProcessor):
+    """Keeps the newest row of every key and hands all rows on."""
+
+    def __init__(self, schema: T.StructType, keys: int, order: Sequence[int]):
+        self.schema, self.keys, self.order = schema, keys, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best, row_of = tuple(self.newest.get()) if self.newest.exists() else None, Row(*self.schema.fieldNames())
+        for row in rows:
+            values = tuple(row)[self.keys:]
+            if best is None or _position(values, self.order) > _position(best, self.order):
+                best = values
+            yield row_of(*values)
+        self.newest.update(best)
+
+    def close(self) -> None:
+        pass
+
+
 class ChunkedQuery(NamedTuple):
     """A running query that works on rows in order of their time; ``finish`` hands on what is held when it has stopped for good."""
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from relaylens.functions.timeline import hour_of
@@ -17,8 +14,6 @@ from relaylens.operators import detect, metrics
 from relaylens.streaming import chunks
 from relaylens.streaming.mirror import BatchWriter, reading_once
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 WATCHED = ("messages_replicated_delta", "avg_lag", "error_count_delta")
 
 
@@ -133,28 +128,6 @@ def start_analysis_gate(
     return ticks.start(run, rest, checkpoint, trigger, write_late)
 
 
-class NewestRow(StatefulProcessor):
-    """Keeps the newest row of every key and hands all rows on."""
-
-    def __init__(self, schema: T.StructType, keys: int, order: Sequence[int]):
-        self.schema, self.keys, self.order = schema, keys, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", self.schema)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        best, row_of = tuple(self.newest.get()) if self.newest.exists() else None, Row(*self.schema.fieldNames())
-        for row in rows:
-            values = tuple(row)[self.keys:]
-            if best is None or chunks._position(values, self.order) > chunks._position(best, self.order):
-                best = values
-            yield row_of(*values)
-        self.newest.update(best)
-
-    def close(self) -> None:
-        pass
-
-
 def start_latest(
     rows: DataFrame, checkpoint: str, write_history: BatchWriter, *, keys: Sequence[str], order: Sequence[str], trigger: dict | None = None,
 ) -> tuple[StreamingQuery, Callable[[int], DataFrame]]:
@@ -166,7 +139,7 @@ def start_latest(
     numbered = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
     schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
     by = [F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keys)]
-    newest = NewestRow(schema, len(by), [names.index(c) for c in order])
+    newest = chunks.NewestRow(schema, len(by), [names.index(c) for c in order])
     kept = rows.select(*by, *numbered).groupBy(*[f"k{k}" for k in range(len(by))]).transformWithState(newest, schema, "Append", "None")
     place = f"{checkpoint}/offsets"
     back = [F.col(f"c{k}").alias(c) for k, c in enumerate(names)]

@@ -198,13 +198,12 @@ def test_worker_functions_need_no_package_on_executors(tmp_path):
 
     from pyspark import cloudpickle
 
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((metrics._Steps, metrics._apply_steps)))
-    code = (
-        "import pickle, sys; steps, apply = pickle.load(open('f.pkl', 'rb')); s = steps(); [s.extend(x) for x in (5, 3)]; "
-        "print(apply(0, s.limits, s.results, s.added), 'relaylens' in sys.modules)"
-    )
+    from relaylens.streaming import chunks
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((chunks.Closing, chunks.Carrying, chunks.NewestRow)))
+    code = "import pickle, sys; print(*[c.__name__ for c in pickle.load(open('f.pkl', 'rb'))], 'relaylens' in sys.modules)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
-    assert out.stdout.split() == ["8", "False"], out.stderr
+    assert out.stdout.split() == ["Closing", "Carrying", "NewestRow", "False"], out.stderr
 
 
 def test_deltas_against_the_total_keep_all_rows(spark):
@@ -214,3 +213,50 @@ def test_deltas_against_the_total_keep_all_rows(spark):
     got = metrics.counter_deltas_against_total(spark.createDataFrame(rows_in, schema))
     found = {(r.job_id, r.ts): r.messages_replicated_delta for r in got.collect()}
     assert found == {("a", None): 2, ("a", rows_in[0][1]): 3, ("a", rows_in[1][1]): None, ("a", rows_in[2][1]): 2, (None, rows_in[3][1]): 4}
+
+
+def test_step_functions_compose_in_any_grouping(spark):
+    """Folded sample by sample, or in parts of any length put together in any order of grouping: the same totals and deltas."""
+    import random
+
+    from relaylens.functions import steps
+
+    rng = random.Random(9)
+    rows, want = [], []
+    for number in range(40):
+        xs = [rng.choice([0, 1, 5, rng.randrange(50), rng.randrange(5000)]) for _ in range(rng.randrange(1, 60))]
+        cuts = sorted(rng.randrange(len(xs) + 1) for _ in range(4))
+        parts = [xs[a:b] for a, b in zip([0, *cuts], [*cuts, len(xs)])]
+        start, total, added, seen = rng.randrange(300), 0, [], []
+        total = start
+        for part in parts:
+            seen.append(total)
+            for x in part:
+                added.append(x - total if x >= total else x)
+                total += added[-1]
+        rows.append((number, xs, parts, start))
+        want.append((number, total, total, total, seen, added))
+    df = spark.createDataFrame(rows, "id int, xs array<bigint>, parts array<array<bigint>>, start bigint")
+    left = F.aggregate("parts", steps.nothing(), lambda a, p: steps.composed(a, steps.of_samples(p)))
+    right = F.aggregate(F.reverse("parts"), steps.nothing(), lambda a, p: steps.composed(steps.of_samples(p), a))
+    got = df.select(
+        "id", steps.applied(steps.of_samples(F.col("xs")), F.col("start")), steps.applied(left, F.col("start")), steps.applied(right, F.col("start")),
+        steps.starts(F.transform("parts", steps.of_samples), F.col("start")), steps.deltas(F.col("xs"), F.col("start")),
+    )
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_dense_chunk_is_folded_in_blocks(spark):
+    """Many blocks in one chunk, and many chunks: as the plain loop."""
+    import random
+
+    rng = random.Random(2)
+    values = [rng.choice([rng.randrange(100), rng.randrange(10 ** 7) if rng.random() < 0.02 else 3]) for _ in range(3000)]
+    total, want = 0, []
+    for x in values:
+        want.append(x - total if x >= total else x)
+        total += want[-1]
+    df = spark.createDataFrame([("j", k, v, 0, 0, 0, 5, 0) for k, v in enumerate(values)], SAMPLE.replace("ts timestamp_ntz", "ts long"))
+    for width in (1, 700, 10_000):
+        got = metrics.counter_deltas_against_total(df, chunk=F.expr(f"ts DIV {width}")).orderBy("ts").collect()
+        assert [r.messages_replicated_delta for r in got] == want

@@ -7,10 +7,6 @@ import pytest
 from relaylens.plans import catalogue
 from tests.conftest import SMALL
 
-# Deltas against the running sum depend on all earlier rows in a way no window function expresses.
-PYTHON = {"counter_deltas_against_total"}
-
-
 def plan(spark, name):
     return catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
 
@@ -19,8 +15,7 @@ def plan(spark, name):
 def test_plan(spark, name):
     text = plan(spark, name)
     physical = text.split("== Physical Plan ==")[1]
-    if name not in PYTHON:
-        assert not re.search(r"EvalPython|MapInPandas|FlatMapGroups|MapInArrow", physical)
+    assert not re.search(r"EvalPython|MapInPandas|FlatMapGroups|MapInArrow", physical)
     assert "CartesianProduct" not in physical
     # A window without partitioning would put all rows into one task.
     assert not re.search(r"windowspecdefinition\([^,()]* (ASC|DESC)", physical)
@@ -72,3 +67,15 @@ def test_building_a_query_starts_no_job_but_for_schemas(spark, name):
 def test_conflicts_match_patterns_once(spark):
     physical = plan(spark, "mapping_conflicts").split("== Physical Plan ==")[1]
     assert physical.count("NestedLoopJoin") <= 1
+
+
+def test_timeline_reads_its_input_once(spark, views, tmp_path):
+    """Deltas over a plain table: one scan, one shuffle of the rows, and two of summaries."""
+    from relaylens.operators import detect, metrics
+
+    views.raw_metrics.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    for df in (metrics.counter_deltas(raw, order=("ts", "event_id")), detect.incidents(raw, order=("ts", "event_id"))):
+        df.toArrow()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and len(re.findall(r"- Exchange hashpartitioning", final)) <= 4
