@@ -38,3 +38,8 @@ def java_replacement(template: Column) -> Column:
 def java_pattern(source: Column) -> Column:
     """A rule's pattern with named groups in Java's spelling."""
     return F.replace(source, F.lit("(?P<"), F.lit("(?<"))
+
+
+def java_replaced_pattern(pattern: Column) -> Column:
+    """The pattern for replacing all its matches: an empty match right behind another match does not count."""
+    return F.concat(F.lit("(?>"), pattern, F.lit(r")(?:(?!\G)|(?<![\s\S]))"))

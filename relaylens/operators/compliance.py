@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.functions.dated import on_days
 from relaylens.functions.ratios import percent
 
 PERIODS = ("daily", "weekly", "monthly")
@@ -49,7 +50,8 @@ def in_windows(rows: DataFrame, *, as_of: Column, ts: str = "ts") -> DataFrame:
     matching = F.array_compact(
         F.array(*[F.when(F.col(ts).between(start, end), F.lit(p)) for p, (start, end) in bounds.items()])
     )
-    return rows.filter((F.col(ts) >= earliest) & (F.col(ts) <= latest)).withColumn("period", F.explode(matching))
+    inside = on_days(rows, ts, earliest, latest).filter((F.col(ts) >= earliest) & (F.col(ts) <= latest))
+    return inside.withColumn("period", F.explode(matching))
 
 
 def all_periods(df: DataFrame, *, as_of: Column) -> DataFrame:

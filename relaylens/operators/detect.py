@@ -180,14 +180,13 @@ def failure_runs(records: DataFrame, *, order: Sequence[str], chunk: Column, lim
         records.select("job_id", *order, "send_failed"), ["job_id"], order, chunk,
         running={"successes": F.when(F.col("send_failed"), 0).otherwise(1)},
     )
-    # successes only separate the runs; jobs without a failure come back by a join
-    runs = marked.filter("send_failed").groupBy("job_id", "successes").agg(F.count(F.lit(1)).alias("run"))
-    per_job = runs.groupBy(F.col("job_id").alias("__job")).agg(F.max("run").alias("longest"), F.count(F.lit(1)).alias("runs"))
-    jobs = records.select("job_id").distinct()
-    longest = F.coalesce("longest", F.lit(0)).cast("long")
-    return jobs.join(per_job, F.col("job_id").eqNullSafe(F.col("__job")), "left").select(
-        "job_id", longest.alias("longest_failure_run"), F.coalesce("runs", F.lit(0)).cast("long").alias("failure_runs"),
-        (longest > limit).alias("must_stop"),
+    # successes only separate the runs; all of a job are one more group, without a number, which keeps jobs without a failure
+    island = F.when(F.col("send_failed"), F.col("successes"))
+    runs = marked.groupBy("job_id", island.alias("island")).agg(F.count(F.lit(1)).alias("run"))
+    failed = F.col("island").isNotNull()
+    longest = F.coalesce(F.max(F.when(failed, F.col("run"))), F.lit(0)).cast("long")
+    return runs.groupBy("job_id").agg(
+        longest.alias("longest_failure_run"), F.count_if(failed).alias("failure_runs"), (longest > limit).alias("must_stop")
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relaylens.functions.timeline import hour_of
+
 # [time] LEVEL [file.go:12] [AI:category:subcategory] [job:id] [component:name] message; "[Job id]" is older.
 LINE = (
     r"^\[([^\]]+)\]\s+(\S+)\s+"
@@ -61,21 +63,33 @@ def pattern_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("level", "category", "subcategory", "job_id", hour).agg(F.count(F.lit(1)).alias("lines"))
 
 
-def job_log_summary(parsed: DataFrame, *, newest: int = 50, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Per job: error and warning counts, severity, and the newest messages of the producer and of the rest."""
-    entries = parsed.filter(F.col("job_id") != "").withColumn("is_producer", F.col("component") == "producer")
-    counts = entries.groupBy("job_id").agg(
-        F.count_if(F.col("level") == "ERROR").alias("error_count"), F.count_if(F.col("level") == "WARN").alias("warn_count")
-    )
-    by_side = Window.partitionBy("job_id", "is_producer").orderBy(*[F.col(c).desc() for c in order])
-    top = entries.withColumn("__rank", F.row_number().over(by_side)).filter(F.col("__rank") <= newest)
-
-    def messages(side: Column) -> Column:
-        picked = F.sort_array(F.collect_list(F.when(side, F.struct("__rank", "message"))))
-        return F.array_join(F.transform(picked, lambda m: m["message"]), "\n")
+def job_log_summary(parsed: DataFrame, *, newest: int = 50, order: Sequence[str] = ("ts",), ts: str = "ts") -> DataFrame:
+    """Per job: error and warning counts, severity, and the newest messages of the producer and of the rest.
 
-    newest_messages = top.groupBy("job_id").agg(
-        messages(F.col("is_producer")).alias("producer_logs"), messages(~F.col("is_producer")).alias("consumer_logs")
+    One pass over the entries: hours count theirs and keep the newest of each side, days those of their hours, jobs those of their days. So
+    no task gets more of a busy job than an hour's entries or the newest messages of its days.
+    """
+    picked = F.struct(F.struct(*order).alias("at"), "message")
+    sides = Window.partitionBy("job_id", "hour", "is_producer").orderBy(picked.desc())
+    entries = parsed.filter(F.col("job_id") != "").select(
+        "job_id", "level", "message", *order, (F.col("component") == "producer").alias("is_producer"), hour_of(ts).alias("hour")
+    ).repartition("job_id", "hour")
+    ranked = entries.withColumn("rank", F.row_number().over(sides))
+
+    def top(lists: Column) -> Column:
+        return F.slice(F.sort_array(lists, asc=False), 1, newest)
+
+    def of_side(side: Column) -> Column:
+        return top(F.collect_list(F.when(side & (F.col("rank") <= newest), picked)))
+
+    counts = {"error_count": F.count_if(F.col("level") == "ERROR"), "warn_count": F.count_if(F.col("level") == "WARN")}
+    rows = ranked.groupBy("job_id", "hour").agg(
+        *[c.alias(n) for n, c in counts.items()], of_side(F.col("is_producer")).alias("producer"), of_side(~F.col("is_producer")).alias("consumer")
     )
+    for keys in (("job_id", F.expr("hour DIV 24").alias("day")), ("job_id",)):
+        rows = rows.groupBy(*keys).agg(
+            *[F.sum(n).alias(n) for n in counts], *[top(F.flatten(F.collect_list(s))).alias(s) for s in ("producer", "consumer")]
+        )
     severity = F.when(F.col("error_count") > 10, "high").when(F.col("error_count") > 0, "medium").otherwise("low")
-    return counts.join(newest_messages, "job_id").withColumn("severity", severity)
+    logs = [F.array_join(F.transform(s, lambda m: m["message"]), "\n").alias(f"{s}_logs") for s in ("producer", "consumer")]
+    return rows.select("job_id", "error_count", "warn_count", *logs, severity.alias("severity"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.functions.dated import on_days
 from relaylens.operators.progress import newest_by_key
 
 MIRROR_STATE_DAYS = 7
@@ -18,9 +19,9 @@ def retention_days(days: int) -> int:
 
 
 def kept_rows(rows: DataFrame, at: str, *, as_of: Column, days: int) -> DataFrame:
-    """Rows not older than ``days``; dates compare as midnight."""
+    """Rows not older than ``days``; dates compare as midnight. Rows without a time are not older than anything and stay."""
     cutoff = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
-    return rows.filter(F.col(at).cast("timestamp_ntz") >= cutoff)
+    return on_days(rows, at, cutoff, untimed=True).filter((F.col(at).cast("timestamp_ntz") >= cutoff) | F.col(at).isNull())
 
 
 def pruned(rows: DataFrame, at: str, *, as_of: Column, days: int) -> DataFrame:
@@ -29,10 +30,10 @@ def pruned(rows: DataFrame, at: str, *, as_of: Column, days: int) -> DataFrame:
 
 
 def without_old_resolved_gaps(gaps: DataFrame, *, as_of: Column, days: int, at: str = "detected_at") -> DataFrame:
-    """Gaps without resolved ones older than ``days``."""
+    """Gaps without resolved ones older than ``days``; gaps without a time or a status stay."""
     cutoff = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
     old = (F.col(at).cast("timestamp_ntz") < cutoff) & (F.col("resolution_status") == "resolved")
-    return gaps.filter(~old)
+    return gaps.filter(~F.coalesce(old, F.lit(False)))
 
 
 def with_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -46,17 +47,22 @@ def merged(current: DataFrame, updates: DataFrame, keys: Sequence[str], order: S
 
 
 def resolve_gaps(gaps: DataFrame, resolutions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gaps with the status, method and time of their resolution where one is given.
+    """Gaps with the status, method and time of their resolution where one is given; others keep what is stored.
 
     ``resolutions`` has the keys, ``method`` and ``resolved_at``, one row per gap.
     """
-    marked = resolutions.select(*keys, "method", F.col("resolved_at").alias("__resolved_at"))
+    marked = resolutions.select(*keys, F.lit(True).alias("__given"), F.col("method").alias("__method"), F.col("resolved_at").alias("__resolved_at"))
+    given = F.coalesce("__given", F.lit(False))
+
+    def updated(new: Column, stored: str) -> Column:
+        return F.when(given, new).otherwise(F.col(stored)) if stored in gaps.columns else F.when(given, new)
+
     rest = [c for c in gaps.columns if c not in ("resolution_status", "resolution_method", "resolved_at")]
     return gaps.join(marked, list(keys), "left").select(
         *rest,
-        F.when(F.col("__resolved_at").isNotNull(), "resolved").otherwise(F.col("resolution_status")).alias("resolution_status"),
-        F.col("method").alias("resolution_method"),
-        F.col("__resolved_at").alias("resolved_at"),
+        updated(F.lit("resolved"), "resolution_status").alias("resolution_status"),
+        updated(F.col("__method"), "resolution_method").alias("resolution_method"),
+        updated(F.col("__resolved_at"), "resolved_at").alias("resolved_at"),
     )
 
 
@@ -72,8 +78,8 @@ def validate_resume_points(resume: DataFrame, *, job_id: str | None = None) -> D
 def replace_recent(
     stored: DataFrame, fresh: DataFrame, *, as_of: Column, span: str = "INTERVAL 1 HOUR", at: str = "calculated_at"
 ) -> DataFrame:
-    """Stored rows without those of the recalculated jobs from the last ``span``, plus the fresh ones."""
+    """Stored rows without those of the recalculated jobs from the last ``span``, plus the fresh ones. Rows without a time stay."""
     redone = fresh.select("job_id").distinct().withColumn("__redone", F.lit(True))
     recent = F.col(at).cast("timestamp_ntz") > as_of - F.expr(span)
-    kept = stored.join(redone, "job_id", "left").filter(~(F.coalesce("__redone", F.lit(False)) & recent)).select(*stored.columns)
+    kept = stored.join(redone, "job_id", "left").filter(~(F.coalesce("__redone", F.lit(False)) & F.coalesce(recent, F.lit(False)))).select(*stored.columns)
     return kept.unionByName(fresh.select(*stored.columns))

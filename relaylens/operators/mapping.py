@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relaylens.functions.templates import is_pattern, java_pattern, java_replacement
+from relaylens.functions.templates import is_pattern, java_pattern, java_replaced_pattern, java_replacement
+
+# Parts that distinct topic names are dealt into for patterns that need no particular characters.
+SHARES = 32
 
 
 def _pattern_matches(topics: DataFrame, rules: DataFrame) -> DataFrame:
     """Enabled pattern rules with the listed topics they match (unanchored) and the target each yields.
 
-    A pattern that starts with three plain characters meets the topics that hold those, by an equi join on the three characters.
-    Only patterns without them have no key to shuffle on; they meet all distinct topic names.
+    A pattern that needs three plain characters in a row, at any place, meets the topics that hold those, by an equi join on the three
+    characters. A pattern without them meets all distinct names, which are dealt into ``SHARES`` shares that each such pattern joins.
     """
     patterns = rules.filter(F.col("enabled") & is_pattern(F.col("source_pattern"))).select(
         "job_id", "rule_pos", "source_pattern",
@@ -24,24 +27,30 @@ def _pattern_matches(topics: DataFrame, rules: DataFrame) -> DataFrame:
         java_replacement(F.col("target_pattern")).alias("replacement"),
     )
     names = topics.select("topic").distinct()
-    keyed = patterns.withColumn("gram", _leading_gram(F.col("source_pattern")))
+    needed = required_gram(F.col("source_pattern"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda k: F.concat(F.lit("share "), k.cast("string")))
+    keyed = patterns.withColumn("gram", F.explode(F.when(needed.isNotNull(), F.array(needed)).otherwise(every)))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("topic") - 2, F.lit(1))), lambda i: F.substring(F.col("topic"), i, F.lit(3))))
-    by_gram = names.withColumn("gram", F.explode(grams)).join(keyed.filter("gram IS NOT NULL"), "gram").filter(F.expr("topic RLIKE pattern")).drop("gram")
-    # both sides are configuration: distinct names, and the few rules that start with a wildcard
-    others = names.join(keyed.filter("gram IS NULL").drop("gram"), F.expr("topic RLIKE pattern"))
-    return by_gram.unionByName(others).select(
+    share = F.concat(F.lit("share "), F.pmod(F.hash("topic"), F.lit(SHARES)).cast("string"))
+    candidates = names.withColumn("gram", F.explode(F.concat(grams, F.array(share)))).join(keyed, "gram")
+    return candidates.filter(F.expr("topic RLIKE pattern")).select(
         "job_id", "rule_pos", "source_pattern", "topic",
-        F.expr("regexp_replace(topic, pattern, replacement)").alias("target_topic"),
+        F.regexp_replace(F.col("topic"), java_replaced_pattern(F.col("pattern")), F.col("replacement")).alias("target_topic"),
     )
 
 
-def _leading_gram(pattern: Column) -> Column:
-    """Three characters that stand in every match of a pattern: its first ones, where they are plain and no alternative avoids them."""
-    plain = F.regexp_extract(pattern, r"^\^?([A-Za-z0-9_-]+)", 1)
-    after = F.regexp_extract(pattern, r"^\^?[A-Za-z0-9_-]+(.?)", 1)
-    sure = F.when(after.isin("?", "*", "{"), F.left(plain, F.length(plain) - 1)).otherwise(plain)
-    outside = F.regexp_replace(pattern, r"\([^()]*\)", "")
-    return F.when((F.length(sure) >= 3) & ~F.contains(outside, F.lit("|")) & ~F.contains(outside, F.lit("(")), F.left(sure, F.lit(3)))
+def required_gram(pattern: Column) -> Column:
+    """Three plain characters that stand in every match of a pattern, null where none are certain.
+
+    Groups, classes, escapes and whatever a quantifier makes optional or repeats only part the runs of plain characters; patterns
+    with alternatives outside groups, nested groups or flags have no certain characters.
+    """
+    outside = F.regexp_replace(pattern, r"\([^()]*\)[?*+]?", "\u0001")
+    parted = F.regexp_replace(F.regexp_replace(outside, r"\\.", "\u0001"), r"\[[^\]]*\]", "\u0001")
+    sure = F.regexp_replace(F.regexp_replace(parted, r".(\{[^}]*\}|[?*])", "\u0001"), r"[^A-Za-z0-9_-]", "\u0001")
+    gram = F.regexp_extract(sure, r"[A-Za-z0-9_-]{3}", 0)
+    unsure = F.contains(outside, F.lit("|")) | F.contains(outside, F.lit("(")) | F.contains(pattern, F.lit("(?")) | F.contains(pattern, F.lit("\\Q"))
+    return F.when((gram != "") & ~unsure, gram)
 
 
 def _exact_rules(rules: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relaylens.functions import steps
+from relaylens.functions.dated import on_days
 from relaylens.functions.timeline import SPAN, along, hour_of
 
 # Cumulative counters of a sample, and the delta column each becomes in a metric point.
@@ -152,7 +153,8 @@ def rollup(points: DataFrame, granularity: str, *, as_of: Column, days: int = 30
     """Hourly or daily sums of messages and errors and the average lag; unknown granularities mean daily."""
     label = "yyyy-MM-dd HH:00:00" if granularity == "hourly" else "yyyy-MM-dd"
     unit = "hour" if granularity == "hourly" else "day"
-    recent = points.filter(F.col(ts) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+    since = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
+    recent = on_days(points, ts, since).filter(F.col(ts) >= since)
     return (
         recent.groupBy("job_id", F.date_trunc(unit, ts).alias("start"))
         .agg(
@@ -167,7 +169,7 @@ def rollup(points: DataFrame, granularity: str, *, as_of: Column, days: int = 30
 def history(points: DataFrame, *, as_of: Column, span: str = "2h", job_id: str | None = None, ts: str = "ts") -> DataFrame:
     """Points of the last 2h, 24h, 7d or 30d, both ends included, oldest first."""
     start = as_of - F.expr(HISTORY_RANGES.get(span, HISTORY_RANGES["2h"]))
-    rows = points.filter(F.col(ts).between(start, as_of))
+    rows = on_days(points, ts, start, as_of).filter(F.col(ts).between(start, as_of))
     if job_id is not None:
         rows = rows.filter(F.col("job_id") == job_id)
     return rows.orderBy(ts)

@@ -83,6 +83,25 @@ def _(v):
     return _resolved(v)
 
 
+# Rules over the parts of a catalogue: characters that stand anywhere in a name, in classes, groups and alternatives, or nowhere for certain.
+PART_RULES = (
+    ("m0", 1, ".*-steel", "s-$1"), ("m0", 2, "^(.*)-(brushed|plated)-(.*)$", "$2.$3"), ("m1", 1, "ECONOMY.*[ct]o.*per", "e"), ("m1", 2, ".*", "all"),
+    ("m2", 1, "x?nickel|tin$", "n"), ("m2", 2, "b[a-z]+d-.*", ""), ("m3", 1, "(small|large)-.*copper", "$1"), ("m3", 2, "q{1,2}uite", "none"),
+)
+
+
+@query("resolve_catalogue_mappings", "WITH names AS (SELECT DISTINCT replace(p_type, ' ', '-') AS topic FROM part UNION SELECT DISTINCT lower(replace(p_type, ' ', '-')) FROM part), r AS ("
+       + " UNION ALL ".join(f"SELECT '{j}' AS job_id, {n} AS rule_pos, '{a}' AS pattern, '{b}' AS target" for j, n, a, b in PART_RULES) + r"""),
+m AS (SELECT job_id, topic, rule_pos, CASE WHEN target = '' THEN topic ELSE
+    regexp_replace(topic, pattern, regexp_replace(target, '\$([0-9])', '\\\1', 'g'), 'g') END AS target_topic FROM names JOIN r ON regexp_matches(topic, pattern))
+SELECT job_id, topic, target_topic, CAST(min(rule_pos) AS INTEGER) AS rule_pos FROM m GROUP BY 1, 2, 3""")
+def _(v):
+    part = v.table("part").selectExpr("replace(p_type, ' ', '-') AS topic")
+    names = part.unionByName(part.selectExpr("lower(topic) AS topic")).distinct()
+    rules = v.spark.createDataFrame([(j, n, a, b, True) for j, n, a, b in PART_RULES], "job_id string, rule_pos int, source_pattern string, target_pattern string, enabled boolean")
+    return mapping.resolve_mappings(names, rules)
+
+
 @query("unmatched_rules", RESOLVED + """
 SELECT job_id, rule_pos, source_pattern FROM r WHERE is_re AND NOT EXISTS (
   SELECT 1 FROM matches m WHERE m.job_id = r.job_id AND m.rule_pos = r.rule_pos)""")

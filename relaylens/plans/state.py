@@ -243,3 +243,59 @@ FROM t JOIN k USING (cluster_inventory_id) JOIN s USING (snapshot_id) WHERE t.un
 def _(v):
     items = snapshots.section_items(_sections(v), "topics", "topic_name: string, partitions: bigint, under_replicated: bigint")
     return items.filter("under_replicated > 0")
+
+
+# --- upkeep of rows without a time, and of gaps resolved before ------------------------------------
+
+UNTIMED = """WITH u AS (SELECT * EXCLUDE (last_updated), CASE WHEN source_high_water_mark % 3 > 0 THEN last_updated END AS last_updated FROM progress),
+h AS (SELECT job_id, source_topic, partition_id, last_updated AS detected_at, source_high_water_mark AS gap_end_offset,
+    CASE source_high_water_mark % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'ignored' END AS resolution_status,
+    CASE WHEN source_high_water_mark % 4 = 0 THEN 'manual' END AS resolution_method,
+    CASE WHEN source_high_water_mark % 4 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' END AS resolved_at FROM u)
+"""
+
+
+def _untimed(v):
+    return v.progress.withColumn("last_updated", F.expr("IF(source_high_water_mark % 3 > 0, last_updated, NULL)"))
+
+
+def _handled_gaps(v):
+    return _untimed(v).selectExpr(
+        "job_id", "source_topic", "partition_id", "last_updated AS detected_at", "source_high_water_mark AS gap_end_offset",
+        "CASE source_high_water_mark % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'ignored' END AS resolution_status",
+        "IF(source_high_water_mark % 4 = 0, 'manual', NULL) AS resolution_method",
+        "IF(source_high_water_mark % 4 = 0, TIMESTAMP_NTZ'2024-01-02 00:00:00', NULL) AS resolved_at",
+    )
+
+
+@query("retained_untimed_progress", UNTIMED + f"SELECT * FROM u WHERE (last_updated < {NOW} - INTERVAL 7 DAYS) IS NOT TRUE")
+def _(v):
+    return maintenance.kept_rows(_untimed(v), "last_updated", as_of=as_of(), days=maintenance.MIRROR_STATE_DAYS)
+
+
+@query("untimed_gaps_after_cleanup", UNTIMED + f"SELECT * FROM h WHERE (detected_at < {NOW} - INTERVAL 7 DAYS AND resolution_status = 'resolved') IS NOT TRUE")
+def _(v):
+    return maintenance.without_old_resolved_gaps(_handled_gaps(v), as_of=as_of(), days=7)
+
+
+@query("gap_resolutions_over_earlier_ones", UNTIMED + f"""
+SELECT job_id, source_topic, partition_id, detected_at, gap_end_offset, CASE WHEN gap_end_offset % 5 = 0 THEN 'resolved' ELSE resolution_status END AS resolution_status,
+  CASE WHEN gap_end_offset % 5 = 0 THEN 'replayed' ELSE resolution_method END AS resolution_method,
+  CASE WHEN gap_end_offset % 5 = 0 THEN {NOW} ELSE resolved_at END AS resolved_at FROM h""")
+def _(v):
+    keys = ["job_id", "source_topic", "partition_id", "gap_end_offset"]
+    gaps = _handled_gaps(v)
+    fifth = gaps.filter("gap_end_offset % 5 = 0").select(*keys, F.lit("replayed").alias("method"), as_of().alias("resolved_at"))
+    return maintenance.resolve_gaps(gaps, fifth, keys)
+
+
+@query("recalculated_untimed_progress", UNTIMED + """
+SELECT job_id, source_topic, partition_id, last_updated, target_high_water_mark FROM u
+  WHERE (last_updated > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 HOUR) IS NOT TRUE
+UNION ALL SELECT 'job-0', 'fresh', 0, NULL, 1 FROM u HAVING count(*) > 0""")
+def _(v):
+    stored = _untimed(v).select("job_id", "source_topic", "partition_id", "last_updated", "target_high_water_mark")
+    fresh = stored.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").selectExpr(
+        "'job-0' AS job_id", "'fresh' AS source_topic", "CAST(0 AS INT) AS partition_id", "CAST(NULL AS DATE) AS last_updated", "1L AS target_high_water_mark"
+    )
+    return maintenance.replace_recent(stored, fresh, as_of=F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), at="last_updated")

@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relaylens.functions.dated import DAY, day_of
 from relaylens.operators.maintenance import retention_days
 from relaylens.session import checkpoint_root
 
@@ -36,7 +37,9 @@ class DatedTable:
 
     def read(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """The rows, or those from ``start`` to ``end`` (both included); only the folders of those days are read."""
-        rows = self.spark.table(self.name)
+        table = self.spark.table(self.name)
+        # the day column is marked, so that operators over these rows prune by it too
+        rows = table.select(*[day_of(self.ts) if c == DAY else F.col(f"`{c}`") for c in table.columns])
         kind = rows.schema[self.ts].dataType
         if start is not None:
             rows = rows.filter((F.col("event_date") >= F.lit(start.date())) & (F.col(self.ts) >= F.lit(start).cast(kind)))

@@ -94,3 +94,29 @@ def test_size_tiers(spark):
     df = spark.createDataFrame([("t", off, "", "é" * (n // 2) + "x" * (n % 2)) for n, off in sizes], "topic string, rec_offset long, rec_key string, rec_value string")
     got = {r.tier: (r.messages, r.sampled) for r in mapping.size_tiers(df).collect()}
     assert got == {"small": (1, 1), "medium": (2, 2), "large": (1, 1)}
+
+
+@pytest.mark.parametrize("pattern,gram", [
+    (".*-click", "-cl"), ("^events-(a|b)x", "eve"), ("ab+cde", "cde"), ("abc?d", None), ("a(bcd)?efg", "efg"), ("(?i)events", None), ("abc|def", None), ("[abc]def", "def"),
+    (r"\.abc", "abc"), ("abcd{2}", "abc"), ("ab{2,300}", None), (".*", None), ("", None), ("((a)b)cde", None), (r"\Qabc\E", None),
+])
+def test_required_gram(spark, pattern, gram):
+    df = spark.createDataFrame([(pattern,)], "p string")
+    assert df.select(mapping.required_gram(F.col("p"))).first()[0] == gram
+
+
+def test_patterns_without_an_index_match_all_names(spark):
+    topics = spark.range(500).selectExpr("concat('t', id) AS topic")
+    rules = spark.createDataFrame([("j", 1, ".*7", "x", True), ("j", 2, ".*t4.+", "y", True)], "job_id string, rule_pos int, source_pattern string, target_pattern string, enabled boolean")
+    got = mapping.resolve_mappings(topics, rules)
+    want = {("x", f"t{k}") for k in range(500) if "7" in str(k)} | {("y", f"t{k}") for k in range(500) if str(k)[0] == "4" and k > 9}
+    assert {(r.target_topic[0], r.topic) for r in got.collect()} == want
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("topic,pattern,target", [("ab", ".*", "-"), ("baaac", "a*", "-b-c-"), ("abc", "x*", "-a-b-c-"), ("", ".*", "-"), ("aab", "a*?", "-a-a-b-"), ("xax", "|x", "-x-a-x-")])
+def test_empty_matches_behind_a_match_do_not_count(spark, topic, pattern, target):
+    from relaylens.functions.templates import java_replaced_pattern
+
+    df = spark.createDataFrame([(topic, pattern)], "t string, p string")
+    assert df.select(F.regexp_replace(F.col("t"), java_replaced_pattern(F.col("p")), F.lit("-"))).first()[0] == target

@@ -120,3 +120,33 @@ def test_log_folder(spark, tmp_path):
     (tmp_path / "a.log").write_text("[2024-01-01 00:00:01.250] INFO  x\n")
     (tmp_path / "b.log").write_text("y\n")
     assert files.read_log_lines(spark, str(tmp_path)).count() == 2
+
+
+def test_operators_prune_dated_tables(spark):
+    """History, rollups, compliance windows and retention read only the folders of their days."""
+    from pyspark.sql import functions as F
+
+    from relaylens.operators import compliance, maintenance, metrics
+
+    table = files.DatedTable(spark, "points_to_query")
+    rows = spark.range(24 * 60).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts", "'j' AS job_id", "1L AS messages_replicated_delta", "2L AS avg_lag",
+        "0L AS error_count_delta", "'config_change' AS event_type", "'u' AS initiator", "'d' AS details",
+    )
+    table.append(rows.unionByName(rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))))
+    now = F.lit("2024-02-20 00:00:00").cast("timestamp_ntz")
+    plain = table.read().drop("event_date").withColumn("event_id", F.col("event_id"))
+    runs = {
+        "history": lambda t: metrics.history(t, as_of=now, span="24h").select("event_id"),
+        "rollup": lambda t: metrics.rollup(t, "daily", as_of=now, days=3),
+        "trail": lambda t: compliance.audit_trail_pages(t, as_of=now),
+        "kept": lambda t: maintenance.kept_rows(t, "ts", as_of=now, days=7).select("event_id"),
+    }
+    for name, run in runs.items():
+        pruned = run(table.read())
+        assert sorted(map(tuple, pruned.collect()), key=repr) == sorted(map(tuple, run(plain).collect()), key=repr), name
+        scans = pruned._jdf.queryExecution().toString().split("PartitionFilters: [")[1:]
+        assert scans and all("event_date" in s.split("]")[0] for s in scans), name
+    # days of another column do not count
+    other = table.read().withColumn("at", F.col("ts"))
+    assert "event_date" not in maintenance.kept_rows(other, "at", as_of=now, days=7).select("event_id")._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
