@@ -35,6 +35,11 @@ def _digest(text: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """Character references as characters: decimal numbers of valid code points, and the named ones of ``ENTITIES``."""
+    # bound once, as what ``text`` is made by would else run for each of its uses
+    return F.transform(F.array(text), _decoded)[0]
+
+
+def _decoded(text: Column) -> Column:
     numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(1)))
     usable = F.filter(numbers, lambda n: n.cast("int").between(1, 55295) | n.cast("int").between(57344, 1114111))
 
