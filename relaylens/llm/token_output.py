@@ -19,10 +19,12 @@ from relaylens.llm.tokens import default_vocabulary, encoder
 END = 2
 #: Blocks that are coded at a time in a task.
 TOGETHER = 16
+#: Parts whose counts of ids are summed up at a time.
+FAN_IN = 64
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("whole", pa.bool_())])
 _PIECES = "array<struct<doc_id:long,at:long,n:int,piece:int,whole:boolean>>"
-_STAGED = f"part int, block int, at long, ids binary, docs {_PIECES}, symbols array<struct<id:int,n:long>>"
+_STAGED = f"part int, block int, at long, ids binary, docs {_PIECES}, counts binary"
 _BLOCKS = f"part int, block int, first_token long, n_tokens int, docs {_PIECES}, states binary, words binary, words_crc long, ids_crc long"
 
 
@@ -42,12 +44,12 @@ def staged_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
         pieces: list[dict] = []
         filled = 0
 
-        def block(ids: np.ndarray, docs: list[dict], begin: int, symbols: list[dict]) -> pa.RecordBatch:
+        def block(ids: np.ndarray, docs: list[dict], begin: int, counted: np.ndarray | None = None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([begin], pa.int64()),
                 pa.array([ids.astype("<u4").tobytes()], pa.binary()), pa.array([docs], pa.list_(_PIECE)),
-                pa.array([symbols], pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))),
-            ], names=["part", "block", "at", "ids", "docs", "symbols"])
+                pa.array([None if counted is None else counted.astype("<i8").tobytes()], pa.binary()),
+            ], names=["part", "block", "at", "ids", "docs", "counts"])
 
         for batch in textkit.slices(batches, "text"):
             ids, first = tokens.encode(batch.column("text"))
@@ -56,7 +58,7 @@ def staged_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 own = np.append(ids[first[k]:first[k + 1]], np.uint32(end))
                 if filled and filled + len(own) > rans.BLOCK:
-                    yield block(np.concatenate(held), pieces, at - filled, [])
+                    yield block(np.concatenate(held), pieces, at - filled)
                     number, held, pieces, filled = number + 1, [], [], 0
                 begin, whole = at, len(own) <= rans.BLOCK
                 for piece, low in enumerate(range(0, len(own), rans.BLOCK)):
@@ -65,18 +67,34 @@ def staged_ids(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
                     pieces.append({"doc_id": doc_id, "at": begin, "n": len(part_ids), "piece": piece, "whole": whole})
                     filled, at = filled + len(part_ids), at + len(part_ids)
                     if filled >= rans.BLOCK:
-                        yield block(np.concatenate(held), pieces, at - filled, [])
+                        yield block(np.concatenate(held), pieces, at - filled)
                         number, held, pieces, filled = number + 1, [], [], 0
         if filled:
-            yield block(np.concatenate(held), pieces, at - filled, [])
+            yield block(np.concatenate(held), pieces, at - filled)
             number += 1
-        seen = np.flatnonzero(counts)
-        if len(seen):
-            yield block(np.zeros(0, np.uint32), [], at, [{"id": int(k), "n": int(counts[k])} for k in seen])
+        if at:
+            yield block(np.zeros(0, np.uint32), [], at, counts)
 
     return map_arrow(ordered, run, _STAGED)
 
 
+def _summed(counts: pa.ChunkedArray) -> np.ndarray:
+    return sum((np.frombuffer(c, "<i8") for c in counts.to_pylist()), np.zeros(1, np.int64))
+
+
+def id_counts(staged: DataFrame, parts: int) -> np.ndarray:
+    """How often each id stands in all documents: the parts' counts summed up ``FAN_IN`` at a time, so the driver gets no more than that of them."""
+
+    def one(group: pa.Table) -> pa.Table:
+        return pa.table({"part": group.column("part").slice(0, 1), "counts": pa.array([_summed(group.column("counts")).tobytes()], pa.binary())})
+
+    rows = staged.filter("counts IS NOT NULL").select("part", "counts")
+    while parts > FAN_IN:
+        rows = rows.groupBy(F.expr(f"part DIV {FAN_IN}").alias("group")).applyInArrow(one, "part int, counts binary").withColumn("part", F.expr(f"CAST(part DIV {FAN_IN} AS INT)"))
+        parts = -(-parts // FAN_IN)
+    return _summed(rows.select("counts").toArrow().column("counts"))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[dict]]:
     held: list[dict] = []
     for batch in batches:
@@ -106,11 +124,10 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end: int
     vocabulary = vocabulary or default_vocabulary()
     scratch = Scratch(spark, "tokens")
     staged = scratch.keep(staged_ids(docs, vocabulary, end), "staged")
-    counted = staged.select(F.explode("symbols").alias("s")).groupBy("s.id").agg(F.sum("s.n").alias("n")).toPandas()
-    counted = counted.sort_values("id")
-    size = int(counted["id"].max()) + 1 if len(counted) else 1
-    table = rans.frequencies(counted["id"].to_numpy(np.int64), counted["n"].to_numpy(np.int64), size)
-    sizes = staged.filter("size(symbols) > 0").select("part", "at").toPandas().sort_values("part")
+    sizes = staged.filter("counts IS NOT NULL").select("part", "at").toPandas().sort_values("part")
+    counts = id_counts(staged, int(sizes["part"].max()) + 1 if len(sizes) else 0)
+    used = np.flatnonzero(counts)
+    table = rans.frequencies(used, counts[used], int(used.max()) + 1 if len(used) else 1)
     base = np.cumsum(sizes["at"].to_numpy()) - sizes["at"].to_numpy()
     first_of = spark.sparkContext.broadcast(dict(zip(sizes["part"].tolist(), base.tolist())))
     shared = spark.sparkContext.broadcast(table)
@@ -129,7 +146,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, end: int
                 pa.array([zlib.crc32(r["ids"]) for r in rows], pa.int64()),
             ], names=["part", "block", "first_token", "n_tokens", "docs", "states", "words", "words_crc", "ids_crc"])
 
-    blocks = map_arrow(staged.filter("size(symbols) = 0").select("part", "block", "at", "ids", "docs"), run, _BLOCKS)
+    blocks = map_arrow(staged.filter("counts IS NULL").select("part", "block", "at", "ids", "docs"), run, _BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop("staged")
     used = np.flatnonzero(table)
@@ -198,15 +215,20 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                     "crc": pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64()),
                 })
 
-    pieces = map_arrow(_stored(spark, path), run, "doc_id long, start long, n long, piece int, whole boolean, part int, at long, crc long")
     ship(spark)
 
+    def pieces(blocks: DataFrame) -> DataFrame:
+        return map_arrow(blocks, run, "doc_id long, start long, n long, piece int, whole boolean, part int, at long, crc long")
+
     @F.pandas_udf("long")
     def joined(parts: pd.Series) -> pd.Series:
         return parts.map(lambda p: rans.crc_joined([(4 * x["n"], x["crc"]) for x in p]))
 
-    whole = pieces.filter("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    long = pieces.filter("NOT whole").groupBy("part", "at").agg(
+    stored = _stored(spark, path)
+    whole = pieces(stored).filter("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    # the few blocks with pieces of longer documents are decoded for these once more
+    split = stored.filter(F.exists("docs", lambda d: ~d["whole"]))
+    long = pieces(split).filter("NOT whole").groupBy("part", "at").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"),
         F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("p"),
     )

@@ -87,8 +87,8 @@ class Encoder:
         self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
-        ids, length = self._apart(words)
+    def _learn(self, hashes: np.ndarray, checks: np.ndarray, words: list[str], sizes: np.ndarray) -> None:
+        ids, length = self._apart(words, sizes)
         start = len(self.ids) + np.cumsum(length) - length
         self.ids = np.concatenate([self.ids, ids])
         known = np.concatenate([self.known, hashes])
@@ -97,25 +97,24 @@ class Encoder:
         self.check = np.concatenate([self.check, checks])[order]
         self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length.astype(np.int32)])[order]
 
-    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, each encoded by itself, and their number for each word.
+    def _apart(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each encoded by itself, and their number for each word; ``sizes`` are the words' bytes.
 
         Words are put together in longer texts, where the pre-tokenizer cuts between them as before, and told apart
         by the bytes of their tokens: this costs the library less than as many short texts.
         """
-        bare = [w == "\n" for w in words]
-        parts = [w if w[0] == " " or b else "\n" + w for w, b in zip(words, bare)]
+        parts = [w if w[0] == " " or w == "\n" else "\n" + w for w in words]
+        # the newline before the first word of a line is a token of its own, which the word does not keep
+        extra = np.fromiter((p is not w for p, w in zip(parts, words)), bool, len(parts))
         together = [parts[k:k + TOGETHER] for k in range(0, len(parts), TOGETHER)]
         encoded = self.tokenizer.encode_batch_fast(["".join(p) for p in together], add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in encoded])
         ends = np.cumsum(self.bytes_of[ids])
-        cuts = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        cuts = np.cumsum(sizes + extra)
         at = np.searchsorted(ends, cuts)
         if (ends[at] != cuts).any():
             raise ValueError("the vocabulary's tokens do not split texts into their bytes")
         length = np.diff(np.concatenate([[0], at + 1]))
-        # the newline before the first word of a line is a token of its own, which the word does not keep
-        extra = np.array([p is not w for p, w in zip(parts, words)], bool)
         keep = np.ones(len(ids), bool)
         keep[(np.cumsum(length) - length)[extra]] = False
         return ids[keep], length - extra
@@ -155,7 +154,7 @@ class Encoder:
         if len(new):
             raw = data.tobytes()
             words = [raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())]
-            self._learn(distinct[new], checks[new], words)
+            self._learn(distinct[new], checks[new], words, ends[one[new]] - starts[one[new]])
             at = np.searchsorted(self.known, distinct)
         if len(distinct) and (clash := self.check[at] != checks).any():
             whole[owner[clash[back]]] = True
