@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from relaylens.llm.common import Scratch
@@ -14,7 +14,7 @@ def components(links: DataFrame, scratch: Scratch, name: str, *, start: DataFram
     Rounds of hooking and jumping: each id takes the smallest label among its own and its neighbours', and passes it to
     the id that it was labelled with before; then every label is replaced by its label's label. Paths halve in a round,
     so the number of rounds grows with the logarithm of the longest. Every round is a written table; the driver
-    only learns whether a label changed.
+    only learns how many labels changed, which is counted as the table is written.
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
     edges = scratch.keep(both.toDF("a", "b").distinct(), f"{name}-edges")
@@ -33,8 +33,10 @@ def components(links: DataFrame, scratch: Scratch, name: str, *, start: DataFram
         # jump: each label becomes its label's label, as far as that is known before this turn
         above = labels.select(F.col("id").alias("p"), F.col("label").alias("above"))
         jumped = hooked.join(above, hooked.best == above.p, "left").select("id", "old", F.least("best", "above").alias("label"))
-        after = scratch.keep(jumped, f"{name}-{turn}")
-        changed = after.filter(F.col("old").isNull() | (F.col("old") != F.col("label"))).limit(1).count()
+        seen_changes = Observation()
+        fresh = F.col("old").isNull() | (F.col("old") != F.col("label"))
+        after = scratch.keep(jumped.observe(seen_changes, F.count_if(fresh).alias("n")), f"{name}-{turn}")
+        changed = seen_changes.get["n"]
         scratch.drop(f"{name}-{turn - 1}")
         labels = after.select("id", "label")
         if not changed:

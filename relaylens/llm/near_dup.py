@@ -80,8 +80,13 @@ def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest() for a, b in zip(first[:-1], first[1:])]
 
 
+def _lean(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, n_shingles, keys, sketch) of every document; ``sketch`` keeps 16 bits of each coordinate."""
+    """(doc_id, mark, fingerprint, n_shingles, keys, sketch) of every document; ``sketch`` keeps 16 bits of each coordinate, ``mark`` tells the texts of a doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, "text"):
@@ -93,13 +98,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 keys = textkit.mix(keys * np.uint64(0x9DDFEA08EB382D69) + bands[:, :, k])
             short = textkit.mix(signature).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(_fingerprints(hashes, first), pa.binary()), pa.array(np.diff(first), pa.int64()),
+                batch.column("doc_id"), batch.column("mark"), pa.array(_fingerprints(hashes, first), pa.binary()), pa.array(np.diff(first), pa.int64()),
                 pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                 pa.array([row.tobytes() for row in short], pa.binary()),
-            ], names=["doc_id", "fingerprint", "n_shingles", "keys", "sketch"])
+            ], names=["doc_id", "mark", "fingerprint", "n_shingles", "keys", "sketch"])
 
-    lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(lean, run, "doc_id long, fingerprint binary, n_shingles long, keys array<long>, sketch binary")
+    return map_arrow(_lean(docs), run, "doc_id long, mark long, fingerprint binary, n_shingles long, keys array<long>, sketch binary")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -174,33 +178,44 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
+def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between labels that are not the same yet."""
+    first = labels.select(F.col("id").alias("a"), F.col("label").alias("x"))
+    second = labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    return links.join(first, "a").join(second, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Documents with equal sets are one class, represented by its smallest doc_id. Representatives that share a band meet
     in a bucket; there each is compared with the bucket's centre, by sketch and then on full sets, and confirmed links
     join components. Buckets whose members are not yet of one component go on with the next centre, and after
-    ``TURNS`` turns with an exact prefix join, so no bucket ever emits all pairs of its members and none is capped.
+    ``TURNS`` turns with an exact prefix join, so no bucket emits all pairs of its members and none is capped. (The prefix join
+    does meet every pair that shares a rare shingle and fits in size: texts of one template that are not similar enough.)
 
-    Null or empty text: empty set, linked with nothing, kept. Rows that repeat a doc_id are judged each by its own text. A
-    null doc_id takes the component of equal texts with an id, and is its own (null, kept) where there is none. Other
-    columns are ignored.
+    Null or empty text: empty set, linked with nothing, kept. Rows that repeat a doc_id are judged each by its own text, and each
+    text links on. Rows without a doc_id link texts like others; their component_id is the smallest doc_id of their
+    component, or null where it has none (they are kept then). Very long texts are read whole by one worker. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     scan = scratch.keep(sketched(docs), "scan")
     filled = scan.filter("n_shingles > 0")
-    classes = filled.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    classes = scratch.keep(classes.filter("id IS NOT NULL"), "classes")
+    # a class is known by its smallest doc_id and, as that may have several texts, by the mark of its text
+    of_text = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    classes = filled.groupBy("fingerprint").agg(of_text.alias("one"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = classes.select("id", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = scratch.keep(rows.join(shared, "bucket").select("bucket", "id", "n"), "members")
     weight = scratch.keep(members.groupBy("id").agg(F.sum("n").alias("weight")), "weight")
-    # a document's rows may repeat; its smallest text stands for it
-    needed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(weight.select("id"), "id", "left_semi")
+    wanted = classes.join(weight.select("id"), "id").select("id", F.col("one.doc_id").alias("wanted"), F.col("one.mark").alias("mark"))
+    needed = _lean(docs).join(wanted, ["mark"]).filter(F.col("doc_id").eqNullSafe(F.col("wanted")))
+    # rows may repeat
     sets = scratch.keep(full_sets(needed.groupBy("id").agg(F.min("text").alias("text"))), "sets")
     sketch = classes.join(weight, "id", "left_semi").groupBy("id").agg(F.first("sketch").alias("sketch"))
-    links, labels = None, weight.select("id", F.col("id").alias("label"))
+    labels = weight.select("id", F.col("id").alias("label"))
     open_members = members.select("bucket", "id")
     for turn in range(TURNS + 1):
         if turn < TURNS:
@@ -209,17 +224,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             rest = open_members.select("id").distinct().join(labels, "id")
             candidates = _prefix_pairs(rest, sets)
         alike = scratch.keep(_alike(candidates, sketch), f"alike{turn}")
-        found = scratch.keep(_confirmed(alike, sets), f"links{turn}")
+        found = _confirmed(alike, sets)
+        if turn:
+            found = _across(found, labels)
+        found = scratch.keep(found, f"links{turn}")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, scratch, f"labels{turn}", start=weight.select("id", F.col("id").alias("label")))
+            # links between labels so far; only these are put together anew
+            joined = components(found, scratch, f"labels{turn}").select(F.col("id").alias("label"), F.col("label").alias("lower"))
+            labels = scratch.keep(labels.join(joined, "label", "left").select("id", F.coalesce("lower", "label").alias("label")), f"all{turn}")
         if turn < TURNS:
             split = open_members.join(labels, "id").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
             left = split.filter("low <> high").select("bucket")
             open_members = scratch.keep(open_members.join(left, "bucket", "left_semi"), f"open{turn}")
             if open_members.isEmpty():
                 break
-    of_class = classes.select("fingerprint", "id").join(labels, "id", "left").select("fingerprint", F.coalesce("label", "id").alias("component_id"))
+    of_class = classes.select("fingerprint", "id", F.col("one.doc_id").alias("doc_id")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    lowest = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.select("fingerprint", "label").join(lowest, "label").select("fingerprint", "component_id")
     out = scan.select("doc_id", "n_shingles", "fingerprint").join(of_class, "fingerprint", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(

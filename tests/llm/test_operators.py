@@ -391,3 +391,37 @@ def test_pipeline(spark, edge, edge_rows, benchmark, tmp_path):
         assert abs(taken - wanted) <= max(sizes.values()), (s, taken, wanted)
     rows = [(i, texts[i]) for i in copies for _ in range(copies[i])]
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == [(start, i, n, crc) for i, start, n, crc in brute.tokens(ids_of, rows)]
+
+
+def near_by_hand(rows):
+    """(doc_id, size, smallest doc_id reachable) of every row, each by its own text, all pairs compared."""
+    sets = [brute.shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    lowest = {}
+    for (i, _), x in zip(rows, label):
+        if i is not None:
+            lowest[x] = min(lowest.get(x, i), i)
+    return sorted(((i, len(s), lowest.get(x) if s else i) for (i, _), s, x in zip(rows, sets, label)), key=repr)
+
+
+def test_near_links_through_repeated_and_missing_ids(spark):
+    import random
+
+    rng = random.Random(11)
+    a, b, c, d = ([f"w{rng.randrange(10 ** 6)}" for _ in range(120)] for _ in range(4))
+
+    def near(words, k):
+        return " ".join([*words[:k], f"changed{k}", *words[k + 1:]])
+
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b, 119)), (3, near(a, 0)), (None, near(c, 0)), (None, near(c, 119)), (7, " ".join(d)), (None, near(d, 3)), (9, near(d, 3) + " x"),
+            (None, " ".join(b)), (4, "free words only here"), (4, None), (None, ""), (None, None), (5, near(c, 60)), (8, " ".join(a)), (8, "free words only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()), key=repr)
+    assert got == near_by_hand(rows)
+    assert {r.component_id for r in near_dup.near_duplicates(docs).filter("doc_id IN (2, 3)").collect()} == {1}
