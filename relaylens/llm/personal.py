@@ -78,8 +78,15 @@ def valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def proposed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (a hash of the text), base spans per kind, and ``candidates``: every proposed span with its context."""
+#: Characters of a candidate, least and most: longer runs of digits and dots are lists, which neither shape nor context tells apart.
+LENGTHS = (6, 80)
+
+
+def proposed(docs: DataFrame, lengths: tuple[int, int] = LENGTHS) -> DataFrame:
+    """doc_id, same (a hash of the text), base spans per kind, and ``candidates``: every proposed span with its context.
+
+    Spans shorter or longer than ``lengths`` are no candidates for the trees; base spans of any length stay.
+    """
     text = F.col("text")
     rows = docs.select("doc_id", text_of().alias("text"))
     raw = rows.select(
@@ -96,9 +103,8 @@ def proposed(docs: DataFrame) -> DataFrame:
                 F.substring(text, s["end"].cast("int") + 1, F.lit(CONTEXT)).alias("after"),
             )
 
-        # candidates of the base pattern are numbers and runs of any length; those out of all proportion are no candidates
         every = F.array_distinct(F.concat(F.col(f"raw_{kind}"), F.col(f"loose_{kind}")))
-        return F.transform(F.filter(every, lambda s: F.length(s["hit"]).between(6, 80)), view)
+        return F.transform(F.filter(every, lambda s: F.length(s["hit"]).between(*lengths)), view)
 
     def confirmed(kind: str) -> Column:
         return F.filter(f"raw_{kind}", lambda s: valid(kind, s["hit"])).alias(kind)

@@ -105,14 +105,14 @@ def cutoff(dimensions: int = len(AXES), one_in: float = ONE_IN) -> float:
 def _cells(stats: DataFrame, min_rows: int) -> DataFrame:
     """(lang, source) -> the cell whose estimate its documents are held against.
 
-    Small groups are pooled: by language those with under ``min_rows`` documents, then over all languages.
+    Groups with under ``min_rows`` documents are pooled by language; what is too few even so is held against all documents.
     """
     own = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < min_rows
     pools = own.filter(small).groupBy("lang").agg(F.sum("n").alias("pool"))
     cell = F.when(~small, F.struct(F.lit("source").alias("level"), "lang", "source")).otherwise(
         F.when(F.col("pool") >= min_rows, F.struct(F.lit("lang").alias("level"), "lang", F.lit(None).cast("string").alias("source")))
-        .otherwise(F.struct(F.lit("rest").alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
+        .otherwise(F.struct(F.lit("all").alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
     )
     pools = pools.withColumnRenamed("lang", "pool_lang")
     joined = own.join(pools, F.col("lang").eqNullSafe(F.col("pool_lang")), "left")
@@ -168,7 +168,12 @@ def fit(stats: DataFrame, scratch: Scratch, *, support: float = SUPPORT, min_row
     d = len(floors)
     cells = scratch.keep(_cells(stats, min_rows), "cells")
     on = [F.col("s.lang").eqNullSafe(F.col("c.lang")), F.col("s.source").eqNullSafe(F.col("c.source"))]
-    points = scratch.keep(stats.alias("s").join(cells.alias("c"), on).select("c.cell", "s.x"), "points")
+    whole = F.get_json_object("cell", "$.level") == "all"
+    points = stats.alias("s").join(cells.filter(~whole).alias("c"), on).select("c.cell", "s.x")
+    every = cells.filter(whole).select("cell").first()
+    if every is not None:
+        points = points.unionByName(stats.select(F.lit(every.cell).alias("cell"), "x"))
+    points = scratch.keep(points, "points")
     median = [F.percentile_approx(F.col("x")[i], 0.5, 1000).alias(f"m{i}") for i in range(d)]
     # written tables of a row per cell are small enough to be sent to the tasks, which the planner sees by their size
     middle = scratch.keep(points.groupBy("cell").agg(*median), "middle")
@@ -223,7 +228,6 @@ def judged(scored: DataFrame, s: str, fitted: DataFrame, verdict: str, *, limit:
 
     Rejected are documents that fail the base rules, and those whose squared distance exceeds ``limit``. A document's deviation
     on an axis counts by the cell's variance and its own counting noise together, so that one line in five is less than 20 in 100.
-    Cells pooled over all languages with under ``MIN_ROWS`` documents reject nothing by distance.
     """
     limit = cutoff(len(AXES)) if limit is None else limit
     name = fresh(scored.columns, "fit")
@@ -235,10 +239,9 @@ def judged(scored: DataFrame, s: str, fitted: DataFrame, verdict: str, *, limit:
         for i, (value, noise) in enumerate(zip(axes(s), noises(s)))
     ]
     terms = " + ".join(f"{x}[{i}] * {x}[{j}] * {name}.inverse[{i * d + j}]" for i in range(d) for j in range(d))
-    distance = F.expr(f"IF({name}.n >= {MIN_ROWS}, {terms}, 0D)")
     out = scored.join(small, on, "left").withColumn(x, F.array(*off))
     failed = base_failed(s)
-    distance = F.coalesce(distance, F.lit(0.0))
+    distance = F.coalesce(F.expr(terms), F.lit(0.0))
     kept = ~failed & (distance <= limit)
     return out.withColumn(verdict, F.struct(failed.alias("base_failed"), distance.alias("distance"), kept.alias("kept"))).drop(x, name)
 
@@ -258,8 +261,9 @@ def quality_table(docs: DataFrame) -> DataFrame:
     """Counts, base rules and verdict of every document.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance. Null text has no
-    words and fails the base rules; null lang or source is a group like any other; repeated rows are judged alike; an
-    empty table gives an empty result; other columns are ignored.
+    words and fails the base rules; null lang or source is a group like any other, and groups too small for an estimate of
+    their own are held against their language or all documents; repeated rows are judged alike; an empty table gives an empty
+    result; very long texts are read whole by one worker; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = narrow_statistics(docs, scratch)

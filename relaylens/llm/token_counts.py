@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relaylens.llm import spans as S
 from relaylens.llm import textkit
 from relaylens.llm.common import fresh, map_arrow, text_of
 from relaylens.llm.tokens import default_vocabulary, encoder
@@ -92,15 +93,10 @@ def line_sections(docs: DataFrame) -> DataFrame:
     """doc_id, text, and a section for every line that is not empty, without its newline; the first is the title."""
     rows = docs.select("doc_id", text_of().alias("text"))
     lines = F.split("text", "\n", -1)
-    walked = F.aggregate(
-        lines, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x) + 1).cast("long").alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).cast("long").alias("end")))).alias("out"),
-        ),
-        lambda a: F.filter(a["out"], lambda s: s["end"] > s["start"]),
+    placed = S.walked(
+        lines, lambda x: F.lit(0), lambda x: F.length(x) + 1, lambda start, end, x: F.struct(start.alias("start"), (end - 1).alias("end")), "array<struct<start:long,end:long>>"
     )
-    return rows.withColumn("sections", walked)
+    return rows.withColumn("sections", F.filter(placed, lambda s: s["end"] > s["start"]))
 
 
 def count_table(docs: DataFrame, rule: str = "start") -> DataFrame:

@@ -425,3 +425,41 @@ def test_near_links_through_repeated_and_missing_ids(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()), key=repr)
     assert got == near_by_hand(rows)
     assert {r.component_id for r in near_dup.near_duplicates(docs).filter("doc_id IN (2, 3)").collect()} == {1}
+
+
+def test_outliers_go_whatever_the_number_of_documents(spark):
+    """Eight documents with bars after every second word, among few and many others of small sources: the same eight go."""
+    import random
+
+    rng = random.Random(3)
+
+    def text(bars):
+        words = [f"{rng.choice('abcdefg') * rng.randrange(2, 8)}{rng.randrange(10 ** 4)}" for _ in range(rng.randrange(100, 300))]
+        return " ".join(w + (" ||" if bars and k % 2 else "") for k, w in enumerate(words))
+
+    bad = [(k, text(True), "en", f"s{k}") for k in range(8)]
+    for others in (142, 442):
+        rows = bad + [(100 + k, text(False), "en", f"s{k % 40}") for k in range(others)]
+        out = quality.quality_table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        assert sorted(r.doc_id for r in out.filter("NOT kept").collect()) == list(range(8))
+
+
+def test_texts_with_very_many_matches_and_lines(spark):
+    """A hundred thousand secrets, numbers and lines in one text each: found in seconds, at their places."""
+    import time
+
+    from relaylens.llm import spans as S
+
+    many = "\n".join(f"é{k} AKIAABCDEFGHIJKL{k % 10}" for k in range(100_000))
+    df = spark.createDataFrame([(1, many), (2, "none"), (3, "")], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.m for r in df.select("doc_id", S.matches(F.col("text"), "AKIA[A-Z0-9]+").alias("m")).collect()}
+    lines = {r.doc_id: r.sections for r in token_counts.line_sections(df).collect()}
+    assert time.time() - began < 60
+    at, want, want_lines = 0, [], []
+    for line in many.split("\n"):
+        want.append((at + line.index("A"), at + len(line)))
+        want_lines.append((at, at + len(line)))
+        at += len(line) + 1
+    assert [(m.start, m.end) for m in found[1]] == want and found[2] == found[3] == []
+    assert [(s.start, s.end) for s in lines[1]] == want_lines and [(s.start, s.end) for s in lines[2]] == [(0, 4)] and lines[3] == []
