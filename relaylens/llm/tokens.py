@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -175,5 +176,6 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+    """One encoder per worker process and file. Spark runs a task per core, so the library's own threads would only add memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
