@@ -147,6 +147,24 @@ def deleted_lines(rows, least=2):
     return [out[k] for k in range(len(rows))]
 
 
+def line_copies(texts):
+    """{(text, pos): (length, of_text, of_pos)}: the longest run of lines shared with an earlier place, and the first such place."""
+    lines = [t.split("\n") for t in texts]
+    places = [(k, p) for k, x in enumerate(lines) for p in range(len(x))]
+    out = {}
+    for n, (k, p) in enumerate(places):
+        best = (0, 0, 0)
+        for j, q in places[:n]:
+            length = 0
+            while p + length < len(lines[k]) and q + length < len(lines[j]) and lines[k][p + length] == lines[j][q + length]:
+                length += 1
+            if length > best[0]:
+                best = (length, j, q)
+        if best[0]:
+            out[k, p] = best
+    return out
+
+
 def removed(texts, width=35):
     """[(n_words, n_removed, digest of the kept words)]: every window of every text counted."""
     words = [NOT_SPACE.findall(t or "") for t in texts]

@@ -1,6 +1,7 @@
 """Every dealt operator and stage on edge cases, against brute force: nulls, empty and very long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -282,6 +283,46 @@ def test_line_runs(spark, edge_rows):
     assert cut[14].text == "own" and cut[13].text == "l1\nl2\nl3\nl4" and cut[0].text is None
 
 
+def _random_lines(seed, n, letters, least, most):
+    rng = random.Random(seed)
+    return ["\n".join(rng.choice(letters) for _ in range(rng.randrange(least, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_line_runs_of_any_length(spark, edge_rows, least):
+    """Runs of two, three and five lines, where texts of two or three lines overlap their own copies and share parts with many others."""
+    texts = [*_random_lines(least, 12, "ab", 1, 14), *_random_lines(7, 25, "abc", 1, 20), "z\na\nb\na\nb\na\nb\nc", *(r[1] for r in edge_rows if r[0] < 40)]
+    rows = [(k, t) for k, t in enumerate(["a\nb\na", "x\ny\np", "q\nx\ny\nz\nr", "s\nx\ny\nz\nt", *texts])]
+    got = by_id(line_runs.line_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_lines=least))
+    for doc_id, n, gone in brute.deleted_lines(rows, least):
+        assert (got[doc_id].n_lines, got[doc_id].n_deleted) == (n, gone), (doc_id, rows[doc_id][1])
+
+
+def test_line_suffixes(spark):
+    """Each level's ranks are in suffix order; intervals of common prefixes give every position its longest earlier run."""
+    texts = [*_random_lines(3, 14, "ab", 1, 12), *_random_lines(4, 14, "abcd", 1, 25), "a\n" * 20, "\n".join("abcabcabcdabcabcabcd")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    scratch = Scratch(spark, "test")
+    lines = scratch.keep(line_runs.line_ids(scratch.keep(line_runs.numbered(docs), "rows")), "lines")
+    ids = {r.doc_id: list(zip(r.lines, r.checks)) for r in lines.collect()}
+    for level in line_runs.levels(lines, Scratch(spark, "test")):
+        rows = level.rows.collect()
+        keys = {(r.doc, r.pos): tuple(ids[r.doc][r.pos:r.pos + level.width]) for r in rows}
+        assert all(len(k) == level.width for k in keys.values())
+        ranked = sorted({(r.name, keys[r.doc, r.pos]) for r in rows})
+        assert [k for _, k in ranked] == sorted({k for _, k in ranked}) and len({n for n, _ in ranked}) == len(ranked)
+    doc = {r.row: r.doc_id for r in lines.collect()}
+    got = {(doc[r.row], r.pos): (r.length, doc[r.of_row], r.of_pos) for r in line_runs.copies(lines, Scratch(spark, "test")).collect()}
+    assert got == brute.line_copies(texts)
+
+
+def test_line_runs_of_a_very_long_text(spark):
+    """A hundred thousand equal lines, and as many that stand in another text."""
+    rows = [(1, "same\n" * 100_000), (2, "\n".join(f"line {k}" for k in range(100_000))), (3, "own\n" + "\n".join(f"line {k}" for k in range(100_000)))]
+    got = by_id(line_runs.line_table(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(got[k].n_deleted, got[k].runs) for k in (1, 2, 3)] == [(99_998, "2-100000"), (0, ""), (100_000, "1-100001")]
+
+
 def test_line_runs_of_one_long_line(spark, edge_rows, tmp_path):
     """A repeated line of 50 words goes though its neighbours differ; one of 49 stays, and so does the first place of either."""
     def line(name, n):
