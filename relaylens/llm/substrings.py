@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from relaylens.llm import textkit
 from relaylens.llm.common import Scratch, map_arrow
 
+#: Bytes of text whose words are hashed at a time; the hashes take sixty times as many.
+PIECE_BYTES = (1 << 18) - 1
 _STEP, _LAST, _ROUTE = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -35,24 +37,23 @@ class Plan:
         return (*(p for p in self.prefixes if p < self.width), self.width)
 
 
-def range_codes(words: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+def range_codes(words: np.ndarray, widths: tuple[int, ...]) -> Iterator[np.ndarray]:
     """For each of the ascending ``widths``, the code of that many words from every place on.
 
     Codes of 1, 2, 4, ... words are made of two of half the length, any other of two that overlap. Places with too few
     words behind them get codes of no meaning.
     """
-    def later(codes: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros_like(codes)
-        out[:max(len(codes) - by, 0)] = codes[by:]
-        return out
+    def joined(codes: np.ndarray, factor: np.uint64, by: int) -> np.ndarray:
+        out = codes * factor
+        out[:max(len(codes) - by, 0)] += codes[by:]
+        return textkit.mix(out)
 
-    out, power, codes = [], 1, words
+    power, codes = 1, words
     for width in widths:
         while 2 * power <= width:
-            codes = textkit.mix(codes * _STEP + later(codes, power))
+            codes = joined(codes, _STEP, power)
             power *= 2
-        out.append(textkit.mix(codes * _LAST + later(codes, width - power)))
-    return out
+        yield joined(codes, _LAST, width - power)
 
 
 @dataclass
@@ -77,10 +78,12 @@ def _suffixes(words: np.ndarray, counts: np.ndarray, prints: np.ndarray, plan: P
     bounds = np.concatenate([[0], np.cumsum(whole)])
     at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], whole)
     codes = [c[at] for c in range_codes(words, plan.depths)]
+    del at
     order = np.argsort(codes[-1], kind="stable")
     ranked = codes[-1][order]
     new = np.ones(len(order), bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    del ranked
     again = np.zeros(len(order), bool)
     again[order[~new]] = True
     again[order[np.flatnonzero(~new) - 1]] = True
@@ -95,16 +98,23 @@ def text_prints(texts: textkit.Texts) -> np.ndarray:
 
 def _batches(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[Suffixes]:
     held, n = [], 0
-    for batch in textkit.slices(batches, "text"):
+
+    def taken() -> Suffixes:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        return _suffixes(*columns, plan)
+
+    for batch in textkit.slices(batches, "text", PIECE_BYTES):
         texts = textkit.texts_of(batch.column("text"))
         starts, ends, first = texts.words(textkit.NOT_SPACE)
         held.append((texts.hashes(starts, ends), np.diff(first), text_prints(texts)))
         n += len(starts)
+        del texts, starts, ends
         if n >= plan.batch:
-            yield _suffixes(*map(np.concatenate, zip(*held)), plan)
-            held, n = [], 0
+            yield taken()
+            n = 0
     if held:
-        yield _suffixes(*map(np.concatenate, zip(*held)), plan)
+        yield taken()
 
 
 def frequent_prefixes(texts: DataFrame, plan: Plan) -> tuple[list[np.ndarray], int]:
@@ -120,6 +130,7 @@ def frequent_prefixes(texts: DataFrame, plan: Plan) -> tuple[list[np.ndarray], i
             for depth, codes in enumerate(s.codes[:-1]):
                 prefixes, n = np.unique(codes[s.once], return_counts=True)
                 rows.append((np.full(int((n > 1).sum()), depth), prefixes[n > 1].view(np.int64), n[n > 1]))
+            del s
             depth, code, n = map(np.concatenate, zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(depth.astype(np.int32)), pa.array(code), pa.array(n.astype(np.int64))], names=["depth", "code", "n"])
 
@@ -170,8 +181,12 @@ def _sent(texts: DataFrame, plan: Plan, hot: list[np.ndarray], groups: int) -> D
                 rows.append((g, name, len(places), _packed(places), s.codes[-1][places].tobytes(), None, None))
             known = np.flatnonzero(s.again)
             rows.append((name[0] % groups, name, len(known), _packed(known), None, s.prints.tobytes(), s.bounds.astype(np.int64).tobytes()))
+            del s, route, order, places
             kinds = [pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["group", "batch", "n", "places", "codes", "prints", "bounds"])
+            columns = list(zip(*rows))
+            del rows
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["group", "batch", "n", "places", "codes", "prints", "bounds"])
+            del columns
 
     return map_arrow(texts, run, _SENT)
 
@@ -182,26 +197,42 @@ def deep_nodes(codes: np.ndarray) -> np.ndarray:
     In the order of the suffixes such a node is a stretch of neighbours that agree in a whole passage.
     """
     order = np.argsort(codes, kind="stable")
-    same = codes[order[1:]] == codes[order[:-1]]
+    ranked = codes[order]
+    same = ranked[1:] == ranked[:-1]
+    del ranked
     out = np.zeros(len(codes), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
 
 
+_FOUND = pa.schema([("batch", pa.binary()), ("n", pa.int32()), ("places", pa.binary()), ("prints", pa.binary()), ("bounds", pa.binary())])
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    """The 64-bit integers in all values of a binary column, without a copy where they are one chunk."""
+    parts = [np.zeros(0, np.uint8)]
+    for chunk in column.cast(pa.large_binary()).chunks:
+        if len(chunk):
+            edges = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset:chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]])
+    return (parts[-1] if len(parts) <= 2 else np.concatenate(parts)).view(np.uint64)
+
+
 def _subtree(group: pa.Table) -> pa.Table:
     """The places of one group's suffixes that repeat, by batch; rows of the batches' own go on as they are."""
-    rows = group.to_pylist()
-    leaves = [r for r in rows if r["codes"] is not None]
-    codes = np.concatenate([np.frombuffer(r["codes"], np.uint64) for r in leaves] or [np.zeros(0, np.uint64)])
-    deep, at, out = deep_nodes(codes), 0, []
-    for r in leaves:
-        flags, at = deep[at:at + r["n"]], at + r["n"]
-        places = _places(r["places"], r["n"])[flags]
-        if len(places):
-            out.append({"batch": r["batch"], "n": len(places), "places": _packed(places), "prints": None, "bounds": None})
-    out += [{k: r[k] for k in ("batch", "n", "places", "prints", "bounds")} for r in rows if r["prints"] is not None]
-    return pa.Table.from_pylist(out, pa.schema([("batch", pa.binary()), ("n", pa.int32()), ("places", pa.binary()), ("prints", pa.binary()), ("bounds", pa.binary())]))
+    leaves = group.filter(group.column("codes").is_valid())
+    counts = leaves.column("n").to_numpy()
+    # one view of all codes: the values of a column lie one behind the other
+    deep = deep_nodes(_values(leaves.column("codes")))
+    out, at = [], 0
+    for batch, n, data in zip(leaves.column("batch").to_pylist(), counts.tolist(), leaves.column("places")):
+        flags, at = deep[at:at + n], at + n
+        if flags.any():
+            places = _places(data.as_py(), n)[flags]
+            out.append({"batch": batch, "n": len(places), "places": _packed(places), "prints": None, "bounds": None})
+    own = group.filter(group.column("prints").is_valid()).select(_FOUND.names)
+    return pa.concat_tables([pa.Table.from_pylist(out, _FOUND), own.cast(_FOUND)])
 
 
 def _passages(width: int) -> Callable[[pa.Table], pa.Table]:
@@ -238,7 +269,7 @@ def _with_passages(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """doc_id, text, spans of every row. Texts meet their stretches by hash; equal texts have the same ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.slices(batches, "text"):
+        for batch in textkit.slices(batches, "text", PIECE_BYTES):
             prints = text_prints(textkit.texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["doc_id", "text", "p", "q"])
 
@@ -253,7 +284,7 @@ def _scan(docs: DataFrame, plan: Plan, fields: list[T.StructField], emit: Callab
     """``emit`` gets each text's stretches, its number of words removed, and its kept words' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.slices(batches, "text"):
+        for batch in textkit.slices(batches, "text", PIECE_BYTES):
             texts = textkit.texts_of(batch.column("text"))
             starts, ends, first = texts.words(textkit.NOT_SPACE)
             keep = np.ones(len(starts), bool)

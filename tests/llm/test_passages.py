@@ -1,8 +1,10 @@
 """Substring dedup, periodic runs and centroid clustering on edge cases, against plain Python."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,28 @@ def passages(rng, count):
 REMOVED = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def test_memory_of_a_batch_and_a_subtree():
+    """What numpy holds at most: bytes for each word of a batch, and beside the codes for each suffix of a subtree."""
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 100_000, 500)) for _ in range(2200)])
+    batches = [pa.RecordBatch.from_arrays([texts.slice(k, 550)], names=["text"]) for k in range(0, len(texts), 550)]
+    n = 1 << 18
+    rows = [{"batch": bytes([k]), "n": n, "places": substrings._packed(np.arange(n)), "codes": rng.integers(0, 1 << 62, n).tobytes()} for k in range(4)]
+    kinds = {"batch": pa.binary(), "n": pa.int32(), "places": pa.binary(), "codes": pa.binary(), "prints": pa.binary(), "bounds": pa.binary()}
+    group = pa.Table.from_pylist(rows, pa.schema(kinds))
+    del rows
+    tracemalloc.start()
+    try:
+        assert sum(len(s.once) for s in substrings._batches(iter(batches), substrings.Plan())) == 2200 * 466
+        assert tracemalloc.get_traced_memory()[1] < 90 * 2200 * 500
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        assert substrings._subtree(group).num_rows == 0
+        assert tracemalloc.get_traced_memory()[1] - held < 30 * 4 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_removal_on_edge_rows(edge, edge_rows):
     assert rows_of(substrings.removal_table(edge), *REMOVED) == removal_by_hand([(r[0], r[1]) for r in edge_rows])
 
