@@ -65,6 +65,13 @@ def test_building_a_query_starts_no_job_but_for_schemas(spark, name):
     assert len(jobs) <= len(set(re.findall(r"/(\w+)\.parquet", text)))
 
 
+def test_users_are_dealt_out_before_their_permissions(spark):
+    """One exchange of users; the pairs are made and told apart behind it, in as many parts as the session has."""
+    physical = plan(spark, "effective_permissions").split("== Physical Plan ==")[1]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert re.findall(r"Exchange hashpartitioning\(user_id#\d+L?, ([^)]*)\), (\w+)", physical) == [(f"username#{re.search(r'username#(\d+)', physical)[1]}, {parts}", "REPARTITION_BY_NUM")]
+
+
 def test_conflicts_match_patterns_once(spark):
     physical = plan(spark, "mapping_conflicts").split("== Physical Plan ==")[1]
     assert physical.count("NestedLoopJoin") == 0
