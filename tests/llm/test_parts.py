@@ -88,6 +88,21 @@ def test_words_by_word_equal_the_library():
         assert encoder.bytes_of[own].sum() == len((text or "").encode())
 
 
+def test_pieces_of_words_equal_the_library():
+    """Words are cut between letters, digits and signs; each distinct piece goes to the library once."""
+    encoder = Encoder(default_vocabulary())
+    rng = random.Random(4)
+    parts = ["a", "Bz", "'", "'s", "'re", "'T", "don't", "12", ".", ",", "-", "_", " ", " ", " ", "\n", "é", "Œ", "×", "÷a", "ſ", "中", "²", "Ⅷ", "\u0301", "\x00", "\x7f", "\x1c", "\t", "\u3000", "<", "<|endoftext|>", "|>"]
+    texts = ["".join(rng.choice(parts[:rng.choice([18, len(parts)])]) for _ in range(rng.randrange(20))) for _ in range(6000)]
+    ids, first = encoder.encode(texts)
+    for k, wanted in enumerate(encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[first[k]:first[k + 1]].tolist() == wanted.ids, texts[k]
+    encoder = Encoder(default_vocabulary())
+    encoder.encode([" ".join(f"x{'abcdefgh'[k % 8]}{'éstuvw'[k // 8]}{sign}" for k in range(48) for sign in ("", ",", ".", ";", ")", "-"))])
+    # 48 words behind a space, the first of all without one, and five signs
+    assert len(encoder.known) == 54
+
+
 def test_trigram_queries():
     assert trigrams.query_of("AKIA[A-Z0-9]+") == frozenset([frozenset({"aki", "kia"})])
     assert trigrams.query_of("[0-9a-f]{32,}") == trigrams.ANYTHING
